@@ -22,7 +22,8 @@ from tablewright.plans.aggregates import col, columns_of, measure
 from tablewright.plans.orderstats import numeric
 
 BLOCK_DONORS = 20_000
-BLOCK_QUERIES = 5_000
+BLOCK_QUERIES = 1_000
+SLAB_CELLS = 1_000_000  # distances held at once inside a block
 MAX_RANGES = 4096
 NULL_RANGE = -1  # donors, or queries, without a value in the routing feature
 
@@ -45,34 +46,48 @@ def _distances(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
         return np.where(shared > 0, np.sqrt(total / shared), np.inf)
 
 
+def _smallest(gaps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k smallest entries per row; equal entries in column order."""
+    k = min(k, gaps.shape[1])
+    limit = np.partition(gaps, k - 1, axis=1)[:, k - 1]
+    row, column = np.nonzero(gaps <= limit[:, None])
+    order = np.lexsort((column, gaps[row, column], row))
+    row, column = row[order], column[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], column[place < k]
+
+
+_EMPTY = pd.DataFrame(
+    {
+        "qid": pd.Series(dtype=object),
+        "distance": pd.Series(dtype=float),
+        "tie": pd.Series(dtype="int64"),
+        "y": pd.Series(dtype=float),
+    }
+)
+
+
 def _block_search(width: int, k: int, metric: str):
     """The best k donors of one block for each of its queries, in bounded numpy slabs."""
     features = [f"f{j}" for j in range(width)]
 
     def search(donors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": [], "distance": [], "tie": [], "y": []})
-        if donors.empty or queries.empty:
-            return empty
-        donors = donors.sort_values("tie", kind="stable")
-        d = donors[features].to_numpy(dtype=float)
-        tie, y = donors["tie"].to_numpy(), donors["y"].to_numpy(dtype=float)
-        slab = max(1, 4_000_000 // len(d))
-        parts = []
-        for at in range(0, len(queries), slab):
-            some = queries.iloc[at : at + slab]
-            gaps = _distances(some[features].to_numpy(dtype=float), d, metric)
-            best = np.argsort(gaps, axis=1, kind="stable")[:, :k]
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "qid": np.repeat(some["qid"].to_numpy(), best.shape[1]),
-                        "distance": np.take_along_axis(gaps, best, 1).ravel(),
-                        "tie": tie[best].ravel(),
-                        "y": y[best].ravel(),
-                    }
+        parts = [_EMPTY]
+        if len(donors) and len(queries):
+            donors = donors.sort_values("tie", kind="stable")
+            d = donors[features].to_numpy(dtype=float)
+            tie, y = donors["tie"].to_numpy(), donors["y"].to_numpy(dtype=float)
+            q, qid = queries[features].to_numpy(dtype=float), queries["qid"].to_numpy()
+            slab = max(1, SLAB_CELLS // len(d))
+            for at in range(0, len(q), slab):
+                gaps = _distances(q[at : at + slab], d, metric)
+                row, donor = _smallest(gaps, k)
+                parts.append(
+                    pd.DataFrame(
+                        {"qid": qid[at + row], "distance": gaps[row, donor], "tie": tie[donor], "y": y[donor]}
+                    )
                 )
-            )
-        return pd.concat(parts)
+        return pd.concat(parts[1:] or parts, ignore_index=True)
 
     return search
 
@@ -140,10 +155,6 @@ def nearest(
         | {(f, "filled"): F.count(f) for f in features}
         | {(f, "spread"): F.stddev_pop(f) for f in features},
     )
-    n_queries = queries.count()
-    if stats["n"] <= BLOCK_DONORS and n_queries <= BLOCK_QUERIES:
-        one = {c: F.lit(0) for c in ("range", "chunk", "qchunk")}
-        return _top(_search_blocks(donors.withColumns(one), queries.withColumns(one), width, k, metric), k)
     route = max(features, key=lambda f: (stats[(f, "filled")], stats[(f, "spread")] or 0.0), default=None)
     ranges = min(MAX_RANGES, -(-stats["n"] // BLOCK_DONORS))
     splits: list[float] = []
@@ -154,6 +165,8 @@ def nearest(
     donors = donors.withColumn("range", _range_of(x, splits))
     chunks = _chunk_counts(donors, BLOCK_DONORS)
     donors = _spread(donors, chunks, "tie", "chunk")
+    if not chunks:
+        chunks = {0: 1}
     top_range = len(splits)
 
     def run(visits: DataFrame) -> DataFrame:
@@ -163,6 +176,8 @@ def nearest(
         copies = donors.withColumn("qchunk", F.explode(F.sequence(F.lit(0), _lookup(qchunks) - 1)))
         return _search_blocks(copies, asked, width, k, metric)
 
+    if len(chunks) == 1 and max(chunks.values()) == 1:  # one block of donors: nothing to bound
+        return _top(run(queries.withColumns({"range": F.lit(next(iter(chunks))), "chunk": F.lit(0)})), k)
     home = _spread(queries.withColumn("range", _range_of(x, splits)), chunks, "qid", "chunk")
     bounds = (
         run(home)
