@@ -10,7 +10,6 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -193,14 +192,12 @@ def shapiro_p(w: float, n: int) -> float:
     return normal_sf((y - mean) / sd)
 
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
-
-
 def normal_cdf_column(z: Column) -> Column:
     """The normal CDF of a column; Spark has no error function, so values go through Arrow."""
 
     @F.pandas_udf("double")
     def cdf(s: pd.Series) -> pd.Series:
-        return pd.Series(0.5 * _erfc(-s.to_numpy(dtype=float) / math.sqrt(2.0)).astype(float))
+        scaled = (-s.to_numpy(dtype=float) / math.sqrt(2.0)).tolist()
+        return pd.Series([0.5 * math.erfc(x) for x in scaled], dtype=float)
 
     return cdf(z)

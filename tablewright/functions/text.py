@@ -13,7 +13,6 @@ from tablewright.functions import words as W
 
 _DECORATION_SET = "".join(W.NUMBER_DECORATION)
 _FLOAT_SHAPE = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_INT64_MAX = 9223372036854775807
 _INT32_MAX = 2147483647
 
 
@@ -78,15 +77,13 @@ def to_double(c: Column) -> Column:
 
 def to_integer(c: Column, bits: int = 64) -> Column:
     """Text to an integer: truncated toward zero, clamped to the range of the type."""
-    value = F.when(_readable(c), parse_number(c))
-    top = _INT64_MAX if bits == 64 else _INT32_MAX
-    name = "bigint" if bits == 64 else "int"
-    # 2^63 - 1 has no double of its own, so the upper end is compared before the cast.
-    return (
-        F.when(value >= float(top), F.lit(top).cast(name))
-        .when(value <= -float(top) - 1.0, F.lit(-top - 1).cast(name))
-        .otherwise(value.try_cast(name))
-    )
+    text = number_text(c)
+    value = float_or_null(text)
+    # floor and ceil of a double already stop at the ends of the 64-bit range.
+    whole = F.when(_readable(c), F.when(text.startswith("-"), F.ceil(value)).otherwise(F.floor(value)))
+    if bits == 64:
+        return whole
+    return F.when(whole.isNotNull(), F.least(F.greatest(whole, F.lit(-_INT32_MAX - 1)), F.lit(_INT32_MAX))).cast("int")
 
 
 def epoch_to_timestamp(c: Column) -> Column:
@@ -112,33 +109,48 @@ def blank_missing(c: Column) -> Column:
     return F.when(~is_missing_word(c), trimmed(c))
 
 
-def strip_quotes(c: Column, rounds: int = 10) -> Column:
-    """Remove up to ten layers of matching quotes, then doubled quotes inside; empty is null.
-
-    Values that start with no quote skip the layered part, which is the interpreted one.
-    """
-
-    def layer(text: Column, _: Column) -> Column:
-        def wrapped(mark: str) -> Column:
-            return text.startswith(mark) & text.endswith(mark) & (F.length(text) > 2 * len(mark))
-
-        width = (
-            F.when(wrapped('"""'), 3)
-            .when(wrapped('""'), 2)
-            .when(wrapped('"') | wrapped("'"), 1)
-            .otherwise(0)
-        )
-        return F.when(width == 0, text).otherwise(
-            trimmed(F.substring(text, width + 1, F.length(text) - 2 * width))
-        )
-
-    base = trimmed(c)
-    peeled = F.when(
-        base.startswith('"') | base.startswith("'"),
-        F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), base, layer),
-    ).otherwise(base)
-    bare = trimmed(F.replace(F.replace(peeled, F.lit('"""'), F.lit("")), F.lit('""'), F.lit("")))
-    return F.nullif(bare, F.lit(""))
+QUOTE_ROUNDS = 10  # fixed value: layers removed at most
+
+
+def _peel(text: Column) -> Column:
+    """Remove the outermost pair of matching quotes, the longest kind first."""
+
+    def wrapped(mark: str) -> Column:
+        return text.startswith(mark) & text.endswith(mark) & (F.length(text) > 2 * len(mark))
+
+    width = (
+        F.when(wrapped('"""'), 3).when(wrapped('""'), 2).when(wrapped('"') | wrapped("'"), 1).otherwise(0)
+    )
+    return F.when(width == 0, text).otherwise(
+        trimmed(F.substring(text, width + 1, F.length(text) - 2 * width))
+    )
+
+
+def _peel_once(c: Column) -> Column:
+    return F.when(c.startswith('"') | c.startswith("'"), _peel(c)).otherwise(c)
+
+
+def _peel_rest(c: Column) -> Column:
+    """The remaining layers; interpreted, so only values that still start with a quote enter."""
+    deep = F.aggregate(F.sequence(F.lit(2), F.lit(QUOTE_ROUNDS)), c, lambda text, _: _peel(text))
+    return F.when(c.startswith('"') | c.startswith("'"), deep).otherwise(c)
+
+
+def _drop_doubled(c: Column) -> Column:
+    bare = F.replace(F.replace(c, F.lit('"""'), F.lit("")), F.lit('""'), F.lit(""))
+    return trimmed(bare)
+
+
+# The steps of deep quote stripping. Each reads its input several times, so a table applies
+# them as separate projections and every step runs once per value.
+QUOTE_STEPS = [trimmed, _peel_once, _peel_rest, _drop_doubled, lambda c: F.nullif(c, F.lit(""))]
+
+
+def strip_quotes(c: Column) -> Column:
+    """Remove up to ten layers of matching quotes, then doubled quotes inside; empty is null."""
+    for step in QUOTE_STEPS:
+        c = step(c)
+    return c
 
 
 def scrub_output(c: Column) -> Column:

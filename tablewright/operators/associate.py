@@ -114,13 +114,14 @@ def variance_ratio(moments: DataFrame) -> DataFrame:
 
 def welch_anova_stats(moments: DataFrame) -> DataFrame:
     """``(pair, k, f, df1, df2, effect_size)``; eta squared is the effect size."""
-    w = F.col("n") / F.col("var")
-    weighted = moments.withColumn("w", w)
+    # A group without variance has no weight: its pair has no Welch statistic.
+    weighted = moments.withColumn("w", F.try_divide(F.col("n").cast("double"), "var"))
     whole = weighted.groupBy("pair").agg(
         F.count("*").alias("k"),
+        F.count("w").alias("weighted"),
         F.sum("w").alias("sum_w"),
-        (F.sum(F.col("w") * F.col("mean")) / F.sum("w")).alias("centre"),
-    )
+        F.try_divide(F.sum(F.col("w") * F.col("mean")), F.sum("w")).alias("centre"),
+    ).where("k = weighted and k >= 2")
     joined = weighted.join(F.broadcast(whole), "pair")
     gap, rest = F.col("mean") - F.col("centre"), 1 - F.col("w") / F.col("sum_w")
     parts = joined.groupBy("pair").agg(
@@ -130,7 +131,7 @@ def welch_anova_stats(moments: DataFrame) -> DataFrame:
     )
     k = F.col("k").cast("double")
     squares = variance_ratio(moments).select(
-        "pair", (F.col("ss_between") / (F.col("ss_between") + F.col("ss_within"))).alias("effect_size")
+        "pair", F.try_divide("ss_between", F.col("ss_between") + F.col("ss_within")).alias("effect_size")
     )
     return parts.join(squares, "pair").select(
         "pair", "k",
@@ -153,8 +154,8 @@ def welch_t_stats(moments: DataFrame) -> DataFrame:
     a, b = F.col("first_var") / F.col("first_n"), F.col("last_var") / F.col("last_n")
     return two.select(
         "pair",
-        ((F.col("first_mean") - F.col("last_mean")) / F.sqrt(a + b)).alias("t"),
-        ((a + b) * (a + b) / (a * a / (F.col("first_n") - 1) + b * b / (F.col("last_n") - 1))).alias("df"),
+        F.try_divide(F.col("first_mean") - F.col("last_mean"), F.sqrt(a + b)).alias("t"),
+        F.try_divide((a + b) * (a + b), a * a / (F.col("first_n") - 1) + b * b / (F.col("last_n") - 1)).alias("df"),
     )
 
 
@@ -188,8 +189,8 @@ def mann_whitney_stats(sums: DataFrame) -> DataFrame:
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
     sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    z = (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / sd
-    return two.select("pair", u.alias("u"), F.when(sd > 0, z).alias("z"))
+    z = F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, sd)
+    return two.select("pair", u.alias("u"), z.alias("z"))
 
 
 def kruskal_stats(sums: DataFrame) -> DataFrame:
@@ -201,7 +202,7 @@ def kruskal_stats(sums: DataFrame) -> DataFrame:
     n = F.col("n").cast("double")
     h = 12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
     fix = 1 - F.col("ties") / (n * n * n - n)
-    return parts.select("pair", "k", F.when(fix > 0, h / fix).alias("h"), (F.col("k") - 1).cast("double").alias("df"))
+    return parts.select("pair", "k", F.try_divide(h, fix).alias("h"), (F.col("k") - 1).cast("double").alias("df"))
 
 
 def brown_forsythe_stats(values: DataFrame, moments: DataFrame, rows: int) -> DataFrame:
@@ -212,10 +213,10 @@ def brown_forsythe_stats(values: DataFrame, moments: DataFrame, rows: int) -> Da
         "pair", "g", F.abs(F.col("v") - F.get("quantiles", F.lit(0))).alias("v")
     )
     squares = variance_ratio(group_moments(gaps))
-    between = F.col("ss_between") / (F.col("k") - 1)
-    within = F.col("ss_within") / (F.col("n") - F.col("k"))
+    between = F.try_divide(F.col("ss_between"), F.col("k") - 1)
+    within = F.try_divide(F.col("ss_within"), F.col("n") - F.col("k"))
     return squares.where("k >= 2 and n > k and ss_within > 0").select(
-        "pair", (between / within).alias("f"), (F.col("k") - 1).cast("double").alias("df1"),
+        "pair", F.try_divide(between, within).alias("f"), (F.col("k") - 1).cast("double").alias("df1"),
         (F.col("n") - F.col("k")).cast("double").alias("df2"),
     )
 
@@ -237,8 +238,9 @@ def group_tests(df: DataFrame, numbers: list[str], categories: list[str]) -> Dat
         return df.sparkSession.createDataFrame([], TESTS_SCHEMA)
     values = grouped_values(df, pairs)
     rows = df.count() * len(pairs)
-    moments = group_moments(values)
-    sums = rank_sums(values, moments, rows)
+    # Both are read by several statistics below and are far smaller than the rows.
+    moments = group_moments(values).persist()
+    sums = rank_sums(values, moments, rows).persist()
     out = []
 
     def add(pair: int, test: str, statistic, df1, df2, p, effect=None) -> None:
@@ -260,4 +262,6 @@ def group_tests(df: DataFrame, numbers: list[str], categories: list[str]) -> Dat
             add(r["pair"], "kruskal_wallis", r["h"], r["df"], None, D.chi_square_sf(r["h"], r["df"]))
     for r in brown_forsythe_stats(values, moments, rows).collect():
         add(r["pair"], "brown_forsythe", r["f"], r["df1"], r["df2"], D.f_sf(r["f"], r["df1"], r["df2"]))
+    sums.unpersist()
+    moments.unpersist()
     return df.sparkSession.createDataFrame(out, TESTS_SCHEMA)

@@ -108,8 +108,19 @@ def _rewrite(df: DataFrame, names: list[str], change) -> DataFrame:
 
 
 def strip_quotes(df: DataFrame) -> DataFrame:
-    """Deep quote stripping of every text column."""
-    return _rewrite(df, columns_of(df, "string"), X.strip_quotes)
+    """Deep quote stripping of every text column, one projection per step."""
+    names = columns_of(df, "string")
+    for step in X.QUOTE_STEPS:
+        df = _rewrite(df, names, step)
+    return df
+
+
+def repair_texts(df: DataFrame) -> DataFrame:
+    """Strip quotes, then blank missing words.
+
+    After quote stripping every value is trimmed, so blanking cannot change other values.
+    """
+    return _rewrite(strip_quotes(df), columns_of(df, "string"), X.blank_missing)
 
 
 def blank_missing(df: DataFrame) -> DataFrame:
@@ -246,9 +257,7 @@ def correct_types(
 ) -> tuple[DataFrame, list[Cast]]:
     """Strip quotes, blank missing words, then convert the columns whose values survive it."""
     table = table or profile(df, duplicates=False)
-    names = columns_of(df, "string")
-    # After quote stripping every value is trimmed, so blanking cannot change other values.
-    repaired = _rewrite(df, names, lambda v: X.blank_missing(X.strip_quotes(v)))
+    repaired = repair_texts(df)
     plan = plan_casts(repaired, table, parse_iso)
     return apply_casts(repaired, plan, parse_iso), plan
 

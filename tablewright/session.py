@@ -36,18 +36,24 @@ def local_session(cores: int | None = None, app: str = "tablewright", memory: st
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local master
-    without that setting gets a temporary folder; on a cluster without it the plan is returned
-    uncut, because a machine-local folder would not survive the loss of an executor.
+    Only a local master without that setting gets a temporary folder: a machine-local folder
+    would not survive the loss of an executor.
     """
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="tablewright-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the reliable checkpoint folder; without one the plan stays uncut."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="tablewright-checkpoint-")
+        folder = shared_folder(df.sparkSession)
         if folder is None:
             return df
         context.setCheckpointDir(folder)
