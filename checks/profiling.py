@@ -167,14 +167,14 @@ def _(spark, folder):
     "dataset_profile",
     G + "SELECT count(*) AS row_count, CAST(6 AS BIGINT) AS column_count, CAST(0 AS BIGINT) AS duplicate_count, 'classification,regression,time_series' AS problem_types, "
     "CASE WHEN count(*) < 10000 THEN 'small' WHEN count(*) < 100000 THEN 'medium' WHEN count(*) < 1000000 THEN 'large' ELSE 'very_large' END AS size_category, "
-    "'low' AS feature_complexity, false AS mixed_types, CAST(4 AS BIGINT) AS high_cardinality_features, 'high' AS missing_data_complexity FROM g",
+    "'low' AS feature_complexity, CAST(4 AS BIGINT) AS high_cardinality_features, 'high' AS missing_data_complexity FROM g",
 )
 def _(spark, folder):
     g = gaps(spark, folder)
     d = P.dataset_frame(g, P.profile(g, sample_key=["o_orderkey"]))
     return d.select(
         "row_count", "column_count", "duplicate_count", F.concat_ws(",", "problem_types").alias("problem_types"), "size_category",
-        "feature_complexity", "mixed_types", "high_cardinality_features", "missing_data_complexity",
+        "feature_complexity", "high_cardinality_features", "missing_data_complexity",
     )
 
 
@@ -274,10 +274,10 @@ def _(spark, folder):
 
 @query(
     "target_scores",
-    "SELECT * FROM (VALUES ('o_orderkey', CAST(-15 AS BIGINT)), ('status', CAST(8 AS BIGINT)), ('order_class', CAST(18 AS BIGINT))) AS t(option, score)",
+    "SELECT * FROM (VALUES ('o_orderkey', CAST(-15 AS BIGINT)), ('priority', CAST(8 AS BIGINT)), ('order_class', CAST(18 AS BIGINT))) AS t(option, score)",
 )
 def _(spark, folder):
-    g = gaps(spark, folder).selectExpr("o_orderkey", "status", "priority AS order_class")
+    g = gaps(spark, folder).selectExpr("o_orderkey", "priority", "priority AS order_class")
     scored = Q.target_scores(Q.target_options(g, P.profile(g, duplicates=False, sample_key=["o_orderkey"])))
     return scored.select("option", F.col("score").cast("bigint").alias("score"))
 

@@ -102,16 +102,18 @@ def _with_neighbours(df: DataFrame, names: list[str], order_by: str, partition_b
     splits = range_splits(df, key, df.count())
     keyed = with_bucket(df.withColumn("_k", key), F.col("_k"), splits)
     groups = [*partition_by, "bucket"]
-    inner = Window.partitionBy(*groups).orderBy("_k")
-    back = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = inner.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Looking ahead is looking back in descending order: frames that grow are computed once per
+    # row, frames that shrink would be scanned again for every row.
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy(*groups).orderBy("_k").rowsBetween(*so_far)
+    ahead = Window.partitionBy(*groups).orderBy(F.col("_k").desc()).rowsBetween(*so_far)
     cells = {
         i: F.when(col(n).isNotNull(), F.struct(col(n).alias("value"), F.col("_k").alias("key")))
         for i, n in enumerate(names)
     }
     near = keyed.withColumns(
         {f"_prev_{i}": F.last(c, True).over(back) for i, c in cells.items()}
-        | {f"_next_{i}": F.first(c, True).over(ahead) for i, c in cells.items()}
+        | {f"_next_{i}": F.last(c, True).over(ahead) for i, c in cells.items()}
     )
     if not splits:
         return near.drop("bucket")
@@ -121,13 +123,13 @@ def _with_neighbours(df: DataFrame, names: list[str], order_by: str, partition_b
         by_key = F.when(col(n).isNotNull(), F.struct(F.col("_k").alias("key"), col(n).alias("value")))
         edge[f"_last_{i}"], edge[f"_first_{i}"] = F.max(by_key), F.min(by_key)
     edges = keyed.groupBy(*groups).agg(*[e.alias(a) for a, e in edge.items()])
-    across = Window.partitionBy(*partition_by).orderBy("bucket")
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    after = across.rowsBetween(1, Window.unboundedFollowing)
+    earlier = (Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*partition_by).orderBy("bucket").rowsBetween(*earlier)
+    after = Window.partitionBy(*partition_by).orderBy(F.col("bucket").desc()).rowsBetween(*earlier)
     carried = edges.select(
         *groups,
         *[F.last(f"_last_{i}", True).over(before).alias(f"_carry_back_{i}") for i in cells],
-        *[F.first(f"_first_{i}", True).over(after).alias(f"_carry_ahead_{i}") for i in cells],
+        *[F.last(f"_first_{i}", True).over(after).alias(f"_carry_ahead_{i}") for i in cells],
     )
     joined = near.join(carried, groups)
 
