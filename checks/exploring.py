@@ -222,7 +222,7 @@ def _(spark, folder):
 
 @query(
     "datetime_summary",
-    "SELECT 'ts' AS \"column\", epoch_ms(min(ts)) AS min_ms, epoch_ms(max(ts)) AS max_ms, round((epoch_ms(max(ts)) - epoch_ms(min(ts))) / 86400000.0, 6) AS range_days, "
+    "SELECT 'ts' AS \"column\", epoch_us(min(ts)) // 1000 AS min_ms, epoch_us(max(ts)) // 1000 AS max_ms, round(((epoch_us(max(ts)) // 1000) - (epoch_us(min(ts)) // 1000)) / 86400000.0, 6) AS range_days, "
     "'day' AS granularity FROM events UNION ALL SELECT 'o_orderdate', epoch_ms(min(o_orderdate)), epoch_ms(max(o_orderdate)), "
     "round((epoch_ms(max(o_orderdate)) - epoch_ms(min(o_orderdate))) / 86400000.0, 6), 'month' FROM orders",
 )
@@ -233,7 +233,7 @@ def _(spark, folder):
 
 @query(
     "time_bins",
-    "SELECT 'ts' AS \"column\", epoch_ms(ts) - epoch_ms(ts) % 86400000 AS bucket_ms, count(*) AS count FROM events GROUP BY 2",
+    "SELECT 'ts' AS \"column\", (epoch_us(ts) // 1000) - (epoch_us(ts) // 1000) % 86400000 AS bucket_ms, count(*) AS count FROM events GROUP BY 2",
 )
 def _(spark, folder):
     return describe.time_bins(table(spark, folder, "events"), ["ts"])

@@ -40,7 +40,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{next(_folders)}"
 
 
-def rounded(df: DataFrame, places: int = 6, **special: int) -> DataFrame:
+def rounded(df: DataFrame, places: int = 6, /, **special: int) -> DataFrame:
     """Doubles rounded, so that the order of additions does not show."""
     doubles = [n for n, t in df.dtypes if t == "double"]
     return df.withColumns({n: F.round(n, special.get(n, places)) for n in doubles}) if doubles else df
