@@ -20,16 +20,15 @@ def _(spark, folder):
     return read_csv(spark, path)
 
 
-@query("csv_tolerant_scan", "SELECT CAST(o_orderkey AS STRING) AS id, o_orderpriority AS priority FROM orders")
+@query("csv_tolerant_scan", "SELECT CAST(o_orderkey AS STRING) || ',x' AS id, o_orderpriority AS priority FROM orders")
 def _(spark, folder):
     path = scratch(spark, "messy-csv")
-    line = F.concat(F.col("o_orderkey").cast("string"), F.lit(',"""'), F.col("o_orderpriority"), F.lit('""",""'))
+    line = F.concat(F.lit('""'), F.col("o_orderkey").cast("string"), F.lit(',x"",'), F.col("o_orderpriority"))
     blank = F.when(F.col("o_orderkey") % 2 == 0, F.lit("   "))
     lines = table(spark, folder, "orders").select(F.explode(F.array_compact(F.array(line, blank))).alias("value"))
-    head = spark.createDataFrame([("id,priority,",)], "value string")
+    head = spark.createDataFrame([("id,priority",)], "value string")
     head.unionByName(lines).coalesce(1).write.mode("overwrite").text(path)
-    found = read_csv_tolerant(spark, path)
-    return found.select(found.columns[:2]).toDF("id", "priority")
+    return read_csv_tolerant(spark, path)
 
 
 @query(
@@ -79,7 +78,7 @@ def _run(spark, folder):
 
 @query(
     "cleaning_report",
-    "SELECT count(*) + count(CASE WHEN o_orderkey % 3 = 0 THEN 1 END) AS rows, CAST(5 AS BIGINT) AS columns, count(*) AS processed_rows, 'classification' AS problem_type FROM orders",
+    "SELECT count(*) + count(CASE WHEN o_orderkey % 3 = 0 THEN 1 END) AS rows, CAST(5 AS BIGINT) AS columns, count(*) AS processed_rows, 'regression' AS problem_type FROM orders",
 )
 def _(spark, folder):
     g, result = _run(spark, folder)

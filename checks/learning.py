@@ -114,7 +114,8 @@ _QP = "WITH q AS (SELECT (l_quantity - 25) / 14 AS x, l_extendedprice / 10000 +
 
 def line_of(spark, folder, name, params):
     rows = quantity_price(spark, folder)
-    model = M.build(name, M.Facts(rows.count(), 1, M.REGRESSION), params).fit(rows)
+    seen = rows.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("s")).first()
+    model = M.build(name, M.Facts(seen["n"], 1, M.REGRESSION, label_std=seen["s"]), params).fit(rows)
     return spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept))], "slope double, intercept double")
 
 

@@ -81,6 +81,7 @@ class Facts:
     features: int
     task: str
     classes: int = 0
+    label_std: float = 1.0
 
     @property
     def size(self) -> str:
@@ -139,7 +140,8 @@ def build(name: str, facts: Facts, params: dict | None = None, seed: int = 42) -
     if name == "linear_regression":
         return LinearRegression(regParam=0.0)
     if name == "ridge":
-        return LinearRegression(regParam=p["alpha"] / n, elasticNetParam=0.0, standardization=False)
+        # MLlib fits the label in units of its deviation, which divides the squared penalty.
+        return LinearRegression(regParam=p["alpha"] / n * facts.label_std, elasticNetParam=0.0, standardization=False)
     if name == "lasso":
         return LinearRegression(regParam=p["alpha"], elasticNetParam=1.0, maxIter=p["max_iter"], standardization=False)
     if name == "svm":

@@ -236,7 +236,8 @@ def prepare(df: DataFrame, o: TrainOptions) -> tuple[DataFrame, DataFrame, Encod
     train = cut_lineage(fold_column(encode(train), o.folds, o.seed, key).select("features", "label", "fold"))
     test = encode(test).drop(ROW_NUMBER)
     classes = len(indexer.labels) if classify else 0
-    facts = Facts(train.count(), len(encoder.names), o.task, classes)
+    seen = train.agg(F.count("*").alias("n"), F.stddev_pop("label").alias("s")).first()
+    facts = Facts(seen["n"], len(encoder.names), o.task, classes, seen["s"] or 1.0)
     return train, test, encoder, list(indexer.labels) if classify else None, facts, target
 
 
@@ -273,10 +274,11 @@ def predict(
     Row-local for MLlib models, so it also scores a stream (with ``checked=False``, since the
     check counts values).
     """
-    ready = check_features(df, encoder.numeric, encoder.categorical) if checked else df
-    helpers = [c for c in ("prediction", "probability", "rawPrediction", "features") if c in ready.columns]
-    scored = model.transform(slim(encoder.transform(ready.drop(*helpers)), ready.columns))
-    keep = [col(c) for c in ready.columns if c not in helpers]
+    if checked:
+        check_features(df, encoder.numeric, encoder.categorical)
+    helpers = [c for c in ("prediction", "probability", "rawPrediction", "features") if c in df.columns]
+    scored = model.transform(slim(encoder.transform(df.drop(*helpers)), df.columns))
+    keep = [col(c) for c in df.columns if c not in helpers]
     if labels is None:
         return scored.select(*keep, "prediction")
     out = scored
