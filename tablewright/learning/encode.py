@@ -13,6 +13,7 @@ from tablewright.plans.aggregates import col, kinds, measure
 from tablewright.plans.orderstats import numeric, values_at
 
 MIN_ROWS = 10  # fixed value: fewest rows a model is trained on
+MAX_CLASSES = 1_000  # classes of a target that stay on the driver
 MAX_LEVELS = 100_000  # levels of one category; beyond it one-hot columns are no usable features
 
 
@@ -128,7 +129,10 @@ def split_rows(
     if classes_of is None:
         groups = {"all": hashed}
     else:
-        rows = df.groupBy(col(classes_of).cast("string").alias("c")).agg(F.count("*").alias("n")).orderBy("c").collect()
+        levels = df.select(col(classes_of).cast("string").alias("c")).distinct()
+        rows = levels.limit(MAX_CLASSES + 1).collect()
+        if len(rows) > MAX_CLASSES:
+            raise ValueError(f"{classes_of} has more than {MAX_CLASSES} classes")
         groups = {r["c"]: F.when(col(classes_of).cast("string") == r["c"], hashed) for r in rows}
     sizes = measure(df, {g: F.count(c) for g, c in groups.items()})
     wanted = {g: int(n * test_share + 0.5) for g, n in sizes.items()}

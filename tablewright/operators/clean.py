@@ -256,7 +256,7 @@ def correct_types(
     df: DataFrame, table: TableProfile | None = None, parse_iso: bool = False
 ) -> tuple[DataFrame, list[Cast]]:
     """Strip quotes, blank missing words, then convert the columns whose values survive it."""
-    table = table or profile(df, duplicates=False)
+    table = table or profile(df, duplicates=False, outliers=False, numeric_samples=False)
     repaired = repair_texts(df)
     plan = plan_casts(repaired, table, parse_iso)
     return apply_casts(repaired, plan, parse_iso), plan

@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from tablewright.plans.aggregates import col, columns_of, measure
 from tablewright.plans.orderstats import numeric
+from tablewright.plans.ranks import with_bucket
+from tablewright.session import cut_lineage
 
-BLOCK_DONORS = 20_000
-BLOCK_QUERIES = 1_000
+BLOCK_DONORS = 4_000
+BLOCK_QUERIES = 2_000
 SLAB_CELLS = 1_000_000  # distances held at once inside a block
 MAX_RANGES = 4096
 NULL_RANGE = -1  # donors, or queries, without a value in the routing feature
@@ -121,14 +123,11 @@ def _lookup(chunks: dict[int, int]) -> Column:
     return F.coalesce(table[F.col("range")], F.lit(1))
 
 
-def _range_of(value: Column, splits: list[float]) -> Column:
-    """Number of the value range; JVM-side search in a bounded array of borders."""
-    if not splits:
-        return F.when(value.isNull(), F.lit(NULL_RANGE)).otherwise(F.lit(0))
-    borders = F.array(*map(F.lit, splits))
-    # Borders are sorted: the range is how many of them do not exceed the value.
-    below = F.aggregate(borders, F.lit(0), lambda acc, b: acc + (b <= value).cast("int"))
-    return F.when(value.isNull(), F.lit(NULL_RANGE)).otherwise(below)
+def _with_range(df: DataFrame, value: Column, splits: list[float], name: str = "range") -> DataFrame:
+    """Add the number of the value range, by binary search on the JVM; nulls have a range of their own."""
+    cut = with_bucket(df.withColumn("_at", F.coalesce(value, F.lit(0.0))), F.col("_at"), splits)
+    number = F.when(value.isNull(), F.lit(NULL_RANGE)).otherwise(F.col("bucket").cast("int"))
+    return cut.withColumn(name, number).drop("_at", "bucket")
 
 
 def _chunk_counts(placed: DataFrame, size: int) -> dict[int, int]:
@@ -149,6 +148,7 @@ def nearest(
     features = [f"f{j}" for j in range(width)]
     same = Window.partitionBy(*features).orderBy("tie")
     donors = donors.withColumn("_nth", F.row_number().over(same)).where(F.col("_nth") <= k).drop("_nth")
+    donors = cut_lineage(donors)  # read by every step below
     stats = measure(
         donors,
         {"n": F.count(F.lit(1))}
@@ -162,7 +162,7 @@ def nearest(
         shares = [i / ranges for i in range(1, ranges)]
         splits = sorted(set(donors.approxQuantile(route, shares, 0.25 / ranges)))
     x = F.col(route) if route else F.lit(None).cast("double")
-    donors = donors.withColumn("range", _range_of(x, splits))
+    donors = _with_range(donors, x, splits)
     chunks = _chunk_counts(donors, BLOCK_DONORS)
     donors = _spread(donors, chunks, "tie", "chunk")
     if not chunks:
@@ -178,8 +178,9 @@ def nearest(
 
     if len(chunks) == 1 and max(chunks.values()) == 1:  # one block of donors: nothing to bound
         return _top(run(queries.withColumns({"range": F.lit(next(iter(chunks))), "chunk": F.lit(0)})), k)
-    home = _spread(queries.withColumn("range", _range_of(x, splits)), chunks, "qid", "chunk")
-    bounds = (
+    home = _spread(_with_range(queries, x, splits), chunks, "qid", "chunk")
+    # Read twice below and costly to search again: written once, one number per query.
+    bounds = cut_lineage(
         run(home)
         .groupBy("qid")
         .agg(F.max("distance").alias("bound"), F.count("*").alias("met"))
@@ -187,17 +188,13 @@ def nearest(
         .select("qid", "bound")
     )
     reach = F.col("bound") * (math.sqrt(width) if metric == "shared" else 1.0) * (1 + 1e-9)
-    spans = queries.join(bounds, "qid", "left").withColumns(
-        {
-            "_low": F.coalesce(_range_of(x - reach, splits), F.lit(0)),
-            "_high": F.coalesce(_range_of(x + reach, splits), F.lit(top_range)),
-        }
-    )
-    everywhere = F.sequence(F.lit(NULL_RANGE), F.lit(top_range))
+    spans = _with_range(queries.join(bounds, "qid", "left"), x - reach, splits, "_low")
+    spans = _with_range(spans, x + reach, splits, "_high")
+    # Donors without the routing value, if any, can be near to every query.
+    unplaced = F.array(F.lit(NULL_RANGE)) if NULL_RANGE in chunks else F.array().cast("array<int>")
     unbounded = x.isNull() | F.col("bound").isNull()
-    visited = F.when(unbounded, everywhere).otherwise(
-        F.concat(F.sequence("_low", "_high"), F.array(F.lit(NULL_RANGE)))
-    )
+    reached = F.when(unbounded, F.sequence(F.lit(0), F.lit(top_range))).otherwise(F.sequence("_low", "_high"))
+    visited = F.concat(reached, unplaced)
     visits = (
         spans.withColumn("range", F.explode(visited))
         .withColumn("chunk", F.explode(F.sequence(F.lit(0), _lookup(chunks) - 1)))
@@ -223,8 +220,9 @@ def knn_fill(
     tie = col(key).cast("long") if key else F.xxhash64(*map(col, df.columns))
     cells = _features(df, names)
     vector = list(cells)
-    present = df.where(numeric(target).isNotNull())
-    absent = df.where(numeric(target).isNull())
+    odd = F.isnan(col(target).cast("double"))
+    present = df.where(col(target).isNotNull() & ~odd)  # the null test reaches the scan
+    absent = df.where(col(target).isNull() | odd)
     stats = measure(df, {"mean": F.avg(numeric(target)), "nulls": F.count(F.when(numeric(target).isNull(), 1))})
     mean = stats["mean"] if stats["mean"] is not None else 0.0
     whole = present.withColumn(target, numeric(target))

@@ -278,14 +278,16 @@ def profile(
     df: DataFrame,
     approximate: bool = False,
     duplicates: bool = True,
-    samples: bool = True,
+    outliers: bool = True,
+    numeric_samples: bool = True,
     sample_key: list[str] | None = None,
     seed: int = 42,
 ) -> TableProfile:
     """Profile every column.
 
     ``approximate`` replaces exact distinct counts, which shuffle every distinct value, by
-    sketches that need no shuffle; modes and count spreads are then left out.
+    sketches that need no shuffle; modes and count spreads are then left out. Inference needs
+    neither outlier flags nor samples of numbers, so callers that want types only turn them off.
     """
     kind = kinds(df)
     seen = _moments(df, kind)
@@ -299,15 +301,15 @@ def profile(
     elif scalar:
         shapes = {r["column"]: r.asDict() for r in distinct_shapes(df).collect()}  # one row per column
     drawn: dict[str, list[str]] = {n: [] for n in kind}
-    if samples and scalar:
+    if scalar:
         words = [n for n in scalar if kind[n] == "string"]
         others = [n for n in scalar if kind[n] != "string"]
         if words:
             drawn.update(sample_values(df, words, 100, seed, sample_key, filled))
-        if others:
+        if others and numeric_samples:
             drawn.update(sample_values(df, others, 10, seed, sample_key, filled))
     numbers = [n for n, k in kind.items() if k == "numeric"]
-    flags = outlier_flags(df, numbers, {n: seen[(n, "size")] for n in numbers}) if numbers else {}
+    flags = outlier_flags(df, numbers, {n: seen[(n, "size")] for n in numbers}) if numbers and outliers else {}
     out = []
     for n, dtype in df.dtypes:
         shape = shapes.get(n, {})
@@ -326,9 +328,10 @@ def profile(
                 mean=repr(seen[(n, "mean")]),
                 std=repr(seen[(n, "std")] if size > 1 else 0.0),
                 skewness=repr(skew),
-                has_outliers=str(flags[n]).lower(),
                 distribution="normal" if abs(skew) < 1.0 else "skewed",
             )
+            if outliers:
+                traits["has_outliers"] = str(flags[n]).lower()
         elif inferred == "string" and shape.get("most_frequent") is not None:
             traits["most_frequent"] = shape["most_frequent"]
             if distinct > 1:
@@ -342,6 +345,15 @@ def profile(
     return TableProfile(rows, out, duplicate_rows(df) if duplicates else 0)
 
 
+def flag_outliers(df: DataFrame, table: TableProfile) -> TableProfile:
+    """Add the outlier flags a profile was made without."""
+    numbers = [c.name for c in table.columns if c.kind == "numeric" and "mean" in c.characteristics]
+    sizes = measure(df, {n: F.count(numeric(n)) for n in numbers})
+    for n, flag in outlier_flags(df, numbers, sizes).items():
+        table[n].characteristics["has_outliers"] = str(flag).lower()
+    return table
+
+
 def profile_frame(df: DataFrame, table: TableProfile) -> DataFrame:
     """The profile as a DataFrame, one row per column."""
     rows = [

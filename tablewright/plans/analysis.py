@@ -23,14 +23,14 @@ class Analysis:
         return self.frames[name]
 
 
-def analyze(df: DataFrame, approximate: bool = False) -> Analysis:
+def analyze(df: DataFrame, approximate: bool = False, cache: bool = False) -> Analysis:
     """Profile, issues, summaries, missingness, correlations and associations.
 
-    The source is read many times, so it is persisted with spilling while statistics are
-    computed. Results computed lazily from it are small and read the source again if asked
-    for after the cache is released.
+    Every statistic scans just the columns it needs, so a columnar source is read again rather
+    than cached whole. ``cache`` persists the table, with spilling, while statistics are
+    computed; it pays when the table is the costly result of other work and fits the cluster.
     """
-    source = df.persist(StorageLevel.MEMORY_AND_DISK)
+    source = df.persist(StorageLevel.MEMORY_AND_DISK) if cache else df
     try:
         table = profile(source, approximate=approximate)
         kind = kinds(source)
@@ -55,4 +55,5 @@ def analyze(df: DataFrame, approximate: bool = False) -> Analysis:
             frames["group_tests"] = associate.group_tests(source, numbers, words)
         return Analysis(table, frames)
     finally:
-        source.unpersist()
+        if cache:
+            source.unpersist()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from tablewright.operators import clean, impute, outliers, quality, select
 from tablewright.operators.clean import Action
-from tablewright.operators.profile import TableProfile, dataset_frame, profile, profile_frame
+from tablewright.operators.profile import TableProfile, dataset_frame, flag_outliers, profile, profile_frame
 from tablewright.plans.aggregates import kinds
 from tablewright.session import cut_lineage
 
@@ -92,14 +92,14 @@ def clean_table(df: DataFrame, options: CleaningOptions | None = None) -> Cleani
             text = f"{done} '{c.column}' ({c.source} to {c.target})"
             actions.append(Action("type_corrected", c.column, text, f"{100 * c.rate:.1f}% of values survive"))
         work = cut_lineage(work)
-    first = profile(work, duplicates=False)
+    first = profile(work, duplicates=False, outliers=False, numeric_samples=False)
     cleaned, log = clean.auto_clean(work, first, o.column_threshold, o.row_threshold, o.remove_duplicates)
     actions += log
     if log:
         cleaned = cut_lineage(cleaned)
-        table = profile(cleaned, duplicates=False)
+        table = profile(cleaned, duplicates=False, numeric_samples=False)
     else:
-        table = first  # cleaning removed nothing
+        table = flag_outliers(cleaned, first)  # cleaning removed nothing, the rest still holds
     issues = quality.find_issues(cleaned, table)
     decisions = quality.first_options(issues) if o.first_suggestions else quality.decide(cleaned, issues, o.outlier_strategy)
     decisions |= o.decisions

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tablewright.plans.aggregates import col, measure
 
-DIRECT_ROWS = 1_000_000
+DIRECT_ROWS = 50_000
 SKETCH_ACCURACY = 10_000
 
 
@@ -88,13 +88,20 @@ def _read_small(df: DataFrame, value: dict, brackets: dict) -> dict:
 
 def _narrow(df: DataFrame, value: dict, brackets: dict) -> tuple[dict, dict]:
     step = 2.0 / SKETCH_ACCURACY
+    # Ranks that share a bracket share one sketch.
+    groups: dict = {}
+    for (n, r), bracket in brackets.items():
+        groups.setdefault((n, bracket), []).append(r)
     sketches = {}
-    for (n, r), (low, high, below, inside) in brackets.items():
-        p = (r - below + 0.5) / inside
-        sketches[(n, r)] = F.percentile_approx(
-            _inside(value[n], low, high), [max(0.0, p - step), min(1.0, p + step)], SKETCH_ACCURACY
-        )
-    ends = measure(df, sketches)
+    for (n, bracket), ranks in groups.items():
+        low, high, below, inside = bracket
+        centres = [(r - below + 0.5) / inside for r in ranks]
+        shares = [s for p in centres for s in (max(0.0, p - step), min(1.0, p + step))]
+        sketches[(n, bracket)] = F.percentile_approx(_inside(value[n], low, high), shares, SKETCH_ACCURACY)
+    ends = {}
+    for (n, bracket), found in measure(df, sketches).items():
+        for i, r in enumerate(groups[(n, bracket)]):
+            ends[(n, r)] = (found[2 * i], found[2 * i + 1])
     checks = {}
     for (n, r), (low, high, _, _) in brackets.items():
         a, b = ends[(n, r)]
