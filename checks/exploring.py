@@ -350,9 +350,17 @@ def _(spark, folder):
     return rounded(A.chi_square_stats(shipped(spark, folder), CATS).select("pair", "cramers_v"))
 
 
-@query("association_matrix")
+_NAMES = ["l_returnflag", "l_linestatus", "l_shipmode"]
+_WHICH = " UNION ALL ".join(f"SELECT {i} AS pair, '{a}' AS x, '{b}' AS y UNION ALL SELECT {i}, '{b}', '{a}'" for i, (a, b) in enumerate(CATS))
+
+
+@query(
+    "association_matrix",
+    f"SELECT x, y, chi_square, cramers_v FROM ({_CHI}) JOIN ({_WHICH}) USING (pair) UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{n}', '{n}', 0.0::DOUBLE, 1.0::DOUBLE" for n in _NAMES),
+)
 def _(spark, folder):
-    return A.categorical_association(shipped(spark, folder), ["l_returnflag", "l_linestatus", "l_shipmode"])
+    return rounded(A.categorical_association(shipped(spark, folder), _NAMES).drop("p_value"), 6, chi_square=4)
 
 
 TWO, MANY = ("l_extendedprice", "l_linestatus"), ("l_quantity", "l_shipmode")
@@ -459,10 +467,17 @@ def _(spark, folder):
 # ---------------------------------------------------------------- views
 
 
-@query("chart_data")
+@query(
+    "chart_data",
+    union_all("SELECT '{c}' AS \"column\", 'histogram' AS series, CAST(count(*) AS DOUBLE) AS drawn FROM events", ["event_id", "user_id", "value"])
+    + " UNION ALL SELECT 'ts', 'time', count(*) FROM events UNION ALL SELECT 'event_type', 'length', count(*) FROM events "
+    "UNION ALL SELECT 'event_type', 'categories', count(*) FROM events "
+    "UNION ALL SELECT 'value', 'box', round(min(value) + quantile_cont(value, 0.25) + median(value) + quantile_cont(value, 0.75) + max(value), 4) FROM events",
+)
 def _(spark, folder):
-    events = table(spark, folder, "events")
-    return charts.chart_data(events, profile(events, duplicates=False))
+    events = table(spark, folder, "events").drop("props")
+    drawn = charts.chart_data(events, profile(events, duplicates=False)).groupBy("column", "series").agg(F.sum("value").alias("drawn"))
+    return rounded(drawn.where("series != 'box' or column = 'value'"), 4)
 
 
 @query(

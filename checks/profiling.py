@@ -192,9 +192,17 @@ def _(spark, folder):
     return listed.select("name", "unique_count", F.col("total").cast("bigint").alias("total"), (F.col("filtered") - 1).cast("bigint").alias("filtered"))
 
 
-@query("dry_run")
+_MISSING = f"SELECT * FROM ({COUNTS}) WHERE null_percentage > 10 AND null_percentage <= 50"
+
+
+@query(
+    "dry_run",
+    G + "SELECT 'missing_values' AS issue_type, CASE WHEN null_percentage > 30 THEN 'high' ELSE 'medium' END AS severity, name AS columns, "
+    f"CAST(null_count AS STRING) AS missing FROM ({_MISSING})",
+)
 def _(spark, folder):
-    return dry_run(gaps(spark, folder))["issues"]
+    issues = dry_run(gaps(spark, folder))["issues"]
+    return issues.select("issue_type", "severity", F.concat_ws(",", "columns").alias("columns"), F.col("details")["missing_count"].alias("missing"))
 
 
 # ---------------------------------------------------------------- issues and scores
@@ -210,9 +218,6 @@ def _(spark, folder):
     return rounded(Q.outlier_ranges(tails(spark, folder), ["price"]).drop("examples"), 4)
 
 
-_MISSING = f"SELECT * FROM ({COUNTS}) WHERE null_percentage > 10 AND null_percentage <= 50"
-
-
 @query(
     "missing_issues",
     G + "SELECT name AS \"column\", CASE WHEN null_percentage > 30 THEN 'high' ELSE 'medium' END AS severity, null_count AS missing_count, "
@@ -231,10 +236,17 @@ def _(spark, folder):
     )
 
 
-@query("issue_list")
+@query(
+    "issue_list",
+    f"WITH t AS ({TAILS}) SELECT 'outliers' AS issue_type, 'medium' AS severity, 'price' AS columns, "
+    "'keep_outliers,cap_outliers,remove_outliers' AS options FROM t, (" + _BOUNDS.replace("{c}", "price") + ") HAVING count(CASE WHEN price < lo OR price > hi THEN 1 END) > any_value(n) // 20 "
+    "UNION ALL SELECT 'missing_values', 'medium', 'quantity', 'median_imputation,mean_imputation,knn_imputation' FROM t "
+    "HAVING count(CASE WHEN l_orderkey % 5 = 0 THEN 1 END) BETWEEN 0.1 * count(*) AND 0.3 * count(*)",
+)
 def _(spark, folder):
     t = tails(spark, folder).withColumn("quantity", F.when(F.col("l_orderkey") % 5 != 0, F.col("quantity")))
-    return Q.issue_frame(t, Q.find_issues(t, P.profile(t, duplicates=False)))
+    issues = Q.issue_frame(t, Q.find_issues(t, P.profile(t, duplicates=False)))
+    return issues.select("issue_type", "severity", F.concat_ws(",", "columns").alias("columns"), F.concat_ws(",", "options").alias("options"))
 
 
 _FILLED = " + ".join(f"count({c})" for c in COLUMNS)

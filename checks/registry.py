@@ -37,7 +37,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
-    return f"{shared_folder(spark)}/{name}-{spark.sparkContext.applicationId}-{next(_folders)}"
+    base = shared_folder(spark)
+    if base is None:
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder")
+    return f"{base}/{name}-{spark.sparkContext.applicationId}-{next(_folders)}"
 
 
 def rounded(df: DataFrame, places: int = 6, /, **special: int) -> DataFrame:

@@ -36,10 +36,13 @@ def _distances(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
     shared = np.zeros((len(q), len(d)))
     for j in range(q.shape[1]):
         gap = q[:, j][:, None] - d[:, j][None, :]
-        both = ~np.isnan(gap)
-        gap = np.where(both, gap, 0.0)
+        if np.isnan(q[:, j]).any() or np.isnan(d[:, j]).any():
+            both = ~np.isnan(gap)
+            gap = np.where(both, gap, 0.0)
+            shared += both
+        else:
+            shared += 1
         total += np.abs(gap) if metric == "manhattan" else gap * gap
-        shared += both
     if metric == "manhattan":
         return total
     if metric == "euclidean":
