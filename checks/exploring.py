@@ -43,7 +43,7 @@ def _(spark, folder):
 
 _V = "SELECT '{c}' AS \"column\", CAST({c} AS DOUBLE) AS v FROM t WHERE {c} IS NOT NULL"
 _SUMMARY = (
-    "SELECT \"column\", count(*) AS n, min(v) AS min, max(v) AS max, round(avg(v), 4) AS mean, round(median(v), 4) AS median, "
+    "SELECT \"column\", count(*) AS n, round(min(v), 4) AS min, round(max(v), 4) AS max, round(avg(v), 4) AS mean, round(median(v), 4) AS median, "
     "round(stddev_samp(v), 4) AS std, round(var_samp(v), 2) AS variance, round(quantile_cont(v, 0.25), 4) AS q1, round(quantile_cont(v, 0.75), 4) AS q3, "
     "round(quantile_cont(v, 0.75) - quantile_cont(v, 0.25), 4) AS iqr FROM (" + _V + ") GROUP BY \"column\""
 )
@@ -104,8 +104,8 @@ def _(spark, folder):
 
 @query(
     "box_plot",
-    T + union_all("SELECT '{c}' AS \"column\", min({c}) AS min, round(quantile_cont({c}, 0.25), 4) AS q1, round(median({c}), 4) AS median, "
-                  "round(quantile_cont({c}, 0.75), 4) AS q3, max({c}) AS max FROM t", PRICES),
+    T + union_all("SELECT '{c}' AS \"column\", round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS q1, round(median({c}), 4) AS median, "
+                  "round(quantile_cont({c}, 0.75), 4) AS q3, round(max({c}), 4) AS max FROM t", PRICES),
 )
 def _(spark, folder):
     return rounded(describe.box_plot(tails(spark, folder), PRICES), 4)

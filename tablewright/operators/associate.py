@@ -159,12 +159,12 @@ def welch_t_stats(moments: DataFrame) -> DataFrame:
     )
 
 
-def rank_sums(values: DataFrame, moments: DataFrame, rows: int) -> DataFrame:
+def rank_sums(values: DataFrame, moments: DataFrame, rows: int, splits: list[float] | None = None) -> DataFrame:
     """``(pair, g, n, rank_sum, ties)``: rank sums per group over a pair's groups, ties averaged.
 
     ``ties`` is the sum of t^3 - t over the tied values of the pair.
     """
-    splits = range_splits(values, F.col("v"), rows)
+    splits = range_splits(values, F.col("v"), rows) if splits is None else splits
     usable = moments.select("pair", "g")
     counted = values.groupBy("pair", "g", "v").agg(F.count("*").alias("n")).join(usable, ["pair", "g"], "left_semi")
     ranked = rank_values(counted, ["pair"], "v", "n", splits)
@@ -205,10 +205,12 @@ def kruskal_stats(sums: DataFrame) -> DataFrame:
     return parts.select("pair", "k", F.try_divide(h, fix).alias("h"), (F.col("k") - 1).cast("double").alias("df"))
 
 
-def brown_forsythe_stats(values: DataFrame, moments: DataFrame, rows: int) -> DataFrame:
+def brown_forsythe_stats(
+    values: DataFrame, moments: DataFrame, rows: int, splits: list[float] | None = None
+) -> DataFrame:
     """``(pair, f, df1, df2)`` on absolute deviations from the group medians."""
     usable = values.join(moments.select("pair", "g"), ["pair", "g"], "left_semi")
-    medians = group_quantiles(usable, ["pair", "g"], "v", [0.5], rows)
+    medians = group_quantiles(usable, ["pair", "g"], "v", [0.5], rows, splits)
     gaps = usable.join(medians, ["pair", "g"]).select(
         "pair", "g", F.abs(F.col("v") - F.get("quantiles", F.lit(0))).alias("v")
     )
@@ -240,7 +242,8 @@ def group_tests(df: DataFrame, numbers: list[str], categories: list[str]) -> Dat
     rows = df.count() * len(pairs)
     # Both are read by several statistics below and are far smaller than the rows.
     moments = group_moments(values).persist()
-    sums = rank_sums(values, moments, rows).persist()
+    splits = range_splits(values, F.col("v"), rows)
+    sums = rank_sums(values, moments, rows, splits).persist()
     out = []
 
     def add(pair: int, test: str, statistic, df1, df2, p, effect=None) -> None:
@@ -260,7 +263,7 @@ def group_tests(df: DataFrame, numbers: list[str], categories: list[str]) -> Dat
     for r in kruskal_stats(sums).where("k > 2").collect():
         if r["h"] is not None:
             add(r["pair"], "kruskal_wallis", r["h"], r["df"], None, D.chi_square_sf(r["h"], r["df"]))
-    for r in brown_forsythe_stats(values, moments, rows).collect():
+    for r in brown_forsythe_stats(values, moments, rows, splits).collect():
         add(r["pair"], "brown_forsythe", r["f"], r["df1"], r["df2"], D.f_sf(r["f"], r["df1"], r["df2"]))
     sums.unpersist()
     moments.unpersist()

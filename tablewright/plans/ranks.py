@@ -77,15 +77,18 @@ def rank_values(
 
 
 def group_quantiles(
-    df: DataFrame, groups: list[str], value: str, shares: list[float], rows: int
+    df: DataFrame, groups: list[str], value: str, shares: list[float], rows: int, splits: list[float] | None = None
 ) -> DataFrame:
-    """Interpolated quantiles per group as array ``quantiles``, exact at any group size."""
+    """Interpolated quantiles per group as array ``quantiles``, exact at any group size.
+
+    ``splits`` are the range borders of the values, where the caller has them already.
+    """
     data = df.where(F.col(value).isNotNull())
     if rows <= BUCKET_ROWS:  # the aggregation buffers together hold at most this many values
         return data.groupBy(*groups).agg(
             F.percentile(value, F.array(*map(F.lit, shares))).alias("quantiles")
         )
-    splits = range_splits(data, F.col(value), rows)
+    splits = range_splits(data, F.col(value), rows) if splits is None else splits
     counted = data.groupBy(*groups, value).agg(F.count("*").alias("ties"))
     ranked = running_totals(counted, groups, value, "ties", splits)
     sizes = data.groupBy(*groups).agg(F.count("*").alias("_n"))
