@@ -34,8 +34,7 @@ def infer_schema(spark: SparkSession, path: str, rows: int = HEAD_ROWS) -> T.Str
     head = [r["value"] for r in _text(spark, path).limit(rows + 1).collect()]  # at most 1001 lines
     if not head:
         raise SourceError("parse", f"{path} holds no header")
-    lines = spark.createDataFrame([(line,) for line in head], "value string")
-    return spark.read.csv(lines.rdd.map(lambda r: r["value"]), header=True, inferSchema=True).schema
+    return spark.read.csv(spark.sparkContext.parallelize(head, 1), header=True, inferSchema=True).schema
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
