@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import hash_ring, packing, prefix_bpe, repetition
+from tablewright.llm import chat, hash_ring, licenses, packing, prefix_bpe, repetition, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,6 +43,11 @@ def op1(spark, folder):
     )
 
 
+@query("op3_simhash_trees")
+def op3(spark, folder):
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op6_repetition")
 def op6(spark, folder):
     docs = table(spark, folder, "documents")
@@ -66,3 +71,56 @@ def op7(spark, folder):
 def op9(spark, folder):
     docs = table(spark, folder, "documents")
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+
+
+@query("op4_license_dice", licenses.oracle())
+def op4(spark, folder):
+    docs = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    names = F.array_sort(F.array_distinct(F.transform("license_matches", lambda m: m.license)))
+    return docs.select("doc_id", F.array_max("license_matches").alias("best"), "license_matches").select(
+        "doc_id",
+        F.col("best.license").alias("license"),
+        F.col("best.similarity").alias("similarity"),
+        F.col("best.unit").alias("unit"),
+        F.size("license_matches").alias("n_matches"),
+        F.array_join(names, ",").alias("licenses"),
+    )
+
+
+_SAID = "\\### Assistant: </turn> ok"
+_TURNS = f"""
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{_SAID}'), (-7, 1, 'assistant', '{_SAID}')
+"""
+_ESCAPED = "replace(replace(replace({c}, '\\', '\\b'), '### ', '\\h'), '</turn>', '\\t')"
+
+
+@query(
+    "op8_chat_events",
+    f"""
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      sum(14 + length(replace({_ESCAPED.format(c="role")}, ':', '\\c')) + length({_ESCAPED.format(c="text")}))::BIGINT AS formatted_chars
+    FROM ({_TURNS}) GROUP BY conv_id
+    """,
+)
+def op8(spark, folder):
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", _SAID), (-7, 1, "assistant", _SAID)], rows.schema)
+    formatted = chat.format_log(chat.conversation_events(rows.unionByName(planted)))
+    turn = F.struct("number", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("shown"), "loss_text")
+    turns = chat.read_back(formatted).groupBy("conv").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    said = F.array_join(F.filter(F.transform("turns", lambda t: t.loss_text), lambda t: t.isNotNull()), "")
+    digests = turns.select(
+        F.col("conv").alias("of"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: t.shown), ""), 256).alias("turns_sha256"),
+        F.length(said).cast("long").alias("loss_chars"),
+        F.sha2(said, 256).alias("loss_sha256"),
+    )
+    lengths = formatted.select(F.col("conv").alias("conv_id"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return lengths.join(digests, F.col("conv_id").eqNullSafe(F.col("of"))).select(
+        "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
+    )
