@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import chat, hash_ring, licenses, packing, prefix_bpe, repetition, simhash
+from tablewright.llm import backoff, chat, hash_ring, licenses, line_align, order_minhash, packing, prefix_bpe, repetition, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,11 +43,46 @@ def op1(spark, folder):
     )
 
 
+@query("op2_order_minhash")
+def op2(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.withColumn("numbers", order_minhash.signature(F.col("text")))
+    ranges = min(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs = order_minhash.with_next(docs, "doc_id", ["text", "numbers"], F.xxhash64("text"), ranges)
+    docs = docs.withColumn("edited", order_minhash.edited(F.col("text"), F.col("next_text")))
+    docs = docs.withColumn("edited_numbers", order_minhash.signature(F.col("edited")))
+    return docs.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        order_minhash.shown(F.col("numbers")).alias("fingerprint"),
+        order_minhash.shown(F.col("edited_numbers")).alias("edited_fingerprint"),
+        order_minhash.likeness(F.col("numbers"), F.col("edited_numbers")).alias("near_edited"),
+        order_minhash.likeness(F.col("numbers"), F.col("next_numbers")).alias("near_next"),
+    )
+
+
 @query("op3_simhash_trees")
 def op3(spark, folder):
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op5_line_align")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents")
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("n_lines")
+    shorter = line_align.dedupe_lines(docs.select("doc_id", lines, "text"))
+    return shorter.select(
+        "doc_id",
+        "n_lines",
+        "n_removed",
+        "removed_words",
+        "aligned_with",
+        F.length("text").cast("long").alias("kept_chars"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
 @query("op6_repetition")
 def op6(spark, folder):
     docs = table(spark, folder, "documents")
@@ -124,3 +159,9 @@ def op8(spark, folder):
     return lengths.join(digests, F.col("conv_id").eqNullSafe(F.col("of"))).select(
         "conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
     )
+
+
+@query("op10_backoff_automaton")
+def op10(spark, folder):
+    remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10
+    return backoff.score(table(spark, folder, "documents"), remainder != 0)
