@@ -41,9 +41,10 @@ def classification_metrics(scored: DataFrame, label: str = "label", prediction:
 def roc_auc(scored: DataFrame, score: str, positive: str = "label") -> DataFrame:
     """One row ``auc``: exact area under the ROC curve from rank sums, ties averaged.
 
-    ``positive`` is 1 for the positive class and 0 otherwise.
+    ``positive`` is 1 for the positive class and 0 otherwise. Rows without a score or class are
+    left out.
     """
-    rows = scored.select(F.col(score).cast("double").alias("v"), F.col(positive).cast("double").alias("y"))
+    rows = scored.select(F.col(score).cast("double").alias("v"), F.col(positive).cast("double").alias("y")).dropna()
     splits = range_splits(rows, F.col("v"), rows.count())
     counted = rows.groupBy("v").agg(F.count("*").alias("n"), F.sum("y").alias("hits"))
     ranked = rank_values(counted, [], "v", "n", splits)

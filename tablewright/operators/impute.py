@@ -10,7 +10,7 @@ from tablewright.operators.knn import knn_fill
 from tablewright.operators.profile import value_counts
 from tablewright.plans.aggregates import col, columns_of, kinds, measure
 from tablewright.plans.orderstats import interpolated_quantiles, numeric
-from tablewright.plans.ranks import range_splits, with_bucket
+from tablewright.plans.ranks import join_same, range_splits, with_bucket
 
 MISSING, UNKNOWN = "Missing", "Unknown"  # fixed values: fill texts
 
@@ -97,6 +97,7 @@ def _with_neighbours(df: DataFrame, names: list[str], order_by: str, partition_b
 
     A cell is ``(value, key)``. Rows are cut into key ranges; a window finds neighbours within a
     range, and one small row per range and group carries the last and first cell across ranges.
+    Null groups are groups, and rows with a null key stand before all others.
     """
     key = _key(df, order_by)
     splits = range_splits(df, key, df.count())
@@ -131,7 +132,7 @@ def _with_neighbours(df: DataFrame, names: list[str], order_by: str, partition_b
         *[F.last(f"_last_{i}", True).over(before).alias(f"_carry_back_{i}") for i in cells],
         *[F.last(f"_first_{i}", True).over(after).alias(f"_carry_ahead_{i}") for i in cells],
     )
-    joined = near.join(carried, groups)
+    joined = join_same(near, carried, groups)
 
     def cell(name: str) -> Column:
         return F.when(F.col(name).isNotNull(), F.struct(F.col(name)["value"].alias("value"), F.col(name)["key"].alias("key")))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.plans.aggregates import col, kind_of, measure
-from tablewright.plans.orderstats import values_at
+from tablewright.plans.aggregates import col, measure
+from tablewright.plans.ranks import range_splits, with_bucket
 
 SHALLOW_ROWS = 100_000  # a sorted prefix of this length may pass through one task
-EXACT_INTEGER = 2**53
 
 
 def require_columns(df: DataFrame, names: list[str]) -> None:
@@ -34,35 +33,30 @@ def exclude_columns(df: DataFrame, names: list[str], target: str | None = None)
     return df.drop(*names)
 
 
-def _key_number(df: DataFrame, order_by: str) -> Column | None:
-    kind = kind_of(df.schema[order_by].dataType)
-    if kind == "numeric":
-        return col(order_by).cast("double")
-    if kind == "datetime":
-        return F.unix_micros(col(order_by).cast("timestamp")).cast("double")
-    return None
-
-
 def row_range(df: DataFrame, start: int, end: int, order_by: str) -> DataFrame:
-    """Rows ``start`` to ``end`` (exclusive) in the order of a unique key.
+    """Rows ``start`` to ``end`` (exclusive) in the order of a unique key of any kind; null keys come first.
 
-    A range near the top is a bounded top-k. A deep one is read by key range: the keys at both
-    ends are found as order statistics and the rest is a filter, with no global sort.
+    A range near the top is a bounded top-k. For a deep one the table is cut into key ranges whose
+    counts tell which hold the wanted rows: those inside pass a filter, and only the two at the
+    ends are ordered within.
     """
     count = max(0, end - start)
     if start + count <= SHALLOW_ROWS:
         return df.orderBy(col(order_by)).offset(start).limit(count)
-    key = _key_number(df, order_by)
-    if key is None:
-        raise ValueError("deep row ranges need a numeric or time order key")
-    seen = measure(df, {"n": F.count(key), "top": F.max(F.abs(key))})
-    last = min(end, seen["n"]) - 1
-    if seen["top"] is not None and seen["top"] > EXACT_INTEGER:
-        raise ValueError("order keys beyond 2^53 cannot be ranged exactly")
-    if last < start:
-        return df.where(F.lit(False))
-    at = values_at(df, {"key": [start, last]}, {"key": seen["n"]}, {"key": key})
-    return df.where(key.between(at[("key", start)], at[("key", last)]))
+    cut = with_bucket(df, col(order_by), range_splits(df, col(order_by), df.count()))
+    inside, ends, before = [], [], 0
+    for bucket, n in sorted(tuple(r) for r in cut.groupBy("bucket").count().collect()):  # one row per range
+        if start <= before and before + n <= end:
+            inside.append(bucket)
+        elif before < end and start < before + n:
+            ends.append((bucket, max(0, start - before), end - before))
+        before += n
+    whole = cut.where(F.col("bucket").isin(inside)).drop("bucket") if inside else df.limit(0)
+    for bucket, low, high in ends:
+        place = F.row_number().over(Window.partitionBy("bucket").orderBy(col(order_by)))
+        part = cut.where(F.col("bucket") == bucket).withColumn("_place", place)
+        whole = whole.unionByName(part.where((F.col("_place") > low) & (F.col("_place") <= high)).drop("bucket", "_place"))
+    return whole
 
 
 def page(df: DataFrame, start: int, count: int, order_by: str) -> tuple[DataFrame, int]:

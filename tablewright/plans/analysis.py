@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from tablewright.operators import associate, correlate, describe, quality
 from tablewright.operators.profile import TableProfile, dataset_frame, profile, profile_frame
 from tablewright.plans.aggregates import kinds
+from tablewright.plans.orderstats import numeric
 
 
 @dataclass
@@ -34,7 +35,9 @@ def analyze(df: DataFrame, approximate: bool = False, cache: bool = False) -> An
     try:
         table = profile(source, approximate=approximate)
         kind = kinds(source)
-        numbers = [n for n in table.of_type("numeric") if kind[n] == "numeric"]
+        numbers = [n for n in table.of_type("numeric") if kind[n] in ("numeric", "string")]
+        read = {n: numeric(n) for n in numbers if kind[n] == "string"}
+        numbered = source.withColumns(read) if read else source  # text that holds numbers, as numbers
         words = [n for n in table.of_type("categorical", "binary", "boolean", "string")]
         frames = {
             "columns": profile_frame(df, table),
@@ -46,13 +49,13 @@ def analyze(df: DataFrame, approximate: bool = False, cache: bool = False) -> An
             **describe.column_statistics(source, table),
         }
         if len(numbers) > 1:
-            frames["pearson"] = correlate.pearson(source, numbers)
-            frames["spearman"] = correlate.spearman(source, numbers)
+            frames["pearson"] = correlate.pearson(numbered, numbers)
+            frames["spearman"] = correlate.spearman(numbered, numbers)
             frames["top_pairs"] = correlate.top_pairs(frames["pearson"])
         if len(words) > 1:
             frames["categorical_association"] = associate.categorical_association(source, words)
         if numbers and words:
-            frames["group_tests"] = associate.group_tests(source, numbers, words)
+            frames["group_tests"] = associate.group_tests(numbered, numbers, words)
         return Analysis(table, frames)
     finally:
         if cache:

@@ -21,12 +21,12 @@ SKETCH_ACCURACY = 10_000
 
 
 def _number(c: Column) -> Column:
-    value = c.cast("double")
+    value = c.try_cast("double")
     return F.when(~F.isnan(value), value)
 
 
 def numeric(name: str) -> Column:
-    """A column as double, with NaN read as missing."""
+    """A column as double; NaN, and text that is no number, read as missing."""
     return _number(col(name))
 
 

@@ -12,40 +12,65 @@ from __future__ import annotations
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET_ROWS = 500_000
-MAX_BUCKETS = 4096
+NULL_BUCKET = -1.0  # null keys sort first
+
+
+def position(df: DataFrame, key: Column) -> Column:
+    """A double that never falls when the key rises, of a key of any sortable kind; null for null.
+
+    Of texts it is the first six bytes, so texts that begin alike share a position.
+    """
+    kind = df.select(key.alias("k")).schema["k"].dataType
+    if isinstance(kind, (T.StringType, T.BinaryType, T.CharType, T.VarcharType)):
+        start = F.rpad(F.hex(F.substring(key.cast("binary"), 1, 6)), 12, "0")
+        return F.conv(start, 16, 10).cast("double")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(key.cast("timestamp")).cast("double")
+    return key.cast("double")
 
 
 def range_splits(df: DataFrame, key: Column, rows: int) -> list[float]:
     """Inner bucket borders for ``rows`` rows; empty when one bucket is enough."""
-    buckets = min(MAX_BUCKETS, -(-rows // BUCKET_ROWS))
+    buckets = -(-rows // BUCKET_ROWS)
     if buckets <= 1:
         return []
     shares = [i / buckets for i in range(1, buckets)]
-    keyed = df.select(key.cast("double").alias("key"))
+    keyed = df.select(position(df, key).alias("key"))
     return sorted(set(keyed.approxQuantile("key", shares, 0.25 / buckets)))
 
 
 def with_bucket(df: DataFrame, key: Column, splits: list[float]) -> DataFrame:
-    """Add ``bucket``, increasing with the key."""
+    """Add ``bucket``, increasing with the key; null keys have the first bucket of all, NaN the last."""
     if not splits:
         return df.withColumn("bucket", F.lit(0.0))
     cut = Bucketizer(
         splits=[-float("inf"), *splits, float("inf")],
         inputCol="_key",
-        outputCol="bucket",
+        outputCol="_bucket",
         handleInvalid="keep",
     )
-    return cut.transform(df.withColumn("_key", key.cast("double"))).drop("_key")
+    at = df.withColumn("_key", position(df, key))
+    null = F.col("_key").isNull()
+    placed = cut.transform(at.withColumns({"_null": null, "_key": F.coalesce("_key", F.lit(0.0))}))
+    return placed.withColumn("bucket", F.when(F.col("_null"), NULL_BUCKET).otherwise(F.col("_bucket"))).drop("_key", "_null", "_bucket")
+
+
+def join_same(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """Inner join on equal names in which null equals null."""
+    renamed = right.withColumnsRenamed({n: f"_same_{i}" for i, n in enumerate(names)})
+    on = [left[n].eqNullSafe(renamed[f"_same_{i}"]) for i, n in enumerate(names)]
+    return left.join(renamed, on).drop(*[f"_same_{i}" for i in range(len(names))])
 
 
 def running_totals(
     df: DataFrame, groups: list[str], key: str, weight: str, splits: list[float]
 ) -> DataFrame:
-    """Add ``before``: the weight of all rows of the group with a smaller key.
+    """Add ``before``: the weight of all rows of the group with a smaller key; null is the smallest.
 
-    ``(groups, key)`` must be unique.
+    ``(groups, key)`` must be unique. Null groups are groups.
     """
     if not splits:
         w = Window.partitionBy(*groups).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
@@ -61,7 +86,7 @@ def running_totals(
         Window.partitionBy(*groups, "bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     )
     return (
-        cut.join(offsets, [*groups, "bucket"])
+        join_same(cut, offsets, [*groups, "bucket"])
         .withColumn("before", F.col("_offset") + F.coalesce(F.sum(weight).over(inner), F.lit(0)))
         .drop("bucket", "_offset")
     )
@@ -92,7 +117,7 @@ def group_quantiles(
     counted = data.groupBy(*groups, value).agg(F.count("*").alias("ties"))
     ranked = running_totals(counted, groups, value, "ties", splits)
     sizes = data.groupBy(*groups).agg(F.count("*").alias("_n"))
-    placed = ranked.join(sizes, groups)
+    placed = join_same(ranked, sizes, groups)
     picks = []
     for i, q in enumerate(shares):
         spot = F.lit(q) * (F.col("_n") - 1)
