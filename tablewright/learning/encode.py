@@ -52,7 +52,8 @@ def _quoted(name: str) -> str:
 def fit_encoder(df: DataFrame, target: str | None = None) -> Encoder:
     """Z-score numbers (population deviation), one-hot everything textual or boolean.
 
-    Unknown categories become all zeros; columns of other kinds are left out.
+    Unknown and missing categories become all zeros, missing numbers the mean of the training
+    rows; columns of other kinds are left out.
     """
     kind = {n: k for n, k in kinds(df).items() if n != target}
     numbers = [n for n, k in kind.items() if k == "numeric"]
@@ -67,7 +68,8 @@ def fit_encoder(df: DataFrame, target: str | None = None) -> Encoder:
     if wide:
         raise ValueError(f"too many levels to encode: {', '.join(wide)}; exclude these columns")
     scaled = [
-        f"(CAST({_quoted(n)} AS DOUBLE) - {seen[(n, 'mean')]!r}D) / {(seen[(n, 'std')] or 1.0)!r}D AS _z{i}" for i, n in enumerate(numbers)
+        f"COALESCE((NANVL(TRY_CAST({_quoted(n)} AS DOUBLE), CAST(NULL AS DOUBLE)) - {seen[(n, 'mean')]!r}D) / {(seen[(n, 'std')] or 1.0)!r}D, 0.0D) AS _z{i}"
+        for i, n in enumerate(numbers)
     ]
     texts = [f"CAST({_quoted(n)} AS STRING) AS _t{i}" for i, n in enumerate(words)]
     stages = [SQLTransformer(statement=f"SELECT {', '.join(['*', *scaled, *texts])} FROM __THIS__")]

@@ -85,9 +85,11 @@ def sampled_attributions(
 
 
 def attributions(model: Model, df: DataFrame, width: int, facts: Facts, rows: int = 100, seed: int = 42) -> DataFrame:
-    """Exact for linear models, sampled otherwise."""
+    """Exact for linear models with one weight per feature, sampled otherwise."""
     picked = explained_rows(df, rows, seed)
-    if hasattr(model, "coefficients") and not hasattr(model, "trees"):
+    # a model of three classes or more has a weight per class, and raises when asked for one
+    one_each = facts.task != CLASSIFICATION or facts.classes <= 2
+    if one_each and hasattr(model, "coefficients") and not hasattr(model, "trees"):
         weights = [float(w) for w in model.coefficients.toArray()]
         return linear_attributions(weights, feature_means(df), picked)
     return sampled_attributions(model, picked, explained_rows(df, BACKGROUND_ROWS, seed + 1).drop("row"), width, facts, seed)

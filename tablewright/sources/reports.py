@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tablewright.operators.clean import scrub_output
 from tablewright.operators.profile import TableProfile, complexity
 from tablewright.operators.select import target_last
-from tablewright.plans.aggregates import kinds
+from tablewright.plans.aggregates import col
 from tablewright.plans.analysis import Analysis
 from tablewright.plans.cleaning import CleaningResult
 from tablewright.sources.tables import column_info
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A folder of CSV parts with header, written by the executors."""
-    df.write.mode("overwrite").csv(path, header=True, sep=",", quote='"', escape='"')
+    """A folder of CSV parts with header, written by the executors; blanks around values stay."""
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").csv(path, header=True, sep=",", quote='"', escape='"', **spaces)
 
 
 def write_processed(df: DataFrame, path: str, target: str | None = None) -> None:
@@ -25,8 +29,17 @@ def write_processed(df: DataFrame, path: str, target: str | None = None) -> None
 
 
 def write_predictions(scored: DataFrame, path: str) -> None:
-    """Scored rows; vector columns cannot be written as CSV and are left out."""
-    write_csv(scored.select(*[n for n, k in kinds(scored).items() if k != "other"]), path)
+    """Scored rows; arrays, maps, structs and vectors as JSON, binary as base 64."""
+    shown = {}
+    for f in scored.schema:
+        c, kind = col(f.name), f.dataType
+        if isinstance(kind, VectorUDT):
+            shown[f.name] = F.to_json(vector_to_array(c))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            shown[f.name] = F.to_json(c)
+        elif isinstance(kind, T.BinaryType):
+            shown[f.name] = F.base64(c)
+    write_csv(scored.withColumns(shown) if shown else scored, path)
 
 
 def finite_json(df: DataFrame) -> DataFrame:

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions import text as X
 from tablewright.plans.aggregates import col, kinds, measure
 
-HEAD_ROWS = 1000  # fixed value: rows a schema is inferred from
+HEAD_ROWS = 1000  # fixed value: rows from which types are guessed; all rows are held against the guess
 
 
 class SourceError(Exception):
@@ -29,43 +29,106 @@ def _text(spark: SparkSession, path: str) -> DataFrame:
         raise SourceError(reason, str(e)) from e
 
 
-def infer_schema(spark: SparkSession, path: str, rows: int = HEAD_ROWS) -> T.StructType:
-    """The schema of a CSV with header, from its first rows only."""
-    head = [r["value"] for r in _text(spark, path).limit(rows + 1).collect()]  # at most 1001 lines
-    if not head:
-        raise SourceError("parse", f"{path} holds no header")
-    return spark.read.csv(spark.sparkContext.parallelize(head, 1), header=True, inferSchema=True).schema
+QUOTES = {"header": True, "quote": '"', "escape": '"'}
+# The next wider type of each that a column may be given when values do not fit.
+WIDER: dict[type[T.DataType], T.DataType] = {T.IntegerType: T.LongType(), T.LongType: T.DoubleType()}
+
+
+def _head(spark: SparkSession, lines: DataFrame) -> list[str]:
+    return [r["value"] for r in lines.limit(HEAD_ROWS + 1).collect()]  # at most 1001 lines
+
+
+def _guessed(spark: SparkSession, head: list[str]) -> T.StructType:
+    return spark.read.csv(spark.sparkContext.parallelize(head, 1), inferSchema=True, **QUOTES).schema
+
+
+def _as_text(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+
+
+def _fits(c: Column, kind: T.DataType) -> Column:
+    """Whether the reader takes a text as a value of this type without loss."""
+    number = r"^[+-]?[0-9]+$" if isinstance(kind, T.IntegralType) else r"^[+-]?([0-9]|[.][0-9]|NaN$|Inf)\S*$"
+    if isinstance(kind, T.NumericType):
+        return c.rlike(number) & c.try_cast(kind).isNotNull()
+    if isinstance(kind, T.BooleanType):
+        return F.lower(c).isin("true", "false")
+    if isinstance(kind, T.DateType):
+        return c.rlike(r"^\d{4}-\d{2}-\d{2}$") & c.try_cast(kind).isNotNull()
+    return c.try_cast(kind).isNotNull()
+
+
+def fitted_schema(texts: DataFrame, guess: T.StructType) -> T.StructType:
+    """The guess, with every type widened until all values of the table fit; one scan.
+
+    Integers may become long or double, whatever fits nothing else stays text.
+    """
+    chains: dict[str, list[T.DataType]] = {}
+    for f in guess:
+        kind = f.dataType
+        while kind is not None and not isinstance(kind, T.StringType):
+            chains.setdefault(f.name, []).append(kind)
+            kind = WIDER.get(type(kind))
+    given = {n: col(n).isNotNull() & (col(n) != "") for n in chains}
+    lost = measure(
+        texts,
+        {(n, i): F.count(F.when(given[n] & ~F.coalesce(_fits(col(n), k), F.lit(False)), 1)) for n, c in chains.items() for i, k in enumerate(c)},
+    )
+    kinds_ = {n: next((k for i, k in enumerate(c) if not lost[(n, i)]), T.StringType()) for n, c in chains.items()}
+    return T.StructType([T.StructField(f.name, kinds_.get(f.name, T.StringType())) for f in guess])
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with header; types come from the first 1000 rows, the data is scanned once, lazily."""
-    schema = schema or infer_schema(spark, path)
-    return spark.read.csv(path, header=True, schema=schema, quote='"', escape='"', multiLine=False)
+    """CSV with header; a value never becomes null because it does not fit its column's type.
+
+    Types are guessed from the first 1000 rows and held against all rows. Records with line
+    breaks inside quotes are read whole; files that hold such a record are not split.
+    """
+    lines = _text(spark, path)
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    broken = bool(lines.where(quotes % 2 == 1).head(1))
+    options = QUOTES | {"multiLine": broken}
+    if schema is None:
+        head = _head(spark, lines)
+        if not head:
+            raise SourceError("parse", f"{path} holds no header")
+        guess = spark.read.csv(path, inferSchema=True, **options).schema if broken else _guessed(spark, head)
+        schema = fitted_schema(spark.read.csv(path, schema=_as_text(guess), **options), guess)
+    return spark.read.csv(path, schema=schema, **options)
 
 
 def read_csv_tolerant(spark: SparkSession, path: str) -> DataFrame:
-    """CSV whose lines may hold doubled or tripled quotes and blank lines.
+    """CSV whose lines may hold doubled or tripled quotes and blank lines, with types as ``read_csv`` gives them.
 
-    The plain parse is kept when the first rows fit the header; otherwise quotes are collapsed
-    and blank lines dropped, line by line on the executors, before parsing.
+    The plain parse is kept when every line fits the header; otherwise quotes are collapsed and
+    blank lines dropped, line by line on the executors, before parsing. Each file's first line is
+    its header; later lines that equal it are data.
     """
-    schema = infer_schema(spark, path)
-    checked = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
-    probe = spark.read.csv(
-        path, header=True, schema=checked, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE", escape='"'
-    )
+    head = _head(spark, _text(spark, path).where(X.trimmed(F.col("value")) != ""))
+    if not head:
+        raise SourceError("parse", f"{path} holds no header")
+    plain = _as_text(_guessed(spark, head))
+    checked = T.StructType([*plain.fields, T.StructField("_corrupt", T.StringType())])
+    probe = spark.read.csv(path, schema=checked, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE", **QUOTES)
     # Whole rows are asked for, since Spark parses only the columns a query reads.
-    if not probe.limit(HEAD_ROWS).where(F.col("_corrupt").isNotNull()).head(1):
-        return probe.drop("_corrupt")
-    quote = F.lit('"')
-    line = F.replace(F.replace(F.col("value"), F.lit('"""'), quote), F.lit('""'), quote)
-    lines = _text(spark, path).select(line.alias("value")).where(X.trimmed(F.col("value")) != "")
-    header = lines.first()["value"]
-    names = next(iter(spark.read.csv(spark.sparkContext.parallelize([header])).collect()))
-    body = lines.where(F.col("value") != header)
+    if not probe.where(F.col("_corrupt").isNotNull()).head(1):
+        return read_csv(spark, path)
+
+    def collapsed(c: Column) -> Column:
+        quote = F.lit('"')
+        return F.replace(F.replace(c, F.lit('"""'), quote), F.lit('""'), quote)
+
+    # one column of whole lines: the reader itself leaves out each file's header
+    lines = spark.read.csv(path, schema="value string", header=True, sep="\u0001", quote="", multiLine=False)
+    body = lines.where(X.trimmed(F.col("value")) != "").select(collapsed(F.col("value")).alias("value"))
+    shown = [x.replace('"""', '"').replace('""', '"') for x in head]
+    guess = _guessed(spark, shown)
+    names = next(iter(spark.read.csv(spark.sparkContext.parallelize(shown[:1]), escape='"').collect()))
     quoted = ["`" + (n or f"column_{i}").replace("`", "``") + "` string" for i, n in enumerate(names)]
-    parsed = body.select(F.from_csv("value", ", ".join(quoted), {"mode": "PERMISSIVE"}).alias("r"))
-    return parsed.select("r.*")
+    parsed = body.select(F.from_csv("value", ", ".join(quoted), {"mode": "PERMISSIVE", "escape": '"'}).alias("r")).select("r.*")
+    guess = T.StructType([T.StructField(n, f.dataType) for n, f in zip(parsed.columns, guess, strict=True)])
+    fitted = fitted_schema(parsed, guess)
+    return parsed.select(*[col(f.name).try_cast(f.dataType).alias(f.name) for f in fitted])
 
 
 def column_info(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from tablewright.sources.reports import write_csv
 from tablewright.sources.tables import SourceError, coerce_numeric, read_csv, read_csv_tolerant
 
 
@@ -23,7 +24,33 @@ def test_tolerant_reader_drops_blank_lines_and_extra_quotes(spark, tmp_path):
     path = tmp_path / "b.csv"
     path.write_text('id,name\n1,""a,b""\n   \n2,"""c,d"""\n')
     rows = {r["id"]: r["name"] for r in read_csv_tolerant(spark, str(path)).collect()}
-    assert rows == {"1": "a,b", "2": "c,d"}
+    assert rows == {1: "a,b", 2: "c,d"}
+
+
+def test_late_values_widen_types(spark, tmp_path):
+    """Nothing after the rows that types are guessed from is lost."""
+    path = tmp_path / "late.csv"
+    body = [f"{i},{i},{i},true" for i in range(1500)] + ["1500,3.75,5000000000,false", "1501,7,8,maybe", "abc,,,"]
+    path.write_text("a,b,c,d\n" + "\n".join(body) + "\n")
+    rows = read_csv(spark, str(path))
+    assert dict(rows.dtypes) == {"a": "string", "b": "double", "c": "bigint", "d": "string"}
+    assert rows.count() == 1503 and rows.where("b = 3.75").count() == 1 and rows.where("a = 'abc'").count() == 1
+    assert rows.where("d = 'maybe'").count() == 1
+
+
+def test_line_breaks_survive(spark, tmp_path):
+    table = spark.createDataFrame([(1, 'a\nb "c", d'), (2, "\n"), (3, None)], "id int, text string")
+    write_csv(table, str(tmp_path / "out"))
+    back = {r["id"]: r["text"] for r in read_csv(spark, str(tmp_path / "out")).collect()}
+    assert back == {1: 'a\nb "c", d', 2: "\n", 3: None}
+
+
+def test_tolerant_reader_judges_all_lines(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    path.write_text("id,name\n" + "".join(f"{i},n\n" for i in range(1500)) + 'id,name\n1500,""x,y""\n')
+    rows = read_csv_tolerant(spark, str(path))
+    found = [tuple(r) for r in rows.where("name <> 'n'").collect()]
+    assert sorted(found) == [("1500", "x,y"), ("id", "name")] and rows.count() == 1502
 
 
 def test_coercion_refuses_lost_values(spark):
