@@ -72,9 +72,9 @@ def drop_missing(df: DataFrame, names: list[str]) -> DataFrame:
 
 
 def final_fill(df: DataFrame) -> DataFrame:
-    """Whatever is left: numbers to 0, everything else to ``Unknown``."""
+    """Whatever is left: numbers to 0, everything else to ``Unknown``; times stay missing rather than become text."""
     kind = kinds(df)
-    open_ = measure(df, {n: F.count(F.when(col(n).isNull(), 1)) for n, k in kind.items() if k != "other"})
+    open_ = measure(df, {n: F.count(F.when(col(n).isNull(), 1)) for n, k in kind.items() if k not in ("other", "datetime")})
     changes = {}
     for n, nulls in open_.items():
         if nulls:
@@ -216,7 +216,8 @@ def impute(
         else:
             act = FALLBACK.get(inferred.get(n, ""), "constant_imputation")
         if act in ("forward_fill", "interpolation") and order_by is None:
-            act = "constant_imputation"
+            # a time has no constant to stand for it, and filling must not change its type
+            act = "none" if kind[n] == "datetime" else "constant_imputation"
         plan.setdefault(act, []).append(n)
     out = df
     simple = [
@@ -234,8 +235,12 @@ def impute(
         out = forward_backward_fill(out, plan["forward_fill"], order_by)
     if plan.get("interpolation"):
         out = interpolate(out, plan["interpolation"], order_by)
-    log = [Action("value_imputed", n, f"Filled '{n}' by {act}") for act, names in plan.items() for n in names]
-    return out, log
+    def entry(act: str, n: str) -> Action:
+        if act == "none":
+            return Action("value_kept_missing", n, f"Left '{n}' missing: its fill needs an order key")
+        return Action("value_imputed", n, f"Filled '{n}' by {act}")
+
+    return out, [entry(act, n) for act, names in plan.items() for n in names]
 
 
 def scoring_fill(df: DataFrame, names: list[str], stored: dict[str, float] | None = None) -> DataFrame:

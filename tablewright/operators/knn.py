@@ -26,7 +26,6 @@ from tablewright.session import cut_lineage
 BLOCK_DONORS = 4_000
 BLOCK_QUERIES = 2_000
 SLAB_CELLS = 1_000_000  # distances held at once inside a block
-MAX_RANGES = 4096
 NULL_RANGE = -1  # donors, or queries, without a value in the routing feature
 
 
@@ -159,7 +158,7 @@ def nearest(
         | {(f, "spread"): F.stddev_pop(f) for f in features},
     )
     route = max(features, key=lambda f: (stats[(f, "filled")], stats[(f, "spread")] or 0.0), default=None)
-    ranges = min(MAX_RANGES, -(-stats["n"] // BLOCK_DONORS))
+    ranges = -(-stats["n"] // BLOCK_DONORS)
     splits: list[float] = []
     if route and ranges > 1:
         shares = [i / ranges for i in range(1, ranges)]
@@ -264,7 +263,7 @@ def knn_predict(
     cells = _features(train, features)
     tie = col(key).cast("long") if key else F.xxhash64(*map(col, train.columns))
     donors = train.select(*[c.alias(a) for a, c in cells.items()], tie.alias("tie"), numeric(label).alias("y"))
-    asked = rows.withColumn("_qid", F.concat_ws("|", *[c.cast("string") for c in cells.values()]))
+    asked = rows.withColumn("_qid", F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cells.values()]))
     queries = asked.select(F.col("_qid").alias("qid"), *[c.alias(a) for a, c in cells.items()]).dropDuplicates(["qid"])
     found = nearest(queries, donors, len(features), k, metric)
     if weights == "distance":

@@ -50,11 +50,14 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder; without one the plan stays uncut."""
+    """Materialise ``df`` in the reliable checkpoint folder, which a cluster must name.
+
+    Left uncut, row numbers and borders would be computed again by each job and could disagree.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = shared_folder(df.sparkSession)
         if folder is None:
-            return df
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

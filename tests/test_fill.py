@@ -115,3 +115,31 @@ def test_removal_is_sequential(spark):
     one = O.remove_outliers(rows.select("a", "b"), ["a", "b"])
     step = O.remove_outliers(O.remove_outliers(rows, ["a"]), ["b"])
     assert one.count() == step.count()
+
+
+def test_times_without_an_order_key_stay_times(spark):
+    rows = spark.sql("SELECT 1 AS id, CAST(NULL AS TIMESTAMP) AS at UNION ALL SELECT 2, TIMESTAMP '2024-01-01'")
+    out, log = I.impute(rows, {"at": "forward_fill"})
+    out = I.final_fill(out)
+    assert dict(out.dtypes)["at"] == "timestamp" and out.where("at IS NULL").count() == 1
+    assert [a.action_type for a in log] == ["value_kept_missing"]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_null_groups_and_keys_keep_their_rows(spark, small, request):
+    if small:
+        request.getfixturevalue("small_blocks")
+    rows = spark.range(1000).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"),
+        F.when(F.col("id") != 500, F.col("id")).alias("k"),
+        F.when(F.col("id") != 500, F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 4, "0"))).alias("text_key"),
+        F.when(F.col("id") % 5 == 0, F.col("id").cast("double")).alias("v"),
+    )
+    expected = {}
+    for key in ("k", "text_key"):
+        out = I.forward_backward_fill(rows, ["v"], key, ["g"])
+        assert out.count() == 1000 and out.where("v IS NULL").count() == 0
+        expected[key] = sorted((r["g"] or 0, r["k"] or -1, r["v"]) for r in out.collect())
+    assert expected["k"] == expected["text_key"]
+    assert (0, 6, 0.0) in expected["k"]
+    assert I.interpolate(rows, ["v"], "k", ["g"]).count() == 1000
