@@ -10,20 +10,30 @@ from tablewright.learning import models as M
 from tablewright.learning import train as T
 from tablewright.sources.tables import coerce_numeric
 
+_FEATURES = (
+    "d.doc_id, lang, CAST(n_chars AS DOUBLE) AS n_chars, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS spaces, "
+    "CAST(length(text) - length(replace(text, '.', '')) AS DOUBLE) AS stops"
+)
 DOCS = (
-    "SELECT d.doc_id, lang, CAST(n_chars AS DOUBLE) AS n_chars, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS spaces, "
-    "CAST(length(text) - length(replace(text, '.', '')) AS DOUBLE) AS stops, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS grade "
+    f"SELECT {_FEATURES}, CASE WHEN quality = 1 THEN 'good' ELSE 'poor' END AS grade "
     "FROM documents d JOIN labels l ON d.doc_id = l.doc_id"
 )
 D = f"WITH d AS ({DOCS}) "
+ALL = f"SELECT {_FEATURES} FROM documents d"
+A = f"WITH d AS ({ALL}) "
 
 
 def docs(spark, folder):
-    """Labelled documents with simple features."""
+    """Labelled documents with simple features, where a grade is learnt."""
     text = DOCS.replace("documents d", "{documents} d").replace("labels l", "{labels} l")
     return spark.sql(text, documents=table(spark, folder, "documents"), labels=table(spark, folder, "labels"))
 
 
+def all_docs(spark, folder):
+    """All documents with the same features."""
+    return spark.sql(ALL.replace("documents d", "{documents} d"), documents=table(spark, folder, "documents"))
+
+
 def options(task=M.CLASSIFICATION, **more) -> T.TrainOptions:
     target = "grade" if task == M.CLASSIFICATION else "n_chars"
     given = {"task": task, "target": target, "tune": False, "folds": 2, "explain": False, "key": ["doc_id"]} | more
@@ -32,7 +42,7 @@ def options(task=M.CLASSIFICATION, **more) -> T.TrainOptions:
 
 def fitted(spark, folder, algorithm, params=None, task=M.CLASSIFICATION):
     """Train one algorithm and score its test rows."""
-    rows = docs(spark, folder)
+    rows = docs(spark, folder) if task == M.CLASSIFICATION else all_docs(spark, folder)
     train, test, encoder, labels, facts, _ = T.prepare(rows, options(task))
     model = T.fit(algorithm, train, facts, params or {}, 42)
     return model.transform(test)
@@ -54,11 +64,11 @@ def _(spark, folder):
 
 @query(
     "scale_and_one_hot",
-    D + "SELECT doc_id, round((n_chars - (SELECT avg(n_chars) FROM d)) / (SELECT stddev_pop(n_chars) FROM d), 6) AS z, "
+    A + "SELECT doc_id, round((n_chars - (SELECT avg(n_chars) FROM d)) / (SELECT stddev_pop(n_chars) FROM d), 6) AS z, "
     "CAST(lang = 'de' AS DOUBLE) AS de, CAST(lang = 'en' AS DOUBLE) AS en, CAST(lang = 'es' AS DOUBLE) AS es, CAST(lang = 'fr' AS DOUBLE) AS fr FROM d",
 )
 def _(spark, folder):
-    rows = docs(spark, folder).select("doc_id", "n_chars", "lang")
+    rows = all_docs(spark, folder).select("doc_id", "n_chars", "lang")
     encoder = encode.fit_encoder(rows.drop("doc_id"))
     x = vector_to_array("features")
     return rounded(
@@ -69,9 +79,9 @@ def _(spark, folder):
     )
 
 
-@query("target_encoding", D + "SELECT doc_id, lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS DOUBLE) AS label FROM d")
+@query("target_encoding", A + "SELECT doc_id, lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS DOUBLE) AS label FROM d")
 def _(spark, folder):
-    rows = docs(spark, folder)
+    rows = all_docs(spark, folder)
     return encode.with_label(rows, "lang", encode.fit_labels(rows, "lang")).select("doc_id", "lang", "label")
 
 
@@ -292,19 +302,19 @@ _ATT = (
 
 
 def linear_found(spark, folder):
-    rows = docs(spark, folder).select(F.col("doc_id").alias("row"), F.array("n_chars", "spaces").alias("x"))
-    assembled = VectorAssembler(inputCols=["n_chars", "spaces"], outputCol="features").transform(docs(spark, folder))
+    rows = all_docs(spark, folder).select(F.col("doc_id").alias("row"), F.array("n_chars", "spaces").alias("x"))
+    assembled = VectorAssembler(inputCols=["n_chars", "spaces"], outputCol="features").transform(all_docs(spark, folder))
     return explain.linear_attributions([0.5, -2.0], explain.feature_means(assembled), rows)
 
 
-@query("linear_attributions", D + _ATT)
+@query("linear_attributions", A + _ATT)
 def _(spark, folder):
     return rounded(linear_found(spark, folder), 4)
 
 
 @query(
     "feature_importance",
-    D + f", a AS ({_ATT.replace('round(', '(').replace(', 4)', ')')}) SELECT feature, round(i / sum(i) OVER (), 6) AS share FROM (SELECT feature, avg(abs(attribution)) AS i FROM a GROUP BY feature)",
+    A + f", a AS ({_ATT.replace('round(', '(').replace(', 4)', ')')}) SELECT feature, round(i / sum(i) OVER (), 6) AS share FROM (SELECT feature, avg(abs(attribution)) AS i FROM a GROUP BY feature)",
 )
 def _(spark, folder):
     found = explain.mean_attributions(linear_found(spark, folder)).collect()
@@ -338,20 +348,20 @@ def _(spark, folder):
     result = T.train_models(rows, options(algorithm="logistic_regression"))
     path = scratch(spark, "model")
     T.save(result, path)
-    return rounded(T.load(spark, path).predict(rows).drop("text"))
+    return rounded(T.load(spark, path).predict(all_docs(spark, folder)))
 
 
 @query("batch_prediction")
 def _(spark, folder):
     rows = docs(spark, folder)
     result = T.train_models(rows, options(algorithm="decision_tree"))
-    return rounded(T.score_rows(result, rows.drop("grade")))
+    return rounded(T.score_rows(result, all_docs(spark, folder)))
 
 
-@query("class_probabilities", D + "SELECT doc_id, 1.0::DOUBLE AS total FROM d")
+@query("class_probabilities", A + "SELECT doc_id, 1.0::DOUBLE AS total FROM d")
 def _(spark, folder):
     rows = docs(spark, folder)
-    scored = T.score_rows(T.train_models(rows, options(algorithm="logistic_regression")), rows)
+    scored = T.score_rows(T.train_models(rows, options(algorithm="logistic_regression")), all_docs(spark, folder))
     return scored.select("doc_id", F.round(F.col("probability_good") + F.col("probability_poor"), 6).alias("total"))
 
 
