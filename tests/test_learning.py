@@ -154,3 +154,22 @@ def test_scoring_a_stream(spark, classes, tmp_path):
     scored = predict(stream, result.encoder, result.best.model, result.labels, checked=False)
     write_stream(scored, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == classes.count()
+
+
+def test_auc_leaves_out_missing_scores_and_classes(spark):
+    rows = spark.range(400).select((F.col("id") % 2).alias("label"), (F.col("id") % 50 + F.col("id") % 2 * 10).cast("double").alias("s"))
+    gaps = spark.createDataFrame([(1, None)] * 30 + [(None, 3.0)] * 5, "label long, s double")
+    assert metrics.roc_auc(rows.unionByName(gaps), "s").first()["auc"] == metrics.roc_auc(rows, "s").first()["auc"]
+
+
+def test_three_classes_are_explained_and_gaps_scored(spark):
+    rows = spark.range(0, 240, 1, 2).select("id", noise(1, 10).alias("a"), noise(2, 4).alias("b"))
+    rows = rows.withColumn("target", F.when(F.col("a") > 2, "x").when(F.col("a") < -2, "y").otherwise("z")).drop("id")
+    result = T.train_models(rows, quick(algorithm="logistic_regression", explain=True, explained_rows=5))
+    assert result.importance[0][0] == "a"
+    mean = rows.agg(F.avg("a")).first()[0]
+    odd = spark.createDataFrame([(None, 1.0), (mean, 1.0), (float("nan"), 1.0)], "a double, b double")
+    scored = T.score_rows(result, odd).collect()
+    assert len({r["prediction"] for r in scored}) == 1 and all(r["prediction"] is not None for r in scored)
+    texts = spark.createDataFrame([(" 4.5", 1.0)], "a string, b double")
+    assert T.score_rows(result, texts).first()["prediction"] == "x"

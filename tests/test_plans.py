@@ -5,9 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.learning.encode import split_rows
-from tablewright.operators import correlate
+from tablewright.operators import correlate, select
 from tablewright.operators.select import page, row_range, sample_values
 from tablewright.plans import orderstats, ranks
+from tablewright.plans.analysis import analyze
 from tablewright.session import cut_lineage
 
 
@@ -94,8 +95,6 @@ def test_split_is_stratified_and_complete(skewed):
 
 
 def test_deep_row_range(skewed, small_blocks, monkeypatch):
-    from tablewright.operators import select
-
     monkeypatch.setattr(select, "SHALLOW_ROWS", 10)
     got = sorted(r["id"] for r in row_range(skewed.withColumn("id", F.col("id") * 3), 2500, 2600, "id").collect())
     assert got == [3 * i for i in range(2500, 2600)]
@@ -116,3 +115,30 @@ def test_spearman_with_nulls_and_ties(skewed, small_blocks):
 def test_cut_lineage_uses_the_checkpoint_folder(spark):
     out = cut_lineage(spark.range(10))
     assert out.count() == 10 and spark.sparkContext.getCheckpointDir() is not None
+
+
+@pytest.mark.parametrize("kind", ["number", "text", "large"])
+def test_row_ranges_agree_at_every_depth(spark, small_blocks, monkeypatch, kind):
+    """Null keys come first, text keys and keys beyond 2^53 work, whichever way rows are found."""
+    keys = {"number": F.col("id"), "text": F.lpad(F.col("id").cast("string"), 5, "0"), "large": F.col("id") + F.lit(2**60)}
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 250 != 7, keys[kind]).alias("k"))
+    for start, end in ((0, 16), (2, 5), (150, 420), (996, 1100), (5, 5)):
+        shallow = [r["k"] for r in select.row_range(rows, start, end, "k").collect()]
+        with monkeypatch.context() as m:
+            m.setattr(select, "SHALLOW_ROWS", 0)
+            deep = [r["k"] for r in select.row_range(rows, start, end, "k").collect()]
+        assert sorted(map(str, deep)) == sorted(map(str, shallow)) and len(shallow) == max(0, min(end, 1000) - start)
+
+
+def test_group_quantiles_keep_the_null_group(spark, small_blocks):
+    rows = spark.range(900).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("v"))
+    large = ranks.group_quantiles(rows, ["g"], "v", [0.5], 900)
+    small = ranks.group_quantiles(rows, ["g"], "v", [0.5], 1)  # few rows by its own account: one aggregation
+    assert sorted(map(str, large.collect())) == sorted(map(str, small.collect())) and large.count() == 3
+
+
+def test_analysis_reads_numbers_in_text(spark):
+    rows = spark.range(200).select(F.col("id").alias("a"), F.when(F.col("id") % 40 == 0, "N/A").otherwise((F.col("id") * 2).cast("string")).alias("b"))
+    found = analyze(rows)
+    pair = found["pearson"].where("x = 'a' AND y = 'b'").first()
+    assert abs(pair["value"] - 1) < 1e-9 and pair["n"] == 195
