@@ -156,10 +156,3 @@ def strip_quotes(c: Column) -> Column:
 def scrub_output(c: Column) -> Column:
     """Trim and delete every double quote; empty is null."""
     return F.nullif(trimmed(F.translate(trimmed(c), '"', "")), F.lit(""))
-
-
-def matches_any(c: Column, patterns: list[str]) -> Column:
-    found = F.lit(False)
-    for p in patterns:
-        found = found | c.rlike(p)
-    return found

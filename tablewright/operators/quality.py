@@ -115,6 +115,8 @@ def missing_issues(df: DataFrame, table: TableProfile) -> list[Issue]:
             "sample_values": ", ".join(c.sample_values[:5]) or "No non-null values",
         }
         options = imputation_options(kind[c.name], c.unique_count, table.rows, pct)
+        if "knn_imputation" in options:
+            details["suggested_neighbours"] = str(suggested_neighbours(table.rows))
         text = f"Column '{c.name}' misses {pct:.1f}% of its values ({c.null_count} of {table.rows} rows)"
         out.append(Issue("missing_values", "high" if pct > 30.0 else "medium", [c.name], text, details, options))
     return out

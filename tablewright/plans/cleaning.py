@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
@@ -119,14 +119,21 @@ def clean_table(df: DataFrame, options: CleaningOptions | None = None) -> Cleani
             wanted = decisions.get(("missing_values", c.name))
             strategies[c.name] = wanted or defaults.get(kind[c.name], "forward_fill")
     filled, log = impute.impute(kept, strategies, table.inferred, o.order_by, o.key, o.neighbours)
-    actions += log
+    missing = {c.name: c.null_count for c in table.columns}
+    actions += [replace(a, details=f"{missing[a.target]} cells") if a.target in missing else a for a in log]
     if strategies:
         filled = impute.final_fill(cut_lineage(filled))
     flagged = [c.name for c in table.columns if c.has_outliers and kinds(filled).get(c.name) == "numeric"]
     choice = decisions.get(("outliers", None), "keep_outliers")
-    treated = outliers.treat_outliers(filled, flagged, choice)
+    counts = None
+    if flagged and outliers.CHOICES.get(choice, choice) == "cap":
+        bounds = outliers.cap_bounds(filled, flagged)
+        treated, found = outliers.apply_caps(filled, bounds), outliers.capped_counts(filled, bounds)
+        counts = ", ".join(f"{n}: {k} values capped" for n, k in found.items())
+    else:
+        treated = outliers.treat_outliers(filled, flagged, choice)
     if flagged:
-        actions.append(Action("outlier_handled", ", ".join(flagged), f"Outliers: {choice}"))
+        actions.append(Action("outlier_handled", ", ".join(flagged), f"Outliers: {choice}", counts))
     training, full = select.split_identifiers(treated, table.inferred)
     rows_after, score_after, open_columns = _score(treated)
     columns_before, columns_after = len(source.columns), len(treated.columns)
