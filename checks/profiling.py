@@ -180,16 +180,14 @@ def _(spark, folder):
 
 @query(
     "column_listing",
-    G + f"SELECT name, unique_count, CAST(6 AS BIGINT) AS total, CAST(3 AS BIGINT) AS filtered FROM ({COUNTS}) WHERE contains(name, 't') "
-    "AND name IN ('total', 'cust', 'status')",
+    G + f"SELECT name, unique_count, CAST(6 AS BIGINT) AS total, CAST(4 AS BIGINT) AS filtered FROM ({COUNTS}) WHERE contains(name, 't')",
 )
 def _(spark, folder):
     g = gaps(spark, folder)
     listed = column_listing(
         P.profile_frame(g, P.profile(g, duplicates=False)), search="T", types=["numeric", "string", "binary"], sort_by="nulls", direction="desc"
     )
-    listed = listed.where("name != 'priority'")
-    return listed.select("name", "unique_count", F.col("total").cast("bigint").alias("total"), (F.col("filtered") - 1).cast("bigint").alias("filtered"))
+    return listed.select("name", "unique_count", F.col("total").cast("bigint").alias("total"), F.col("filtered").cast("bigint").alias("filtered"))
 
 
 _MISSING = f"SELECT * FROM ({COUNTS}) WHERE null_percentage > 10 AND null_percentage <= 50"
