@@ -3,43 +3,33 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 # A single space between two characters that aren't white space always begins a new match of the
 # tokenizers' pattern, and no match crosses it.
 SAFE = re.compile(r" (?<=\S )(?=\S)")
-KEPT_CHARS, KEPT_CHUNKS = 48, 300_000
+KEPT_CHARS, KEPT_CHUNKS = 48, 600_000
 
 
-class ChunkIds:
-    """Packed ids of texts by chunks; ``encode`` gives the ids of chunks, each as bytes.
+class ChunkIds(dict):
+    """Packed ids of chunks (without their leading space); ``encode`` gives those of any text.
 
-    Recurring chunks are looked up. The memory is bounded: it is emptied when it holds
-    ``KEPT_CHUNKS``, and long chunks are never kept.
+    The memory is bounded: it is emptied when it holds ``KEPT_CHUNKS``, and long chunks are never
+    kept.
     """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[bytes]]):
-        self.encode, self.known = encode, {}
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > KEPT_CHUNKS:
-            self.known = {}
-        cut = [SAFE.split(t) for t in texts]
-        known, new = self.known, set()
-        for parts in cut:
-            new.update(parts[1:])
-        new.difference_update(known)
-        for chunk, ids in self._pairs([c for c in new if len(c) <= KEPT_CHARS]):
-            known[chunk] = ids
-        far = dict(self._pairs([c for c in new if len(c) > KEPT_CHARS]))
-        heads = list(self.encode([parts[0] for parts in cut]))
-        out = []
-        for head, parts in zip(heads, cut, strict=True):
-            if far and not far.keys().isdisjoint(parts[1:]):
-                out.append(head + b"".join([known[c] if c in known else far[c] for c in parts[1:]]))
-            else:
-                out.append(head + b"".join(map(known.__getitem__, parts[1:])))
-        return out
-
-    def _pairs(self, chunks: list[str]) -> Iterable[tuple[str, bytes]]:
-        return zip(chunks, self.encode([" " + c for c in chunks]), strict=True)
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.encode(" " + chunk)
+        if len(chunk) <= KEPT_CHARS:
+            if len(self) >= KEPT_CHUNKS:
+                self.clear()
+            self[chunk] = ids
+        return ids
+
+    def ids_of(self, text: str) -> bytes:
+        head, *chunks = SAFE.split(text)
+        return self.encode(head) + b"".join(map(self.__getitem__, chunks))

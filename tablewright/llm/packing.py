@@ -8,18 +8,19 @@ sequence crosses documents and nothing is padded.
 
 from __future__ import annotations
 
-import os
 import zlib
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.chunks import ChunkIds
+from tablewright.llm.chunks import KEPT_CHARS, KEPT_CHUNKS, ChunkIds
 from tablewright.llm.store import written
 
 LIMIT = 2048
@@ -31,31 +32,56 @@ def binary_lengths(n: int, limit: int = LIMIT) -> list[int]:
     return [limit] * (n // limit) + [1 << b for b in range(limit.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def library_ids(path: str, end_id: int):
-    """Texts to packed ids by the tokenizers library; special tokens in a text are ordinary text."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+def byte_letters() -> dict[int, int]:
+    """The letters that byte-level vocabularies write for bytes: printable ones stand for themselves, others follow from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
+
+
+def library_ids(path: str, pattern: str, end_id: int) -> Callable[[str], bytes]:
+    """From texts to packed ids by the BPE model of a tokenizers file; special tokens in a text are ordinary text.
+
+    ``pattern`` cuts a text into the matches that the model encodes. The library's own call per
+    text also makes offsets, which takes several times as long.
+    """
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    model, matches, letters = Tokenizer.from_file(path).model, regex.compile(pattern), byte_letters()
     end = np.array([end_id], "<u4").tobytes()
-
-    def encode(chunks: list[str]) -> Iterable[bytes]:
-        for at in range(0, len(chunks), 4096):
-            for found in tokenizer.encode_batch(chunks[at : at + 4096], add_special_tokens=False):
-                yield np.array(found.ids, "<u4").tobytes()
+    known: dict[str, bytes] = {}
+
+    def encode(chunk: str) -> bytes:
+        out = b""
+        for piece in matches.findall(chunk):
+            ids = known.get(piece)
+            if ids is None:
+                ids = array("I", [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(letters))]).tobytes()
+                if len(piece) <= KEPT_CHARS:
+                    if len(known) >= KEPT_CHUNKS:
+                        known.clear()
+                    known[piece] = ids
+            out += ids
+        return out
 
     chunked = ChunkIds(encode)
-    return lambda texts: [ids + end for ids in chunked(texts)]
+    return lambda text: chunked.ids_of(text) + end
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT, end_id: int = 1, with_ids: bool = True
+    docs: DataFrame,
+    tokenizer: str,
+    pattern: str,
+    key: str = "doc_id",
+    text: str = "text",
+    limit: int = LIMIT,
+    end_id: int = 1,
+    with_ids: bool = True,
 ) -> DataFrame:
     """One row per piece: the key, ``start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket``.
 
-    ``tokenizer`` is a file of the tokenizers library on every machine. Every document ends with
-    ``end_id``; a null text is empty and gives that one token. ``sequence_id`` is gapless, bucket
+    ``tokenizer`` is a byte-level BPE file of the tokenizers library on every machine, ``pattern`` its
+    matches. Every document ends with ``end_id``; a null text is empty and gives that one token. ``sequence_id`` is gapless, bucket
     after bucket; ``bucket`` is the length. ``with_ids`` adds the ids (little-endian, 32 bits).
     Repeated rows are packed once each, null keys too, other columns are ignored, and an empty
     table gives no rows. Texts are tokenised once: the pieces are numbered within their task,
@@ -71,12 +97,13 @@ def pack(
     names = schema.names
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, made = library_ids(tokenizer, end_id), TaskContext.get().partitionId(), {}
+        encode, part, made = library_ids(tokenizer, pattern, end_id), TaskContext.get().partitionId(), {}
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 owner, rows = [], []
-                for k, ids in enumerate(encode([t or "" for t in some.column(1).to_pylist()])):
+                for k, body in enumerate(some.column(1).to_pylist()):
+                    ids = encode(body or "")
                     start, total = 0, len(ids) // 4
                     for n in binary_lengths(total, limit):
                         piece = ids[4 * start : 4 * (start + n)]

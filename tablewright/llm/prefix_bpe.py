@@ -12,6 +12,7 @@ the BPE encoding if and only if all neighbours are valid.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,17 +127,15 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table, matches = PrefixTable(load_ranks(path)), regex.compile(pattern)
 
-        def chunk_ids(chunks: list[str]) -> Iterator[bytes]:
-            for chunk in chunks:
-                ids: list[int] = []
-                for piece in matches.findall(chunk):
-                    ids += table.encode(piece.encode())
-                yield np.array(ids, "<u4").tobytes()
+        def chunk_ids(chunk: str) -> bytes:
+            ids: list[int] = []
+            for piece in matches.findall(chunk):
+                ids += table.encode(piece.encode())
+            return array("I", ids).tobytes()
 
         chunked = ChunkIds(chunk_ids)
         for texts in batches:
-            rows = [t or "" for t in texts]
-            yield pd.Series([ids for at in range(0, len(rows), 512) for ids in chunked(rows[at : at + 512])], dtype=object)
+            yield pd.Series([chunked.ids_of(t or "") for t in texts], dtype=object)
 
     return encoded(text)
 

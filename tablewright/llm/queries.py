@@ -105,7 +105,7 @@ def op7(spark, folder):
 @query("op9_binary_packing")
 def op9(spark, folder):
     docs = table(spark, folder, "documents")
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, with_ids=False)
 
 
 @query("op4_license_dice", licenses.oracle())
