@@ -11,8 +11,8 @@ The automaton is as large as the corpus, so no machine holds it whole. Texts are
 A block sends the hashes of its distinct n-grams with its training counts to ranges of the hash
 space, one sorted list per range; each range adds up and sends every block the totals, in the
 block's own order and so without the hashes. A block then has all states and arcs that its own
-texts can visit. Hashes have 64 bits: at 10^9 distinct n-grams less than one false match is
-expected among 40 corpora.
+texts can visit. Hashes have 64 bits: of 37 corpora with 10^9 distinct n-grams each, one holds a
+false match.
 """
 
 from __future__ import annotations

@@ -3,8 +3,8 @@
 Lines are hashed, and the k-th time a line stands in a document it counts as a line of its own.
 Each line that two documents share leads from the later document to the earliest that holds it;
 the documents found this way are aligned in the manner of patience diff: lines that are rare in
-both (they stand once in each) are brought into the longest common order, and the matches grow
-from there over neighbouring lines. Aligned lines form blocks; blocks of enough words are deleted
+both (they stand once in each, or are as long as a block must be) are brought into the longest
+common order, and the matches grow from there over neighbouring lines. Aligned lines form blocks; blocks of enough words are deleted
 from the later document.
 
 A group of n copies gives n - 1 pairs, all with its earliest member, and a line that a third of
@@ -126,7 +126,7 @@ def line_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     )
     first = first.where(F.col("first.doc") != F.col("last")).select("hash", "chars", "k", "first")
     shared = lines.join(first, ["hash", "chars", "k"]).where(holder != F.col("first.doc"))
-    rare = (F.col("times") == 1) & (F.col("first.times") == 1)
+    rare = ((F.col("times") == 1) & (F.col("first.times") == 1)) | (F.col("words") >= min_words)
     entry = F.struct("n", "place", "words", rare.alias("rare"), F.col("first.doc.id").alias("with"), F.col("first.doc.text_hash").alias("hash"), F.col("first.n").alias("m"))
     per_doc = shared.groupBy("id", "text_hash").agg(F.collect_list(entry).alias("shared"))
     schema = T.StructType(
