@@ -13,18 +13,19 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.chunks import ChunkIds
+from tablewright.llm.chunks import KEPT_CHARS, ChunkIds
 
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS, KEPT_PIECES = 500_000, 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,38 +41,74 @@ class PrefixTable:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
-        self.valid: dict[tuple[int, int], bool] = {}
+        # every ending of a token, -1 unless it is one itself
+        self.endings = {token[i:]: -1 for token in ranks for i in range(len(token))} | ranks
+        self.valid: dict[int, bool] = {}
+        self.spines: dict[int, list[tuple[int, bytes]]] = {}
 
-    def merged(self, data: bytes) -> list[int]:
-        """Ids by merging the lowest rank first; only for the few bytes of two tokens."""
+    def merged(self, data: bytes, below: int = 1 << 62) -> list[int]:
+        """Ids by merging the lowest rank first, ranks from ``below`` on left out; only for the few bytes of a token."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
-            best = min((self.ranks.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best[0] == 1 << 62:
+            best = min((self.ranks.get(a + b, below), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+            if best[0] >= below:
                 break
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return [self.ranks[p] for p in parts]
 
+    def spine(self, token: int, side: int) -> list[tuple[int, bytes]]:
+        """A token and its outermost parts on one side (0 left, 1 right), smallest first; none if no merges lead to the token."""
+        known = self.spines.get(2 * token + side)
+        if known is None:
+            data = self.bytes_of[token]
+            parts = self.merged(data, token) if len(data) > 1 else []
+            if len(parts) > 2 or len(parts) == 2 and not self.spine(parts[side], side):
+                known = []
+            else:
+                known = [*(self.spine(parts[side], side) if parts else []), (token, data)]
+            self.spines[2 * token + side] = known
+        return known
+
     def fits(self, left: int, right: int) -> bool:
-        """Whether ``right`` may follow ``left``; -1 as ``left`` is the beginning."""
-        known = self.valid.get((left, right))
+        """Whether ``right`` may follow ``left``; -1 as ``left`` is the beginning.
+
+        Merges happen in the order of their ranks. On both sides of the border the parts grow
+        along the tokens' spines; the neighbours are valid if no merge across the border comes
+        before the next one inside. Equal ranks go from left to right.
+        """
+        pair = left << 32 | right
+        known = self.valid.get(pair)
         if known is None:
             if len(self.valid) > KEPT_PAIRS:
                 self.valid = {}
-            joined = self.bytes_of.get(left, b"") + self.bytes_of[right]
-            known = self.valid[left, right] = self.merged(joined) == ([right] if left < 0 else [left, right])
+            ours, theirs = self.spine(left, 1) if left >= 0 else [], self.spine(right, 0)
+            known, i, j, never = bool(theirs), 0, 0, 1 << 62
+            while known and left >= 0:
+                grows = ours[i + 1][0] if i + 1 < len(ours) else never
+                follows = theirs[j + 1][0] if j + 1 < len(theirs) else never
+                across = self.ranks.get(ours[i][1] + theirs[j][1], never)
+                known = not (across < grows and across <= follows and across < never)
+                if grows == follows == never:
+                    break
+                i, j = (i + 1, j) if grows <= follows else (i, j + 1)
+            self.valid[pair] = known
         return known
 
     def last_token(self, data: bytes, last: list[int], end: int) -> int:
         """The one valid last token of ``data[:end]``, given those of all shorter prefixes."""
-        ranks, valid = self.ranks, self.valid
-        for begin in range(max(0, end - self.longest), end):
-            token = ranks.get(data[begin:end])
-            if token is not None:
-                left = last[begin]
-                fits = valid.get((left, token))
-                if fits or fits is None and self.fits(left, token):
-                    return token
+        endings, begin, found = self.endings, end - 1, []
+        while begin >= 0:
+            token = endings.get(data[begin:end])
+            if token is None:
+                break
+            if token >= 0:
+                found.append((begin, token))
+            begin -= 1
+        for begin, token in reversed(found):
+            left = last[begin]
+            fits = self.valid.get(left << 32 | token)
+            if fits or fits is None and self.fits(left, token):
+                return token
         raise ValueError("a byte of the text is not in the vocabulary")
 
     def encode(self, data: bytes) -> list[int]:
@@ -116,6 +153,35 @@ class PrefixEncoding:
         return out[::-1]
 
 
+def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
+    """From texts to ids (little-endian, 32 bits); recurring pieces are looked up in a bounded memory."""
+    table, matches, known = PrefixTable(load_ranks(path)), regex.compile(pattern), {}
+
+    def chunk_ids(chunk: str) -> bytes:
+        out = b""
+        for piece in matches.findall(chunk):
+            ids = known.get(piece)
+            if ids is None:
+                ids = array("I", table.encode(piece.encode())).tobytes()
+                if len(piece) <= KEPT_CHARS:
+                    if len(known) >= KEPT_PIECES:
+                        known.clear()
+                    known[piece] = ids
+            out += ids
+        return out
+
+    return ChunkIds(chunk_ids).ids_of
+
+
+def decoder(path: str) -> Callable[[bytes], bytes]:
+    """From ids to bytes."""
+    ranks = load_ranks(path)
+    token = [b""] * (max(ranks.values(), default=-1) + 1)
+    for data, rank in ranks.items():
+        token[rank] = data
+    return lambda ids: b"".join(map(token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """Ids (little-endian, 32 bits) of every match of ``pattern`` in a text.
 
@@ -125,17 +191,9 @@ def encode(text: Column, path: str, pattern: str) -> Column:
 
     @F.pandas_udf(T.BinaryType())
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table, matches = PrefixTable(load_ranks(path)), regex.compile(pattern)
-
-        def chunk_ids(chunk: str) -> bytes:
-            ids: list[int] = []
-            for piece in matches.findall(chunk):
-                ids += table.encode(piece.encode())
-            return array("I", ids).tobytes()
-
-        chunked = ChunkIds(chunk_ids)
+        ids_of = encoder(path, pattern)
         for texts in batches:
-            yield pd.Series([chunked.ids_of(t or "") for t in texts], dtype=object)
+            yield pd.Series([ids_of(t or "") for t in texts], dtype=object)
 
     return encoded(text)
 
@@ -145,13 +203,27 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.pandas_udf(T.BinaryType())
     def decoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        ranks = load_ranks(path)
-        token = [b""] * (max(ranks.values(), default=-1) + 1)
-        for data, rank in ranks.items():
-            token[rank] = data
+        bytes_of = decoder(path)
         for rows in batches:
-            yield pd.Series(
-                [None if x is None else b"".join(map(token.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in rows], dtype=object
-            )
+            yield pd.Series([None if x is None else bytes_of(x) for x in rows], dtype=object)
 
     return decoded(ids)
+
+
+def encode_table(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: the key, ``ids`` as ``encode`` gives them and ``decoded``, the bytes of these ids.
+
+    Results leave in small batches, so long texts don't add up. Repeated rows and null keys stay.
+    """
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_of, bytes_of = encoder(path, pattern), decoder(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                ids = [ids_of(t or "") for t in some.column(1).to_pylist()]
+                columns = [pa.array(ids, pa.binary()), pa.array(map(bytes_of, ids), pa.binary())]
+                yield pa.RecordBatch.from_arrays([some.column(0), *columns], names=schema.names)
+
+    return docs.select(key, text).mapInArrow(rows, schema)

@@ -93,12 +93,11 @@ def op6(spark, folder):
 def op7(spark, folder):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = table(spark, folder, "documents")
-    ids = docs.select("doc_id", prefix_bpe.encode(F.col("text"), path, public_tokenizers.PATTERN).alias("ids"))
-    return ids.withColumn("bytes", prefix_bpe.decode(F.col("ids"), path)).select(
+    return prefix_bpe.encode_table(docs, path, public_tokenizers.PATTERN).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2("bytes", 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
