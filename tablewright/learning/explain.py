@@ -6,6 +6,7 @@ import random
 
 from pyspark.ml import Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,9 +31,9 @@ def linear_attributions(coefficients: list[float], means: list[float], rows: Dat
 
 
 def feature_means(df: DataFrame) -> list[float]:
-    """Mean of each encoded feature, over all rows."""
-    cells = df.select(F.posexplode(vector_to_array("features")).alias("i", "v"))
-    return [r["m"] for r in cells.groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").collect()]  # one row per feature
+    """Mean of each encoded feature, over all rows; sparse rows stay sparse."""
+    mean = df.agg(Summarizer.mean(F.col("features")).alias("m")).first()["m"]
+    return [float(v) for v in mean.toArray()] if mean is not None else []
 
 
 def _output(scored: DataFrame, facts: Facts) -> Column:
