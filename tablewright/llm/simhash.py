@@ -234,7 +234,11 @@ def near_groups(prints: DataFrame, key: str, radius: int = RADIUS, leaf: int = L
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row per document: the key, ``fingerprint`` (16 hex digits) and ``component_id``."""
+    """One row per document: the key, ``fingerprint`` (16 hex digits) and ``component_id``.
+
+    Null and blank texts have fingerprint zero and are linked like any other; repeated rows stay,
+    other columns are ignored, and an empty table gives no rows.
+    """
     prints = written(docs.select(key, fingerprint(F.col(text)).alias("fp")), "simhash")
     return near_groups(prints, key, radius).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
