@@ -124,7 +124,8 @@ def line_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     first = lines.groupBy("hash", "chars", "k").agg(
         F.min(F.struct(holder.alias("doc"), "n", "times")).alias("first"), F.max(holder).alias("last")
     )
-    first = first.where(F.col("first.doc") != F.col("last")).select("hash", "chars", "k", "first")
+    # a table of its own, so that the join meets two plain exchanges and a hot line can be split
+    first = written(first.where(F.col("first.doc") != F.col("last")).select("hash", "chars", "k", "first"), "holders")
     shared = lines.join(first, ["hash", "chars", "k"]).where(holder != F.col("first.doc"))
     rare = ((F.col("times") == 1) & (F.col("first.times") == 1)) | (F.col("words") >= min_words)
     entry = F.struct("n", "place", "words", rare.alias("rare"), F.col("first.doc.id").alias("with"), F.col("first.doc.text_hash").alias("hash"), F.col("first.n").alias("m"))
