@@ -69,10 +69,10 @@ def elements(hashes: Column) -> Column:
 
             return _let(starts, spread)
 
-        repeated = _let(F.array_sort(F.transform(h, lambda x, i: _packed(x, i))), runs)
+        repeated = _let(F.sort_array(F.transform(h, lambda x, i: _packed(x, i))), runs)
         return F.when(F.size(F.array_distinct(h)) == F.size(h), first_only).otherwise(repeated)
 
-    return _let(hashes, lambda h: F.array_sort(numbered(h)))
+    return _let(hashes, lambda h: F.sort_array(numbered(h)))
 
 
 def signature(text: Column, k: int = K, size: int = TUPLE, orders: int = ORDERS) -> Column:
@@ -94,7 +94,7 @@ def signature(text: Column, k: int = K, size: int = TUPLE, orders: int = ORDERS)
 
         def one(c: Column, j: Column) -> Column:
             turned = F.slice(F.concat(F.filter(c, lambda x: sector(x) >= j), c), F.lit(1), F.least(F.lit(size), F.size(c)))
-            in_text = F.array_sort(F.transform(turned, lambda x: F.struct(_place(x).alias("p"), _hash(x).alias("h"))))
+            in_text = F.sort_array(F.transform(turned, lambda x: F.struct(_place(x).alias("p"), _hash(x).alias("h"))))
             return F.xxhash64(F.transform(in_text, lambda t: t.h)).bitwiseAND(F.lit(0xFFFFFFFF))
 
         turns = F.sequence(F.lit(-(orders // 2)), F.lit((orders - 1) // 2))
@@ -115,10 +115,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(same / F.greatest(F.size(a), F.size(b)))
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], tie: Column, ranges: int) -> DataFrame:
+def with_next(
+    docs: DataFrame, key: str, columns: list[str], tie: Column, ranges: int, derived: dict[str, Column] | None = None
+) -> DataFrame:
     """``docs`` with ``next_<column>``: the values in the row after, by descending key, then ``tie``; after the last row comes the first.
 
-    Null keys come last. Rows are dealt to ranges of (key, tie), whose borders are ``ranges`` rows
+    ``derived`` columns are added to the rows and their neighbours alike, once a row. Null keys come last. Rows are dealt to ranges of (key, tie), whose borders are ``ranges`` rows
     of a hash-ordered sample of 16 times as many. Only the largest row of each range is copied to
     the range above it, so a window within ranges is enough and no task sees the whole order.
     An empty table stays empty; the only row of a table follows itself.
@@ -132,16 +134,19 @@ def with_next(docs: DataFrame, key: str, columns: list[str], tie: Column, ranges
     bucket = F.size(F.filter(listed, lambda b: b <= place)) if borders else F.lit(0)
     dealt = docs.withColumns({"_next_range": bucket, "_next_place": place})
     largest = sorted((r[0], r[1]) for r in dealt.groupBy("_next_range").agg(F.max("_next_place")).collect())  # a row per range
+    derived = derived or {}
+    columns = [*columns, *derived]
     if not largest:
-        return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+        return docs.withColumns(derived).select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
     above = [(*p, largest[(i + 1) % len(largest)][0]) for i, (_, p) in enumerate(largest)]
     closing = spark.createDataFrame(above, T.StructType([*[T.StructField(f"_next_{f.name}", f.dataType) for f in kind.fields], T.StructField("_next_to", T.IntegerType())]))
     on = F.col("_next_place.key").eqNullSafe(F.col("_next_key")) & (F.col("_next_place.tie") == F.col("_next_tie"))
     copies = dealt.join(F.broadcast(closing), on).dropDuplicates(["_next_to"]).withColumn("_next_range", F.col("_next_to"))
     both = dealt.withColumn("_next_real", F.lit(True)).unionByName(copies.select(*dealt.columns, F.lit(False).alias("_next_real")))
+    both = both.withColumns(derived)
     order = Window.partitionBy("_next_range").orderBy("_next_real", "_next_place")
     following = [F.lag(c).over(order).alias(f"next_{c}") for c in columns]
-    return both.select("*", *following).where("_next_real").select(*docs.columns, *[f"next_{c}" for c in columns])
+    return both.select("*", *following).where("_next_real").select(*docs.columns, *derived, *[f"next_{c}" for c in columns])
 
 
 def edited(text: Column, following: Column) -> Column:

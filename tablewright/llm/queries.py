@@ -46,9 +46,9 @@ def op1(spark, folder):
 @query("op2_order_minhash")
 def op2(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("numbers", order_minhash.signature(F.col("text")))
     ranges = min(1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs = order_minhash.with_next(docs, "doc_id", ["text", "numbers"], F.xxhash64("text"), ranges)
+    numbers = {"numbers": order_minhash.signature(F.col("text"))}
+    docs = order_minhash.with_next(docs, "doc_id", ["text"], F.xxhash64("text"), ranges, numbers)
     docs = docs.withColumn("edited", order_minhash.edited(F.col("text"), F.col("next_text")))
     docs = docs.withColumn("edited_numbers", order_minhash.signature(F.col("edited")))
     return docs.select(
