@@ -121,12 +121,14 @@ def with_next(
     """``docs`` with ``next_<column>``: the values in the row after, by descending key, then ``tie``; after the last row comes the first.
 
     ``derived`` columns are added to the rows and their neighbours alike, once a row. Null keys come last. Rows are dealt to ranges of (key, tie), whose borders are ``ranges`` rows
-    of a hash-ordered sample of 16 times as many. Only the largest row of each range is copied to
+    of a sample by hash of 16 times as many. Only the largest row of each range is copied to
     the range above it, so a window within ranges is enough and no task sees the whole order.
     An empty table stays empty; the only row of a table follows itself.
     """
     spark, place = docs.sparkSession, F.struct(F.col(key).alias("key"), tie.alias("tie"))
-    sample = docs.select(place.alias("p")).orderBy(F.xxhash64("p.key", "p.tie"), "p").limit(16 * ranges).collect()
+    share = min(1.0, 16 * ranges / max(1, docs.count()))
+    drawn = docs.select(place.alias("p")).where(F.xxhash64("p.key", "p.tie") <= min(2**63 - 1, int(share * 2**64) - 2**63))
+    sample = drawn.distinct().collect()
     points = sorted({(r.p.key is not None, r.p.key, r.p.tie) for r in sample}, key=lambda x: (x[0], x[1] if x[0] else 0, x[2]))
     borders = [points[i * len(points) // ranges][1:] for i in range(1, ranges)] if len(points) >= ranges else [p[1:] for p in points[1:]]
     kind = docs.select(place.alias("p")).schema["p"].dataType

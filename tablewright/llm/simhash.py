@@ -169,7 +169,9 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> Dat
     """
     spark, total = prints.sparkSession, prints.count()
     levels = min(MOST_LEVELS, max(0, int(np.ceil(np.log2(max(1, total) / leaf)))))
-    sample = prints.orderBy(F.xxhash64("fp")).limit(PER_LEAF << levels)
+    # by hash, so that each task sends its share only; fingerprints are distinct, so the share holds
+    share = min(1.0, (PER_LEAF << levels) / max(1, total))
+    sample = prints.where(F.xxhash64("fp") <= min(2**63 - 1, int(share * 2**64) - 2**63))
     points = np.array([r.fp for r in sample.collect()], dtype=np.int64).view(np.uint64)
     trees = [HalfTree.fit(points, shift, levels) for shift in (0, 32)]
     sizes_schema = "tree int, leaf int, members long, queries long"
