@@ -4,8 +4,8 @@ Lines are hashed, and the k-th time a line stands in a document it counts as a l
 Each line that two documents share leads from the later document to the earliest that holds it;
 the documents found this way are aligned in the manner of patience diff: lines that are rare in
 both (they stand once in each, or are as long as a block must be) are brought into the longest
-common order, and the matches grow from there over neighbouring lines. Aligned lines form blocks; blocks of enough words are deleted
-from the later document.
+common order, and the matches grow from there over neighbouring lines. Lines aligned with one earlier document form
+blocks; blocks of enough words are deleted from the later document.
 
 A group of n copies gives n - 1 pairs, all with its earliest member, and a line that a third of
 all documents share gives one row for each of them, so no frequency cap is needed: what is found
@@ -145,7 +145,7 @@ def line_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
                     with_whom = (e["with"], e["hash"])
                     pairs[with_whom].append((e["n"], e["m"], e["rare"]))
                     words[e["n"]], place[e["n"]], names[e["n"]] = e["words"], e["place"], e["with"]
-                gone = blocks(set().union(*(aligned(x) for x in pairs.values())), words, min_words)
+                gone = sorted(set().union(*(blocks(aligned(x), words, min_words) for x in pairs.values())))
                 if not gone:
                     continue
                 keep, at = [], 0

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tablewright.llm import near_copies
+from tablewright.llm import line_align, near_copies
 
 
 def five_words(text):
@@ -40,3 +40,14 @@ def test_near_dedup_against_all_pairs(spark, crowd, monkeypatch):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     found = corpus_pipeline.near_dedup(spark, df, "")
     assert Counter(r.doc_id for r in found.collect()) == Counter(set(least))
+
+
+def left_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = sorted(line_align.dedupe_lines(df).collect(), key=lambda r: r.doc_id)
+    return [[x.rstrip() for x in r.text.split("\n") if x.split()] for r in rows]
+
+
+def test_short_lines_of_two_documents_are_no_block(spark):
+    texts = ["In.\nown words", "Licensed under the Apache License, Version 2.0.\nother words", "In.\nLicensed under the Apache License, Version 2.0.\nlast words here"]
+    assert left_of(spark, texts) == [t.split("\n") for t in texts]
