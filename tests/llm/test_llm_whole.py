@@ -42,12 +42,62 @@ def test_near_dedup_against_all_pairs(spark, crowd, monkeypatch):
     assert Counter(r.doc_id for r in found.collect()) == Counter(set(least))
 
 
+def deleted_by_all(texts):
+    """Words left of each document, aligned with every earlier one."""
+    known, out = [], []
+    for text in texts:
+        found = [(x.rstrip(), len(x.split())) for x in text.split("\n") if x.split()]
+        times, seen, lines = Counter(x for x, _ in found), Counter(), []
+        for x, w in found:
+            lines.append((x, seen[x], times[x] == 1, w))
+            seen[x] += 1
+        gone = set()
+        for other in known:
+            place = {x[:2]: m for m, x in enumerate(other)}
+            shared = [(n, place[x[:2]], (x[2] and other[place[x[:2]]][2]) or x[3] >= 8) for n, x in enumerate(lines) if x[:2] in place]
+            anchors = [(n, m) for n, m, rare in shared if rare]
+            ends = line_align.longest_rising([m for _, m in anchors])
+            kept, rest = {anchors[i] for i in ends}, {(n, m) for n, m, _ in shared}
+            while near := {x for x in rest - kept if (x[0] - 1, x[1] - 1) in kept or (x[0] + 1, x[1] + 1) in kept}:
+                kept |= near
+            run = []
+            for n in range(len(lines) + 1):
+                if n in {b for b, _ in kept}:
+                    run.append(n)
+                else:
+                    gone |= set(run) if sum(lines[x][3] for x in run) >= 8 else set()
+                    run = []
+        known.append(lines)
+        out.append([x[0] for n, x in enumerate(lines) if n not in gone])
+    return out
+
+
 def left_of(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows = sorted(line_align.dedupe_lines(df).collect(), key=lambda r: r.doc_id)
     return [[x.rstrip() for x in r.text.split("\n") if x.split()] for r in rows]
 
 
+def test_blocks_with_any_earlier_document(spark):
+    """The earliest holder has the lines in reverse; only the second has them in order."""
+    lines = [" ".join(f"l{i}w{j}" for j in range(6)) for i in range(12)]
+    texts = ["\n".join(lines[::-1]), "\n".join(lines), "\n".join(lines)]
+    assert left_of(spark, texts) == [lines[::-1], lines, []]
+
+
 def test_short_lines_of_two_documents_are_no_block(spark):
     texts = ["In.\nown words", "Licensed under the Apache License, Version 2.0.\nother words", "In.\nLicensed under the Apache License, Version 2.0.\nlast words here"]
     assert left_of(spark, texts) == [t.split("\n") for t in texts]
+
+
+def test_blocks_against_all_earlier_documents(spark):
+    rng = random.Random(8)
+    pool = [" ".join(f"p{i}w{j}" for j in range(rng.choice([1, 2, 3, 4, 6, 9]))) for i in range(30)]
+    texts = []
+    for _ in range(150):
+        at = rng.randrange(len(pool))
+        some = rng.choices(pool, k=rng.randint(1, 5)) + pool[at : at + rng.randint(0, 8)]
+        if texts and rng.random() < 0.3:
+            some += [x for x in rng.choice(texts).split("\n") if rng.random() < 0.9]
+        texts.append("\n".join(some))
+    assert left_of(spark, texts) == deleted_by_all(texts)
