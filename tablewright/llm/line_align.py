@@ -11,7 +11,7 @@ Most of these need not be made. A document first meets the earliest holder of ea
 each of its shortest runs that are long enough for a block (windows), and of its whole sequence of
 lines, so n copies give n - 1 pairs and a hot line one row for each document. A block consists of
 windows; where a window of shared lines is not wholly deleted after that, the document also meets
-all other earlier documents that hold all lines of the window. So the work is linear in the lines,
+other earlier documents that hold all lines of the window: a few, then more, and at last all. So the work is linear in the lines,
 except for windows that many documents hold and no alignment deletes.
 Earlier means a smaller key; null keys come last, ties go by a hash of the text. Rows equal in
 key and text are one document: they are edited alike and never against each other.
@@ -34,6 +34,7 @@ from tablewright.llm.store import written
 
 MIN_WORDS = 8
 TO_END = 1 << 30
+FIRST_DRAWS, MORE = 4, 8
 
 
 def longest_rising(values: list[int]) -> list[int]:
@@ -176,17 +177,21 @@ def _aligned_pairs(kind: T.DataType, pairs: DataFrame, docs: DataFrame, least: i
     return met.select("d_id", "d_hash", "e_id", "e_hash", *columns).mapInArrow(align, schema)
 
 
-def _other_pairs(kind: T.DataType, docs: DataFrame, shared: DataFrame, tried: DataFrame, done: DataFrame, least: int) -> DataFrame:
-    """Pairs not tried whose later document has a window that is shared, not all deleted, and in the earlier document line by line."""
+def _other_blocks(kind: T.DataType, docs: DataFrame, shared: DataFrame, tried: DataFrame, done: DataFrame, least: int) -> list[DataFrame]:
+    """Blocks of pairs not tried whose later document has a window that is shared, not all deleted, and in the earlier document line by line.
+
+    A window meets few of its holders, drawn by hash, then ``MORE`` times as many, and in the last
+    turn all, as long as it is not all deleted.
+    """
     deleted = done.groupBy("d_id", "d_hash").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     deleted = deleted.select(F.col("d_id").alias("x_id"), F.col("d_hash").alias("x_hash"), "gone")
     known = docs.select(F.col("id").alias("dd_id"), F.col("text_hash").alias("dd_hash"), "lines", "words")
     left = shared.join(deleted, _same("d", "x"), "left").join(known, _same("d", "dd")).select("d_id", "d_hash", "met", "gone", "lines", "words")
-    schema = T.StructType([T.StructField("d_id", kind), T.StructField("d_hash", T.LongType()), T.StructField("w", T.LongType()), T.StructField("held", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("d_id", kind), T.StructField("d_hash", T.LongType()), T.StructField("w", T.LongType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("held", T.ArrayType(T.LongType()))])
 
     def open_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            taken, names, held = [], [], []
+            taken, names, spans, held = [], [], [], []
             for row in range(batch.num_rows):
                 met, gone, lines, words = (set(x or []) if c < 2 else x for c, x in enumerate(batch.column(2 + c)[row].as_py() for c in range(4)))
                 if all(n in gone for n, x in enumerate(lines) if x in met):
@@ -196,9 +201,10 @@ def _other_pairs(kind: T.DataType, docs: DataFrame, shared: DataFrame, tried: Da
                     if not gone.issuperset(range(a, b + 1)) and met.issuperset(some):
                         taken.append(row)
                         names.append(xxhash.xxh64_intdigest(np.array(some, "<i8").tobytes(), 2))
+                        spans.append((a, b))
                         held.append(some)
             rows = batch.select([0, 1]).take(pa.array(taken, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.array(names, "<u8").view("<i8")), pa.array(held, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.array(names, "<u8").view("<i8")), *(pa.array([x[i] for x in spans], pa.int32()) for i in range(2)), pa.array(held, pa.list_(pa.int64()))], names=schema.names)
 
     still = written(left.mapInArrow(open_windows, schema), "windows")
     posts = docs.select(F.col("id").alias("e_id"), F.col("text_hash").alias("e_hash"), F.explode("lines").alias("line"))
@@ -209,10 +215,29 @@ def _other_pairs(kind: T.DataType, docs: DataFrame, shared: DataFrame, tried: Da
     maybe = posts.join(rarest, "line").select("w", "held", "e_id", "e_hash")
     owners = docs.select(F.col("id").alias("ee_id"), F.col("text_hash").alias("ee_hash"), "lines")
     holders = maybe.join(owners, _same("e", "ee")).where(F.size(F.array_intersect("held", "lines")) == F.size(F.array_distinct("held"))).select("w", "e_id", "e_hash")
+    holders = written(holders, "owners")
+    counts = holders.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.agg(F.max("n")).first()[0] or 0
+    holders = holders.join(counts, "w")
     before = F.struct(F.col("e_id").isNull(), "e_id", "e_hash") < F.struct(F.col("d_id").isNull().alias("col1"), F.col("d_id").alias("e_id"), F.col("d_hash").alias("e_hash"))
-    pairs = still.join(holders, "w").where(before).select("d_id", "d_hash", "e_id", "e_hash").distinct()
-    old = tried.select(F.col("d_id").alias("x_id"), F.col("d_hash").alias("x_hash"), F.col("e_id").alias("y_id"), F.col("e_hash").alias("y_hash"))
-    return written(pairs.join(old, _same("d", "x") & _same("e", "y"), "left_anti"), "pairs")
+    drawn = F.pmod(F.xxhash64("e_id", "e_hash"), F.lit(1 << 30)) / (1 << 30)
+    still, found, draws = still.select("d_id", "d_hash", "w", "a", "b"), [], FIRST_DRAWS
+    while most and not still.isEmpty():
+        some = holders.where(drawn * F.col("n") < draws)
+        pairs = still.join(some, "w").where(before).select("d_id", "d_hash", "e_id", "e_hash").distinct()
+        old = tried.select(F.col("d_id").alias("x_id"), F.col("d_hash").alias("x_hash"), F.col("e_id").alias("y_id"), F.col("e_hash").alias("y_hash"))
+        pairs = written(pairs.join(old, _same("d", "x") & _same("e", "y"), "left_anti"), "pairs")
+        new = written(_aligned_pairs(kind, pairs, docs, least), "blocks")
+        found.append(new)
+        if draws >= most:
+            break
+        tried, draws = tried.unionByName(pairs), draws * MORE
+        done = done.unionByName(new)
+        gone = done.groupBy("d_id", "d_hash").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+        gone = gone.select(F.col("d_id").alias("x_id"), F.col("d_hash").alias("x_hash"), "gone")
+        whole = F.size(F.array_except(F.sequence("a", "b"), "gone")) == 0
+        still = written(still.join(gone, _same("d", "x"), "left").where(~F.coalesce(whole, F.lit(False))).select("d_id", "d_hash", "w", "a", "b"), "windows")
+    return found
 
 
 def line_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -235,9 +260,8 @@ def line_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     docs_once = known.dropDuplicates(["id", "text_hash"])
     pairs = shared.select("d_id", "d_hash", F.explode("firsts").alias("e")).select("d_id", "d_hash", F.col("e.id").alias("e_id"), F.col("e.text_hash").alias("e_hash"))
     done = written(_aligned_pairs(kind, pairs, docs_once, min_words), "blocks")
-    more = _other_pairs(kind, docs_once, shared, pairs, done, min_words)
-    if not more.isEmpty():
-        done = done.unionByName(written(_aligned_pairs(kind, more, docs_once, min_words), "blocks"))
+    for more in _other_blocks(kind, docs_once, shared, pairs, done, min_words):
+        done = done.unionByName(more)
     gone = done.groupBy("d_id", "d_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"), F.collect_set(F.struct("e_id")).alias("partners"))
     sized = docs_once.select(F.col("id").alias("dd_id"), F.col("text_hash").alias("dd_hash"), "words", "place")
     per_doc = gone.join(sized, _same("d", "dd")).select(F.col("d_id").alias("id"), F.col("d_hash").alias("text_hash"), "gone", "words", "place", F.col("partners.e_id").alias("partners"))

@@ -90,7 +90,9 @@ def test_short_lines_of_two_documents_are_no_block(spark):
     assert left_of(spark, texts) == [t.split("\n") for t in texts]
 
 
-def test_blocks_against_all_earlier_documents(spark):
+@pytest.mark.parametrize("draws", [1, 4])
+def test_blocks_against_all_earlier_documents(spark, draws, monkeypatch):
+    monkeypatch.setattr(line_align, "FIRST_DRAWS", draws)
     rng = random.Random(8)
     pool = [" ".join(f"p{i}w{j}" for j in range(rng.choice([1, 2, 3, 4, 6, 9]))) for i in range(30)]
     texts = []
