@@ -8,6 +8,8 @@ sequence crosses documents and nothing is padded.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -39,7 +41,7 @@ def byte_letters() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
 
 
-def library_ids(path: str, pattern: str, end_id: int) -> Callable[[str], bytes]:
+def model_ids(path: str, pattern: str) -> Callable[[str], bytes]:
     """From texts to packed ids by the BPE model of a tokenizers file; special tokens in a text are ordinary text.
 
     ``pattern`` cuts a text into the matches that the model encodes. The library's own call per
@@ -48,7 +50,6 @@ def library_ids(path: str, pattern: str, end_id: int) -> Callable[[str], bytes]:
     from tokenizers import Tokenizer
 
     model, matches, letters = Tokenizer.from_file(path).model, regex.compile(pattern), byte_letters()
-    end = np.array([end_id], "<u4").tobytes()
     known: dict[str, bytes] = {}
 
     def encode(chunk: str) -> bytes:
@@ -64,8 +65,31 @@ def library_ids(path: str, pattern: str, end_id: int) -> Callable[[str], bytes]:
             out += ids
         return out
 
-    chunked = ChunkIds(encode)
-    return lambda text: chunked.ids_of(text) + end
+    return encode
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """The strings that a tokenizers file turns into an id of their own wherever a text holds them."""
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
+def library_ids(path: str, pattern: str, end_id: int) -> Callable[[str], bytes]:
+    """From texts to packed ids as the tokenizers library gives them by default, and ``end_id`` behind each.
+
+    A text is split at the file's added tokens first; each has its own id.
+    """
+    chunked = ChunkIds(model_ids(path, pattern))
+    end = np.array([end_id], "<u4").tobytes()
+    added = {t: np.array([i], "<u4").tobytes() for t, i in added_tokens(path).items()}
+    split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def encode(text: str) -> bytes:
+        if split is None or not split.search(text):
+            return chunked.ids_of(text) + end
+        return b"".join(added[p] if p in added else chunked.ids_of(p) for p in split.split(text) if p) + end
+
+    return encode
 
 
 def pack(

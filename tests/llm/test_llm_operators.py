@@ -436,8 +436,7 @@ def test_packing_against_the_library(docs, nothing):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    odd = [(100 + i, t) for i, t in enumerate([*ODD, "<|endoftext|> x"])]
+    odd = [(100 + i, t) for i, t in enumerate([*ODD, "<|endoftext|> x", "a <|endoftext|> b", "a <|endoftext|>"])]
     both = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame(odd, "doc_id long, text string"))
     out = packing.pack(both, path, public_tokenizers.PATTERN, limit=64).collect()
     assert sorted(r.sequence_id for r in out) == list(range(len(out)))
