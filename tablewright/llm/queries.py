@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import backoff, chat, hash_ring, licenses, line_align, order_minhash, packing, prefix_bpe, repetition, simhash
+from tablewright.llm import (
+    backoff,
+    chat,
+    hash_ring,
+    licenses,
+    line_align,
+    order_minhash,
+    packing,
+    prefix_bpe,
+    prefix_trie,
+    repetition,
+    simhash,
+    threshold,
+    token_links,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -164,3 +178,74 @@ def op8(spark, folder):
 def op10(spark, folder):
     remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10
     return backoff.score(table(spark, folder, "documents"), remainder != 0)
+
+
+@query("op11_anchor_windows")
+def op11(spark, folder):
+    path = public_tokenizers.path
+    docs = table(spark, folder, "documents")
+    return token_links.align(docs, path("byte_bpe_50k.json"), public_tokenizers.PATTERN, path("piece_bpe_32k.model"))
+
+
+@query(
+    "op12_threshold_topk",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+    )
+    SELECT query_id, rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored) WHERE rank <= 5
+    """,
+)
+def op12(spark, folder):
+    vectors = table(spark, folder, "embeddings").select("vec_id", threshold.scaled(F.col("embedding")).alias("whole"))
+    return threshold.top_products(vectors.where(F.col("vec_id") % 50 == 0), vectors, "vec_id", "whole")
+
+
+# crc32 bit by bit, for the ids' digits
+_CRC = """xor(4294967295, list_reduce(
+  list_transform(range(1, len(conv_id::VARCHAR) + 1), lambda i: ascii(substring(conv_id::VARCHAR, i::INT, 1))::BIGINT),
+  lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END), xor(c, b)), 4294967295::BIGINT))"""
+
+
+@query(
+    "op13_prefix_trie",
+    f"""
+    WITH turns AS (
+      SELECT conv_id, sha256(strlen(r) || ':' || r || t) AS digest, strlen(t) AS bytes,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(r) || ':' || r || t)) AS place
+      FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)
+    ), convs AS (
+      SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)
+    ), rebuilt AS (
+      SELECT c.conv_id, 0 AS part, place, digest, bytes FROM convs c JOIN turns t ON t.conv_id = c.base AND place <= h
+      UNION ALL SELECT c.conv_id, 1, place, digest, bytes FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND place > h
+    ), whole AS (
+      SELECT conv_id, coalesce(list(digest ORDER BY part, place) FILTER (digest IS NOT NULL), []) AS s,
+        coalesce(list(bytes ORDER BY part, place) FILTER (digest IS NOT NULL), []) AS b
+      FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id
+    ), prefixes AS (
+      SELECT conv_id, depth, array_to_string(s[1:depth], ' ') AS key, array_to_string(s[1:depth - 1], ' ') AS above,
+        CASE WHEN depth > 0 THEN b[depth] ELSE 0 END AS bytes, depth = len(s) AS ends
+      FROM (SELECT *, unnest(range(len(s) + 1)) AS depth FROM whole)
+    ), nodes AS (
+      SELECT depth, key, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, min(bytes) AS bytes,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+      FROM prefixes GROUP BY depth, key
+    ), linked AS (
+      SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.depth = n.depth + 1 AND c.above = n.key) AS n_children
+      FROM nodes n LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.key = n.above
+    ), below AS (
+      SELECT a.depth, a.key, count(*) FILTER (n.n_children = 0) AS n_leaves, sum((n.n_convs - 1) * n.bytes)::BIGINT AS saved_tokens
+      FROM linked n JOIN prefixes a ON a.conv_id = n.conv_id AND a.depth <= n.depth GROUP BY a.depth, a.key
+    )
+    SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+    FROM linked JOIN below USING (depth, key)
+    """,
+)
+def op13(spark, folder):
+    return prefix_trie.prefix_trie(table(spark, folder, "conversations"))
