@@ -3,7 +3,8 @@
 For every prefix of a piece there is one token that a valid encoding of it can end with. The
 table of these last tokens is the whole state: walking it backwards gives the ids, appending
 bytes extends it exactly, and after an edit it is computed anew from the edit until it runs along
-the old table again.
+the old table again. The tokens that a prefix can end with come from an automaton over the
+vocabulary, one step a byte, longest first.
 
 Two neighbouring tokens are valid if their joined bytes encode to just these two; an encoding is
 the BPE encoding if and only if all neighbours are valid.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import base64
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 
 from tablewright.llm.chunks import KEPT_CHARS, ChunkIds
 
-KEPT_PAIRS, KEPT_PIECES = 500_000, 400_000
+KEPT_PAIRS, KEPT_PIECES, KEPT_STEPS = 500_000, 400_000, 1_500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,10 +43,59 @@ class PrefixTable:
         self.ranks = ranks
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
-        # every ending of a token, -1 unless it is one itself
-        self.endings = {token[i:]: -1 for token in ranks for i in range(len(token))} | ranks
+        self.size = {rank: len(token) for token, rank in ranks.items()}
         self.valid: dict[int, bool] = {}
         self.spines: dict[int, list[tuple[int, bytes]]] = {}
+        self._automaton()
+
+    def _automaton(self) -> None:
+        """States are beginnings of tokens: the longest one that the bytes so far end with.
+
+        ``steps`` holds a state and a byte and leads on; steps that fall back to shorter
+        beginnings are added when met, up to ``KEPT_STEPS``. ``ends`` is the longest token that a
+        state ends with, ``shorter`` the next one that a token ends with; -1 is none.
+        """
+        self.steps: dict[int, int] = {}
+        own, depth = [-1], [0]
+        for token, rank in self.ranks.items():
+            at = 0
+            for b in token:
+                to = self.steps.get(at << 8 | b)
+                if to is None:
+                    to = self.steps[at << 8 | b] = len(own)
+                    own.append(-1)
+                    depth.append(depth[at] + 1)
+                at = to
+            own[at] = rank
+        self.back = [0] * len(own)
+        self.ends, self.shorter = own[:], {}
+        edges = sorted(self.steps.items(), key=lambda e: depth[e[1]])
+        for key, to in edges:
+            at, b = key >> 8, key & 255
+            if at:
+                self.back[to] = self.step(self.back[at], b, False)
+            behind = self.ends[self.back[to]]
+            if own[to] >= 0:
+                self.shorter[own[to]] = behind
+            else:
+                self.ends[to] = behind
+
+    def step(self, state: int, b: int, keep: bool = True) -> int:
+        to, at = self.steps.get(state << 8 | b), state
+        while to is None and at:
+            at = self.back[at]
+            to = self.steps.get(at << 8 | b)
+        to = to or 0
+        if keep and at != state and len(self.steps) < KEPT_STEPS:
+            self.steps[state << 8 | b] = to
+        return to
+
+    def state_of(self, data: bytes) -> int:
+        """The state after some bytes; the last ones decide."""
+        state = 0
+        for b in data[-self.longest :] if self.longest else b"":
+            state = self.step(state, b)
+        return state
 
     def merged(self, data: bytes, below: int = 1 << 62) -> list[int]:
         """Ids by merging the lowest rank first, ranks from ``below`` on left out; only for the few bytes of a token."""
@@ -80,7 +131,7 @@ class PrefixTable:
         known = self.valid.get(pair)
         if known is None:
             if len(self.valid) > KEPT_PAIRS:
-                self.valid = {}
+                self.valid.clear()
             ours, theirs = self.spine(left, 1) if left >= 0 else [], self.spine(right, 0)
             known, i, j, never = bool(theirs), 0, 0, 1 << 62
             while known and left >= 0:
@@ -94,22 +145,27 @@ class PrefixTable:
             self.valid[pair] = known
         return known
 
-    def last_token(self, data: bytes, last: list[int], end: int) -> int:
-        """The one valid last token of ``data[:end]``, given those of all shorter prefixes."""
-        endings, begin, found = self.endings, end - 1, []
-        while begin >= 0:
-            token = endings.get(data[begin:end])
-            if token is None:
-                break
-            if token >= 0:
-                found.append((begin, token))
-            begin -= 1
-        for begin, token in reversed(found):
-            left = last[begin]
-            fits = self.valid.get(left << 32 | token)
-            if fits or fits is None and self.fits(left, token):
-                return token
-        raise ValueError("a byte of the text is not in the vocabulary")
+    def last_tokens(self, data: bytes, last: list[int], state: int) -> int:
+        """Append to ``last`` the one valid last token of each prefix that a byte of ``data`` ends; the state after it.
+
+        ``last`` has those of all shorter prefixes, ``state`` is that of the bytes before.
+        """
+        steps, ends, size, shorter, valid, end = self.steps, self.ends, self.size, self.shorter, self.valid, len(last)
+        for b in data:
+            to = steps.get(state << 8 | b)
+            state = self.step(state, b) if to is None else to
+            token = ends[state]
+            while token >= 0:
+                left = last[end - size[token]]
+                fits = valid.get(left << 32 | token)
+                if fits or fits is None and self.fits(left, token):
+                    break
+                token = shorter[token]
+            else:
+                raise ValueError("a byte of the text is not in the vocabulary")
+            last.append(token)
+            end += 1
+        return state
 
     def encode(self, data: bytes) -> list[int]:
         """Ids of one piece."""
@@ -121,40 +177,45 @@ class PrefixEncoding:
     """The last tokens of all prefixes of one piece; ``last[0]`` is -1."""
 
     def __init__(self, table: PrefixTable, data: bytes = b""):
-        self.table, self.data, self.last = table, b"", [-1]
+        self.table, self.data, self.last, self.state = table, b"", [-1], 0
         self.append(data)
 
     def append(self, more: bytes) -> None:
         """Add bytes at the end; nothing before is computed again."""
         self.data += more
-        for end in range(len(self.last), len(self.data) + 1):
-            self.last.append(self.table.last_token(self.data, self.last, end))
+        self.state = self.table.last_tokens(more, self.last, self.state)
 
     def replace(self, begin: int, end: int, new: bytes) -> int:
         """Put ``new`` for ``data[begin:end]``; returns how many prefixes were computed."""
         old, shift = self.last, len(new) - (end - begin)
         self.data = self.data[:begin] + new + self.data[end:]
         self.last = old[: begin + 1]
-        alike, at = 0, begin + 1
+        alike, at, state = 0, begin + 1, self.table.state_of(self.data[max(0, begin - self.table.longest) : begin])
         # the table runs along the old one once it has agreed for as long as a token can reach back
         while at <= len(self.data) and alike < self.table.longest:
-            self.last.append(self.table.last_token(self.data, self.last, at))
+            state = self.table.last_tokens(self.data[at - 1 : at], self.last, state)
             alike = alike + 1 if at - shift > end and self.last[at] == old[at - shift] else 0
             at += 1
         done = at - begin - 1
         self.last += old[at - shift :]
+        self.state = self.table.state_of(self.data)
         return done
 
     def ids(self) -> list[int]:
         out, end = [], len(self.data)
+        last, size = self.last, self.table.size
         while end:
-            out.append(self.last[end])
-            end -= len(self.table.bytes_of[self.last[end]])
+            out.append(last[end])
+            end -= size[last[end]]
         return out[::-1]
 
 
+@cache
 def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
-    """From texts to ids (little-endian, 32 bits); recurring pieces are looked up in a bounded memory."""
+    """From texts to ids (little-endian, 32 bits); recurring pieces are looked up in a bounded memory.
+
+    There is one for each Python worker, whose tasks share what it remembers.
+    """
     table, matches, known = PrefixTable(load_ranks(path)), regex.compile(pattern), {}
 
     def chunk_ids(chunk: str) -> bytes:
@@ -173,6 +234,7 @@ def encoder(path: str, pattern: str) -> Callable[[str], bytes]:
     return ChunkIds(chunk_ids).ids_of
 
 
+@cache
 def decoder(path: str) -> Callable[[bytes], bytes]:
     """From ids to bytes."""
     ranks = load_ranks(path)
