@@ -20,6 +20,13 @@ def _(spark, folder):
     return read_csv(spark, path)
 
 
+@query("csv_line_breaks", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def _(spark, folder):
+    path = scratch(spark, "documents-csv")
+    reports.write_csv(table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "n_chars"), path)
+    return read_csv(spark, path)
+
+
 @query("csv_tolerant_scan", "SELECT CAST(o_orderkey AS STRING) || ',x' AS id, o_orderpriority AS priority FROM orders")
 def _(spark, folder):
     path = scratch(spark, "messy-csv")

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders of local sessions that name none, by application.
+_own_folders: dict[str, str] = {}
+
 SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -42,10 +46,12 @@ def shared_folder(spark: SparkSession) -> str | None:
     Only a local master without that setting gets a temporary folder: a machine-local folder
     would not survive the loss of an executor.
     """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="tablewright-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and re.match(r"local(\[|$)", context.master):
+        folder = _own_folders.get(context.applicationId)
+        if folder is None:
+            folder = _own_folders[context.applicationId] = tempfile.mkdtemp(prefix="tablewright-")
     return folder
 
 

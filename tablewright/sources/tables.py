@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tablewright.functions import text as X
 from tablewright.plans.aggregates import col, kinds, measure
+from tablewright.sources.records import crosses_lines, lines_of, records
 
 HEAD_ROWS = 1000  # fixed value: rows from which types are guessed; all rows are held against the guess
 
@@ -78,38 +79,62 @@ def fitted_schema(texts: DataFrame, guess: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, kinds_.get(f.name, T.StringType())) for f in guess])
 
 
+def _parsed(rows: DataFrame, schema: T.StructType, **options: str) -> DataFrame:
+    """Records (a column ``value``) as columns."""
+    ddl = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema)
+    return rows.select(F.from_csv("value", ddl, {"mode": "PERMISSIVE", "quote": '"', "escape": '"', **options}).alias("r")).select("r.*")
+
+
+def _record_head(rows: DataFrame) -> list[str]:
+    """The header and at most 1000 records."""
+    head = [r["value"] for r in rows.where("header").limit(1).collect()]
+    return head + [r["value"] for r in rows.where("not header").limit(HEAD_ROWS).collect()] if head else []
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """CSV with header; a value never becomes null because it does not fit its column's type.
 
-    Types are guessed from the first 1000 rows and held against all rows. Records with line
-    breaks inside quotes are read whole; files that hold such a record are not split.
+    Types are guessed from 1000 rows and held against all rows. Values may hold line breaks inside
+    quotes: such files are cut into records split by split (``records``), others by the reader.
     """
-    lines = _text(spark, path)
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    broken = bool(lines.where(quotes % 2 == 1).head(1))
-    options = QUOTES | {"multiLine": broken}
+    _text(spark, path)
+    lines = lines_of(spark, path)
+    if crosses_lines(lines):
+        rows = records(lines)
+        body = rows.where("not header")
+        if schema is None:
+            guess = _guessed(spark, _record_head(rows))
+            schema = fitted_schema(_parsed(body, _as_text(guess)), guess)
+        return _parsed(body, schema)
     if schema is None:
         head = _head(spark, lines)
         if not head:
             raise SourceError("parse", f"{path} holds no header")
-        guess = spark.read.csv(path, inferSchema=True, **options).schema if broken else _guessed(spark, head)
-        schema = fitted_schema(spark.read.csv(path, schema=_as_text(guess), **options), guess)
-    return spark.read.csv(path, schema=schema, **options)
+        guess = _guessed(spark, head)
+        schema = fitted_schema(spark.read.csv(path, schema=_as_text(guess), **QUOTES), guess)
+    return spark.read.csv(path, schema=schema, **QUOTES)
 
 
 def read_csv_tolerant(spark: SparkSession, path: str) -> DataFrame:
     """CSV whose lines may hold doubled or tripled quotes and blank lines, with types as ``read_csv`` gives them.
 
-    The plain parse is kept when every line fits the header; otherwise quotes are collapsed and
-    blank lines dropped, line by line on the executors, before parsing. Each file's first line is
-    its header; later lines that equal it are data.
+    The plain parse is kept when every record fits the header, whether or not values hold line
+    breaks; otherwise quotes are collapsed and blank lines dropped, record by record on the
+    executors, before parsing. Each file's first line is its header; later lines that equal it are data.
     """
-    head = _head(spark, _text(spark, path).where(X.trimmed(F.col("value")) != ""))
+    whole = _text(spark, path).where(X.trimmed(F.col("value")) != "")
+    lines = lines_of(spark, path)
+    crossing = crosses_lines(lines)
+    rows = records(lines) if crossing else None
+    head = _record_head(rows) if crossing else _head(spark, whole)
     if not head:
         raise SourceError("parse", f"{path} holds no header")
     plain = _as_text(_guessed(spark, head))
     checked = T.StructType([*plain.fields, T.StructField("_corrupt", T.StringType())])
-    probe = spark.read.csv(path, schema=checked, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE", **QUOTES)
+    if crossing:
+        probe = _parsed(rows.where("not header"), checked, columnNameOfCorruptRecord="_corrupt")
+    else:
+        probe = spark.read.csv(path, schema=checked, columnNameOfCorruptRecord="_corrupt", mode="PERMISSIVE", **QUOTES)
     # Whole rows are asked for, since Spark parses only the columns a query reads.
     if not probe.where(F.col("_corrupt").isNotNull()).head(1):
         return read_csv(spark, path)
@@ -118,14 +143,16 @@ def read_csv_tolerant(spark: SparkSession, path: str) -> DataFrame:
         quote = F.lit('"')
         return F.replace(F.replace(c, F.lit('"""'), quote), F.lit('""'), quote)
 
-    # one column of whole lines: the reader itself leaves out each file's header
-    lines = spark.read.csv(path, schema="value string", header=True, sep="\u0001", quote="", multiLine=False)
-    body = lines.where(X.trimmed(F.col("value")) != "").select(collapsed(F.col("value")).alias("value"))
+    if crossing:
+        body = rows.where("not header")
+    else:  # one column of whole lines: the reader itself leaves out each file's header
+        body = spark.read.csv(path, schema="value string", header=True, sep="\u0001", quote="", multiLine=False)
+    body = body.where(X.trimmed(F.col("value")) != "").select(collapsed(F.col("value")).alias("value"))
     shown = [x.replace('"""', '"').replace('""', '"') for x in head]
     guess = _guessed(spark, shown)
     names = next(iter(spark.read.csv(spark.sparkContext.parallelize(shown[:1]), escape='"').collect()))
-    quoted = ["`" + (n or f"column_{i}").replace("`", "``") + "` string" for i, n in enumerate(names)]
-    parsed = body.select(F.from_csv("value", ", ".join(quoted), {"mode": "PERMISSIVE", "escape": '"'}).alias("r")).select("r.*")
+    named = T.StructType([T.StructField(n or f"column_{i}", T.StringType()) for i, n in enumerate(names)])
+    parsed = _parsed(body, named)
     guess = T.StructType([T.StructField(n, f.dataType) for n, f in zip(parsed.columns, guess, strict=True)])
     fitted = fitted_schema(parsed, guess)
     return parsed.select(*[col(f.name).try_cast(f.dataType).alias(f.name) for f in fitted])

@@ -142,3 +142,40 @@ def test_analysis_reads_numbers_in_text(spark):
     found = analyze(rows)
     pair = found["pearson"].where("x = 'a' AND y = 'b'").first()
     assert abs(pair["value"] - 1) < 1e-9 and pair["n"] == 195
+
+
+def test_lineage_is_cut_without_any_setting(tmp_path):
+    """A local session whose configuration names no checkpoint folder."""
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "from tablewright.session import cut_lineage, local_session, shared_folder\n"
+        "spark = local_session(2)\n"
+        "assert shared_folder(spark) == shared_folder(spark)\n"
+        "print(cut_lineage(spark.range(5)).count())\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": root, "TMPDIR": str(tmp_path)}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("5"), done.stderr[-2000:]
+
+
+def test_queries_without_a_library_of_the_subpackage():
+    """The entry point works where the subpackage can't be imported."""
+    import os
+    import subprocess
+    import sys
+
+    code = (
+        "import sys\n"
+        "sys.modules['public_tokenizers'] = None\n"
+        "import __spark_entry__ as e\n"
+        "names = e.queries()\n"
+        "assert len(names) > 150 and not any(n.startswith('op1') for n in names) and 'pipeline' not in names\n"
+        "print('fine')\n"
+    )
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
+    assert done.stdout.strip().endswith("fine"), done.stderr[-2000:]
