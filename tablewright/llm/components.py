@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.store import written
+from tablewright.llm.store import discard, written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -31,4 +31,5 @@ def components(edges: DataFrame) -> DataFrame:
         print_of = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if print_of == before or not print_of.n:
             return now
-        now, before = written(_stars(now), "edges"), print_of
+        earlier, now, before = now, written(_stars(now), "edges"), print_of
+        discard(earlier)

@@ -23,4 +23,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = f"{base.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{next(_tables)}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a table that ``written`` returned, once nothing that is still to be computed reads it."""
+    context = stored.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
