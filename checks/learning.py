@@ -5,7 +5,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from checks.registry import query, rounded, scratch, table
-from tablewright.learning import encode, explain, metrics
+from tablewright.learning import encode, explain, metrics, trees
 from tablewright.learning import models as M
 from tablewright.learning import train as T
 from tablewright.sources.tables import coerce_numeric
@@ -328,6 +328,32 @@ def explained(spark, folder):
     return explain.attributions(model, train, facts.features, facts, 20), explain.explained_rows(train, 20, 42), encoder.names
 
 
+@query(
+    "tree_attributions",
+    """
+    WITH q AS (SELECT CAST(l_quantity > 25 AS INTEGER) AS a, CAST(l_discount > 0.05 AS INTEGER) AS b, l_extendedprice + 4000 * l_quantity AS y FROM lineitem),
+    f AS (
+      SELECT g.a, g.b, avg(y) AS ab, any_value(m.y0) AS none, any_value(m.n) AS n FROM q g, (SELECT avg(y) AS y0, count(*) AS n FROM q) m GROUP BY g.a, g.b
+    ),
+    fa AS (SELECT a, avg(y) AS v, count(*) AS n FROM q GROUP BY a),
+    fb AS (SELECT f.b, sum(fa.n * f.ab) / sum(fa.n) AS v FROM f JOIN fa ON f.a = fa.a GROUP BY f.b),
+    v AS (
+      SELECT 2 * f.a + f.b AS row, ((fa.v - f.none) + (f.ab - fb.v)) / 2 AS x0, ((fb.v - f.none) + (f.ab - fa.v)) / 2 AS x1
+      FROM f JOIN fa ON f.a = fa.a JOIN fb ON f.b = fb.b
+    )
+    SELECT CAST(row AS BIGINT) AS row, 0 AS feature, round(x0, 4) AS attribution FROM v
+    UNION ALL SELECT CAST(row AS BIGINT), 1, round(x1, 4) FROM v
+    """,
+)
+def _(spark, folder):
+    """Two splits of all order lines: the tree's nodes are the groups' means."""
+    rows = table(spark, folder, "lineitem").selectExpr("double(l_quantity > 25) AS a", "double(l_discount > 0.05) AS b", "double(l_extendedprice + 4000 * l_quantity) AS label")
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    model = M.build("decision_tree", M.Facts(0, 2, M.REGRESSION), {"max_depth": 2}).fit(rows)
+    kinds = rows.select((2 * F.col("a") + F.col("b")).cast("long").alias("row"), vector_to_array("features").alias("x")).distinct()
+    return rounded(trees.tree_attributions(model, kinds), 4)
+
+
 @query("sampled_attributions")
 def _(spark, folder):
     return rounded(explained(spark, folder)[0])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.learning.models import CLASSIFICATION, Facts
+from tablewright.learning.trees import is_tree, tree_attributions
 
 BACKGROUND_ROWS = 50  # fixed value: rows features are switched off with
 PERMUTATIONS = 10
@@ -86,13 +87,15 @@ def sampled_attributions(
 
 
 def attributions(model: Model, df: DataFrame, width: int, facts: Facts, rows: int = 100, seed: int = 42) -> DataFrame:
-    """Exact for linear models with one weight per feature, sampled otherwise."""
+    """Exact for trees and for linear models with one weight per feature, sampled otherwise."""
     picked = explained_rows(df, rows, seed)
     # a model of three classes or more has a weight per class, and raises when asked for one
     one_each = facts.task != CLASSIFICATION or facts.classes <= 2
     if one_each and hasattr(model, "coefficients") and not hasattr(model, "trees"):
         weights = [float(w) for w in model.coefficients.toArray()]
         return linear_attributions(weights, feature_means(df), picked)
+    if is_tree(model):
+        return tree_attributions(model, picked)
     return sampled_attributions(model, picked, explained_rows(df, BACKGROUND_ROWS, seed + 1).drop("row"), width, facts, seed)
 
 

@@ -173,3 +173,73 @@ def test_three_classes_are_explained_and_gaps_scored(spark):
     assert len({r["prediction"] for r in scored}) == 1 and all(r["prediction"] is not None for r in scored)
     texts = spark.createDataFrame([(" 4.5", 1.0)], "a string, b double")
     assert T.score_rows(result, texts).first()["prediction"] == "x"
+
+
+def known_value(tree, at, x, known, output):
+    """The mean of a tree's output when only some features are known, by walking it."""
+    node = tree[at]
+    if node["left"] < 0:
+        return node["values"][output]
+    sides = ("left", "right")
+    if node["feature"] in known:
+        goes = x[node["feature"]] <= node["threshold"]
+        return known_value(tree, node[sides[0 if goes else 1]], x, known, output)
+    return sum(tree[node[s]]["rows"] / node["rows"] * known_value(tree, node[s], x, known, output) for s in sides)
+
+
+@pytest.mark.parametrize("kind", ["tree", "tree_classes", "forest_classes", "forest", "boosted", "boosted_classes"])
+def test_tree_attributions_against_all_subsets(spark, kind):
+    from itertools import combinations
+    from math import factorial
+
+    from pyspark.ml import classification as C
+    from pyspark.ml import regression as R
+    from pyspark.ml.feature import VectorAssembler
+
+    from tablewright.learning.trees import node_table, tree_attributions
+
+    rows = spark.range(0, 300, 1, 2).select(*[F.round(noise(i, 6), 1).alias(f"x{i}") for i in range(4)])
+    three = F.when(F.col("x0") + F.col("x1") > 1, 2.0).when(F.col("x2") > 0, 1.0).otherwise(0.0)
+    label = {"tree_classes": three, "forest_classes": three, "boosted_classes": (three > 0).cast("double")}.get(kind, F.col("x0") * F.col("x1") + F.col("x2"))
+    data = VectorAssembler(inputCols=[f"x{i}" for i in range(4)], outputCol="features").transform(rows.withColumn("label", label)).cache()
+    model = {
+        "tree": R.DecisionTreeRegressor(maxDepth=5),
+        "tree_classes": C.DecisionTreeClassifier(maxDepth=4),
+        "forest": R.RandomForestRegressor(numTrees=4, maxDepth=4, seed=1),
+        "forest_classes": C.RandomForestClassifier(numTrees=4, maxDepth=4, seed=1),
+        "boosted": R.GBTRegressor(maxIter=4, maxDepth=3, stepSize=0.3, seed=1),
+        "boosted_classes": C.GBTClassifier(maxIter=4, maxDepth=3, stepSize=0.3, seed=1),
+    }[kind].fit(data)
+    picked = explain.explained_rows(data, 12, 3)
+    points = {r["row"]: r["x"] for r in picked.collect()}
+    got = {(r["row"], r["feature"]): r["attribution"] for r in tree_attributions(model, picked).collect()}
+    trees = {}
+    for n in node_table(model, spark).collect():
+        trees.setdefault(n["tree"], {})[n["id"]] = n
+    weights = list(model.treeWeights) if hasattr(model, "trees") else [1.0]
+    if kind.startswith("forest"):
+        weights = [1 / len(weights)] * len(weights)
+    outputs = len(next(iter(trees.values()))[0]["values"])
+    for row, x in points.items():
+        def worth(known, output):
+            return sum(weights[t] * known_value(tree, 0, x, known, output) for t, tree in trees.items())
+
+        output = 0 if outputs == 1 else max(range(outputs), key=lambda c: worth({0, 1, 2, 3}, c))
+        for i in range(4):
+            others, want = [j for j in range(4) if j != i], 0.0
+            for n in range(4):
+                for s in combinations(others, n):
+                    want += factorial(n) * factorial(3 - n) / factorial(4) * (worth({*s, i}, output) - worth(set(s), output))
+            assert got[(row, i)] == pytest.approx(want, abs=1e-9)
+        total = sum(got[(row, i)] for i in range(4))
+        assert total == pytest.approx(worth({0, 1, 2, 3}, output) - worth(set(), output), abs=1e-9)
+    scored = {tuple(r["features"].toArray()): r for r in model.transform(data).collect()}
+    for x in points.values():
+        r = scored[tuple(x)]
+        score = sum(weights[t] * known_value(tree, 0, x, {0, 1, 2, 3}, int(r["prediction"]) if outputs > 1 else 0) for t, tree in trees.items())
+        if "classes" not in kind:
+            assert r["prediction"] == pytest.approx(score)
+        elif outputs > 1:
+            assert max(r["probability"]) == pytest.approx(score)
+        else:
+            assert r["rawPrediction"][1] == pytest.approx(score)
