@@ -13,7 +13,7 @@ from tablewright.plans.aggregates import measure
 from tablewright.plans.orderstats import numeric
 from tablewright.plans.ranks import range_splits, running_totals
 
-SHAPIRO_ROWS = 5000  # fixed value: largest sample the p-value holds for
+SHAPIRO_ROWS = 5000  # fixed value: largest sample the p-value holds for; W is given for any
 TEST_SCHEMA = "column string, test string, n bigint, statistic double, p_value double"
 
 
@@ -42,27 +42,34 @@ def dagostino_k2(n: int, skew: float, kurt: float) -> tuple[float, float] | None
     return k2, math.exp(-k2 / 2.0)
 
 
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float] | None:
-    """W and p of sorted values, at most 5000 of them (Royston 1995)."""
-    n = len(values)
-    if not 3 <= n <= SHAPIRO_ROWS or values[0] == values[-1]:
+def shapiro_wilk(n: int, spread: float, scored: float, ends: tuple[float, float, float, float]) -> tuple[float, float | None] | None:
+    """W and p (Royston 1995; none beyond 5000 values) from sums over the ranked values.
+
+    ``spread`` is the sum of squared distances from the mean, ``scored`` that of distance times
+    normal score, ``ends`` the two smallest and the two largest values.
+    """
+    if n < 3 or not spread > 0:
         return None
     if n == 3:
-        a = np.array([-math.sqrt(0.5), 0.0, math.sqrt(0.5)])
+        weighted = math.sqrt(0.5) * (ends[3] - ends[0])
     else:
-        m = np.array([D.normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-        last, before, phi = D.shapiro_weights_tail(n, float(m @ m), m[-1], m[-2])
-        a = m / math.sqrt(phi)
-        a[-1], a[0] = last, -last
+        last_score, before_score = (D.normal_quantile((n - k - 0.375) / (n + 0.25)) for k in (0, 1))
+        norm2 = float(D.score_sums(np.array([0]), np.array([n]), np.array([n]), 2)[0])
+        last, before, phi = D.shapiro_weights_tail(n, norm2, last_score, before_score)
+        outer, next_ = ends[3] - ends[0], ends[2] - ends[1]
         if n > 5:
-            a[-2], a[1] = before, -before
-    gaps = values - values.mean()
-    w = min(1.0, float(a @ values) ** 2 / float(gaps @ gaps))
-    return w, D.shapiro_p(w, n)
+            weighted = (scored - last_score * outer - before_score * next_) / math.sqrt(phi) + last * outer + before * next_
+        else:
+            weighted = (scored - last_score * outer) / math.sqrt(phi) + last * outer
+    w = min(1.0, weighted**2 / spread)
+    return w, D.shapiro_p(w, n) if n <= SHAPIRO_ROWS else None
 
 
 def distribution_gaps(df: DataFrame, names: list[str], moments: dict, sizes: dict[str, int]) -> DataFrame:
-    """``(column, n, a2, d)``: Anderson-Darling and Kolmogorov statistics against a fitted normal.
+    """``(column, n, a2, d, scored, first, second, last_but_one, last)``: statistics against a fitted normal.
+
+    ``a2`` and ``d`` are those of Anderson-Darling and Kolmogorov; ``scored`` and the outermost
+    values are what ``shapiro_wilk`` needs.
 
     Values are folded to distinct ones and given the count of smaller values; copies of a value
     enter in closed form, so neither a hot value nor a large column gathers in one task.
@@ -82,8 +89,9 @@ def distribution_gaps(df: DataFrame, names: list[str], moments: dict, sizes: dic
     size = F.get(fitted, F.lit(0))
     z = (F.col("value") - F.get(fitted, F.lit(1))) / F.get(fitted, F.lit(2))
     scored = placed.select(
-        "column", "t", "before", size.alias("n"), D.normal_cdf_column(z).alias("below"), D.normal_cdf_column(-z).alias("above")
-    )
+        "column", "value", "t", "before", size.alias("n"), D.normal_cdf_column(z).alias("below"), D.normal_cdf_column(-z).alias("above"),
+        (D.score_sums_column(F.col("before"), F.col("t"), size.cast("long")) * (F.col("value") - F.get(fitted, F.lit(1)))).alias("scored"),
+    )
     upto = F.col("before") + F.col("t")
     n = F.col("n")
     low = F.greatest(F.col("below"), F.lit(1e-300))
@@ -93,7 +101,11 @@ def distribution_gaps(df: DataFrame, names: list[str], moments: dict, sizes: dic
         (n - F.col("before")) * (n - F.col("before")) - (n - upto) * (n - upto)
     ) * F.log(high)
     gap = F.greatest(upto / n - F.col("below"), F.col("below") - F.col("before") / n)
-    return scored.groupBy("column", "n").agg((-F.first("n") - F.sum(part) / F.first("n")).alias("a2"), F.max(gap).alias("d"))
+    holds = [F.min(F.when((F.col("before") <= i) & (upto > i), F.col("value"))) for i in (F.lit(0), F.lit(1), n - 2, n - 1)]
+    return scored.groupBy("column", "n").agg(
+        (-F.first("n") - F.sum(part) / F.first("n")).alias("a2"), F.max(gap).alias("d"), F.sum("scored").alias("scored"),
+        *[c.alias(a) for c, a in zip(holds, ("first", "second", "last_but_one", "last"), strict=True)],
+    )
 
 
 def normality_tests(df: DataFrame, names: list[str]) -> DataFrame:
@@ -109,16 +121,12 @@ def normality_tests(df: DataFrame, names: list[str]) -> DataFrame:
     sizes = {n: seen[(n, "n")] for n in names}
     usable = [n for n in names if sizes[n] >= 3 and seen[(n, "std")]]
     out = []
-    small = [n for n in usable if sizes[n] <= SHAPIRO_ROWS]
-    # At most 5000 values per column are read here; larger columns have no Shapiro-Wilk p-value.
-    lists = measure(df, {n: F.sort_array(F.collect_list(numeric(n))) for n in small})
-    for n in small:
-        found = shapiro_wilk(np.array(lists[n]))
-        if found:
-            out.append((n, "shapiro_wilk", sizes[n], *found))
     if usable:
         for r in distribution_gaps(df, usable, seen, sizes).collect():  # one row per column
             n = r["column"]
+            found = shapiro_wilk(sizes[n], seen[(n, "std")] ** 2 * (sizes[n] - 1), r["scored"], tuple(r[e] for e in ("first", "second", "last_but_one", "last")))
+            if found:
+                out.append((n, "shapiro_wilk", sizes[n], *found))
             out.append((n, "anderson_darling", sizes[n], r["a2"], min(1.0, max(0.0, D.anderson_darling_p(r["a2"], sizes[n])))))
             out.append((n, "lilliefors", sizes[n], r["d"], min(1.0, max(0.0, D.lilliefors_p(r["d"], sizes[n])))))
     for n in usable:

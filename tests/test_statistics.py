@@ -28,11 +28,48 @@ def test_distributions(got, wanted):
     assert got == pytest.approx(wanted, rel=2e-4)
 
 
-def test_shapiro_wilk_textbook_weights():
+def wilk(values):
+    """W by Royston's weights, value by value."""
+    values, n = np.sort(values), len(values)
+    m = np.array([D.normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    if n == 3:
+        a = np.array([-math.sqrt(0.5), 0, math.sqrt(0.5)])
+    else:
+        last, before, phi = D.shapiro_weights_tail(n, float(m @ m), m[-1], m[-2])
+        a = m / math.sqrt(phi)
+        a[-1], a[0] = last, -last
+    if n > 5:
+        a[-2], a[1] = before, -before
+    return float(a @ values) ** 2 / float(((values - values.mean()) ** 2).sum())
+
+
+def shapiro(spark, values):
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double")
+    return {r["test"]: r for r in normality.normality_tests(rows, ["v"]).collect()}["shapiro_wilk"]
+
+
+def test_shapiro_wilk_textbook_weights(spark):
     """Body weights of eleven men (Shapiro and Wilk 1965): W = 0.79."""
-    w, p = normality.shapiro_wilk(np.array([148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], dtype=float))
-    assert w == pytest.approx(0.79, abs=0.002)
-    assert 0.004 < p < 0.01
+    found = shapiro(spark, [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236])
+    assert found["statistic"] == pytest.approx(0.79, abs=0.002)
+    assert 0.004 < found["p_value"] < 0.01
+
+
+@pytest.mark.parametrize("size", [3, 4, 5, 6, 40, 9000])
+def test_shapiro_wilk_of_any_size_with_ties(spark, small_blocks, size):
+    values = [(i * 7919 % 1000) ** 2 / 1e3 if i % 3 else 5.0 for i in range(size)]
+    found = shapiro(spark, values)
+    assert found["statistic"] == pytest.approx(wilk(np.array(values)), rel=1e-9)
+    assert (found["p_value"] is None) == (size > 5000)
+
+
+@pytest.mark.parametrize("power", [1, 2])
+def test_sums_of_normal_scores(power):
+    n = 20_000
+    scores = np.array([D.normal_quantile((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]) ** power
+    for low, t in ((0, n), (0, 1), (n - 1, 1), (10, 5000), (3000, 15_000), (9000, 2000), (0, 10_000), (19_000, 1000), (500, 300)):
+        found = D.score_sums(np.array([low]), np.array([t]), np.array([n]), power)[0]
+        assert found == pytest.approx(scores[low : low + t].sum(), rel=1e-9, abs=1e-8)
 
 
 def test_normality_on_normal_scores(spark):
