@@ -90,6 +90,26 @@ def _(spark, folder):
     return rounded(knn_fill(s, "s_acctbal", 5, "s_suppkey"))
 
 
+LINES = (
+    "SELECT l_orderkey * 8 + l_linenumber AS line, l_partkey, l_suppkey, CAST(l_quantity AS DOUBLE) AS l_quantity, "
+    "CASE WHEN l_orderkey % 1000 <> 0 THEN CAST(l_extendedprice AS DOUBLE) END AS price FROM lineitem"
+)
+
+
+@query(
+    "knn_fill_lines",
+    f"WITH s AS ({LINES}), d AS (SELECT q.line AS k, sqrt((power(q.l_partkey - d.l_partkey, 2) + power(q.l_suppkey - d.l_suppkey, 2) + power(q.l_quantity - d.l_quantity, 2)) / 3.0) AS gap, "
+    "d.line AS tie, d.price AS y FROM s q JOIN s d ON q.price IS NULL AND d.price IS NOT NULL), "
+    "n AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY gap, tie) AS place FROM d), "
+    "f AS (SELECT k, sum(y * CASE WHEN gap < 1e-10 THEN 1e10 ELSE 1 / gap END) / sum(CASE WHEN gap < 1e-10 THEN 1e10 ELSE 1 / gap END) AS guess FROM n WHERE place <= 5 GROUP BY k) "
+    "SELECT line, round(coalesce(price, guess), 4) AS price FROM s LEFT JOIN f ON line = k",
+)
+def _(spark, folder):
+    """Three features, many boxes."""
+    s = spark.sql(LINES.replace("lineitem", "{lineitem}"), lineitem=table(spark, folder, "lineitem"))
+    return rounded(knn_fill(s, "price", 5, "line", ["l_partkey", "l_suppkey", "l_quantity"]).select("line", "price"), 4)
+
+
 @query(
     "knn_model",
     "WITH t AS (SELECT s_suppkey, CAST(s_nationkey AS DOUBLE) AS a, s_acctbal AS y FROM supplier), "

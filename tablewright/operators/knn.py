@@ -1,9 +1,10 @@
-"""Exact nearest neighbours as a block join.
+"""Exact nearest neighbours from k-d trees over all features.
 
-Donors are cut into value ranges of one routing feature, and ranges that hold too many donors
-into chunks, so a block never exceeds a fixed size. Every query first meets one block of its
-own range, which bounds the distance of its k-th neighbour; it then visits just the ranges that
-bound can reach. A block returns at most k donors per query, and the best k of all blocks win.
+Donors with the same features filled share a tree, fitted on a bounded sample; its leaves are
+boxes, and boxes that hold too many donors are cut into chunks, so a block never exceeds a fixed
+size. A query meets boxes best first, in three rounds: the nearest box, which bounds the distance
+of its k-th neighbour, then a few more, which tighten the bound, then all boxes that the bound
+still reaches. A block returns at most k donors per query, and the best k of all blocks win.
 
 Copies cannot inflate a block: of donors with the same features only the first k by key can
 ever be chosen, and queries with the same features are answered once.
@@ -12,21 +13,25 @@ ever be chosen, and queries with the same features are answered once.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.plans.aggregates import col, columns_of, measure
 from tablewright.plans.orderstats import numeric
-from tablewright.plans.ranks import with_bucket
 from tablewright.session import cut_lineage
 
 BLOCK_DONORS = 4_000
 BLOCK_QUERIES = 2_000
 SLAB_CELLS = 1_000_000  # distances held at once inside a block
-NULL_RANGE = -1  # donors, or queries, without a value in the routing feature
+SAMPLE_ROWS = 65_536  # donors that the trees are fitted on; every donor is placed
+MOST_BOXES = 4096  # boxes that tasks and the driver hold; beyond that boxes grow and are cut into chunks
+NEXT_BOXES = 4  # boxes of the second round
+OTHERS = -1  # the box of donors whose filled features the sample doesn't show; always visited
 
 
 def _distances(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
@@ -125,84 +130,186 @@ def _lookup(chunks: dict[int, int]) -> Column:
     return F.coalesce(table[F.col("range")], F.lit(1))
 
 
-def _with_range(df: DataFrame, value: Column, splits: list[float], name: str = "range") -> DataFrame:
-    """Add the number of the value range, by binary search on the JVM; nulls have a range of their own."""
-    cut = with_bucket(df.withColumn("_at", F.coalesce(value, F.lit(0.0))), F.col("_at"), splits)
-    number = F.when(value.isNull(), F.lit(NULL_RANGE)).otherwise(F.col("bucket").cast("int"))
-    return cut.withColumn(name, number).drop("_at", "bucket")
-
-
 def _chunk_counts(placed: DataFrame, size: int) -> dict[int, int]:
-    # One row per range, so at most MAX_RANGES + 1 rows.
+    # One row per box, so at most MOST_BOXES + 1 rows.
     rows = placed.groupBy("range").agg(F.count("*").alias("n")).collect()
     return {r["range"]: max(1, -(-r["n"] // size)) for r in rows}
 
 
+class Trees:
+    """k-d trees by the features that are filled; a box is a leaf of one of them."""
+
+    def __init__(self, sample: np.ndarray, boxes: int):
+        self.nodes: list[tuple] = []  # (feature, border, left, right), or (box,)
+        self.roots: dict[bytes, int] = {}
+        self.boxes = 0
+        if not sample.size:
+            return
+        filled = ~np.isnan(sample)
+        patterns, of, sizes = np.unique(filled, axis=0, return_inverse=True, return_counts=True)
+        for p, pattern in enumerate(patterns):
+            share = max(1, boxes * int(sizes[p]) // max(1, len(sample)))
+            self.roots[pattern.tobytes()] = self._grow(sample[of.ravel() == p], np.flatnonzero(pattern), share)
+
+    def _grow(self, rows: np.ndarray, features: np.ndarray, boxes: int) -> int:
+        """A tree of at most ``boxes`` leaves, halved at the median of the feature that spreads most."""
+        at = len(self.nodes)
+        self.nodes.append(())
+        spread = np.ptp(rows[:, features], axis=0) if boxes > 1 and len(features) and len(rows) > 1 else np.zeros(1)
+        j = features[int(spread.argmax())] if spread.max() > 0 else -1
+        border = self._border(rows[:, j]) if j >= 0 else None
+        if border is None:
+            self.nodes[at] = (self.boxes,)
+            self.boxes += 1
+            return at
+        low = rows[:, j] <= border
+        left = self._grow(rows[low], features, boxes // 2)
+        self.nodes[at] = (j, border, left, self._grow(rows[~low], features, boxes - boxes // 2))
+        return at
+
+    @staticmethod
+    def _border(values: np.ndarray) -> float:
+        """A value near the median with rows on both sides."""
+        middle = float(np.partition(values, len(values) // 2)[len(values) // 2])
+        below = values[values < middle]
+        return middle if middle < values.max() and (values <= middle).sum() <= 0.75 * len(values) or not len(below) else float(below.max())
+
+    def place(self, rows: np.ndarray) -> np.ndarray:
+        """The box of each row."""
+        out = np.full(len(rows), OTHERS, np.int32)
+        if not self.roots:
+            return out
+        filled = ~np.isnan(rows)
+        patterns, of = np.unique(filled, axis=0, return_inverse=True)
+        for p, pattern in enumerate(patterns):
+            root = self.roots.get(pattern.tobytes())
+            open_ = [] if root is None else [(root, np.flatnonzero(of.ravel() == p))]
+            while open_:
+                node, mine = open_.pop()
+                if len(self.nodes[node]) == 1:
+                    out[mine] = self.nodes[node][0]
+                elif len(mine):
+                    j, border, left, right = self.nodes[node]
+                    low = rows[mine, j] <= border
+                    open_ += [(left, mine[low]), (right, mine[~low])]
+        return out
+
+
+def _box_bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray, metric: str) -> np.ndarray:
+    """No donor of a box is nearer to a query than this; boxes are NaN in features their donors lack."""
+    total = np.zeros((len(q), len(low)))
+    shared = np.zeros((len(q), len(low)))
+    for j in range(q.shape[1]):
+        x = q[:, j][:, None]
+        gap = np.maximum(np.maximum(low[:, j] - x, x - high[:, j]), 0.0)
+        both = ~np.isnan(gap)
+        gap = np.where(both, gap, 0.0)
+        shared += both
+        total += gap if metric == "manhattan" else gap * gap
+    if metric == "manhattan":
+        return total
+    if metric == "euclidean":
+        return np.sqrt(total)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(shared > 0, np.sqrt(total / shared), np.inf)
+
+
 def nearest(
-    queries: DataFrame, donors: DataFrame, width: int, k: int, metric: str = "shared"
+    queries: DataFrame, donors: DataFrame, width: int, k: int, metric: str = "shared", report: list[dict] | None = None
 ) -> DataFrame:
     """``(qid, distance, tie, y, place)``: the k nearest donors of each query, exactly.
 
     ``queries`` holds a unique string ``qid`` and ``f0..``; ``donors`` holds ``f0..``, a long
     ``tie`` that orders equal distances, and ``y``. Metric ``shared`` is the root mean square
     over the features both sides have; ``euclidean`` and ``manhattan`` expect complete rows.
+    ``report``, if given, gets the queries, donors and visited pairs of each round, which takes a
+    pass over the visits.
     """
     features = [f"f{j}" for j in range(width)]
     same = Window.partitionBy(*features).orderBy("tie")
+    doubles = [F.nanvl(F.col(f).cast("double"), F.lit(None)).alias(f) for f in features]
+    donors = donors.select(*doubles, "tie", F.col("y").cast("double").alias("y"))
     donors = donors.withColumn("_nth", F.row_number().over(same)).where(F.col("_nth") <= k).drop("_nth")
     donors = cut_lineage(donors)  # read by every step below
-    stats = measure(
-        donors,
-        {"n": F.count(F.lit(1))}
-        | {(f, "filled"): F.count(f) for f in features}
-        | {(f, "spread"): F.stddev_pop(f) for f in features},
-    )
-    route = max(features, key=lambda f: (stats[(f, "filled")], stats[(f, "spread")] or 0.0), default=None)
-    ranges = -(-stats["n"] // BLOCK_DONORS)
-    splits: list[float] = []
-    if route and ranges > 1:
-        shares = [i / ranges for i in range(1, ranges)]
-        splits = sorted(set(donors.approxQuantile(route, shares, 0.25 / ranges)))
-    x = F.col(route) if route else F.lit(None).cast("double")
-    donors = _with_range(donors, x, splits)
-    chunks = _chunk_counts(donors, BLOCK_DONORS)
+    total = donors.count()
+    wanted = min(MOST_BOXES, -(-total // BLOCK_DONORS))
+    share = min(1.0, SAMPLE_ROWS / max(1, total))
+    drawn = donors.where(F.xxhash64("tie", *features) <= min(2**63 - 1, int(share * 2**64) - 2**63)) if wanted > 1 else donors.limit(1)
+    rows = drawn.select(*features).collect() if features else []
+    sample = np.array([[np.nan if v is None else v for v in r] for r in rows], float).reshape(len(rows), width)
+    trees = Trees(sample, wanted)
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        columns = [batch.column(f).to_numpy(zero_copy_only=False) for f in features]
+        return np.stack(columns, axis=1).astype(float) if columns else np.zeros((batch.num_rows, 0))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            box = pa.array(trees.place(matrix(batch)), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, box], names=[*batch.schema.names, "range"])
+
+    columns = ", ".join(f"{f} double" for f in features) + (", " if features else "")
+    donors = cut_lineage(donors.mapInArrow(placed, columns + "tie long, y double, range int"))
+    edges = [F.min(f).alias(f"low_{f}") for f in features] + [F.max(f).alias(f"high_{f}") for f in features]
+    held = donors.groupBy("range").agg(F.count("*").alias("n"), *edges).orderBy("range").collect()  # at most MOST_BOXES + 1 rows
+    chunks = {r["range"]: max(1, -(-r["n"] // BLOCK_DONORS)) for r in held} or {0: 1}
+    numbers = np.array(list(chunks), np.int32)
+
+    def edge(row, name: str, open_: float) -> list[float]:
+        if row["range"] == OTHERS:
+            return [open_] * width
+        return [np.nan if row[f"{name}_{f}"] is None else row[f"{name}_{f}"] for f in features]
+
+    low = np.array([edge(r, "low", -np.inf) for r in held], float).reshape(len(held), width) if held else np.full((1, width), np.nan)
+    high = np.array([edge(r, "high", np.inf) for r in held], float).reshape(len(held), width) if held else np.full((1, width), np.nan)
     donors = _spread(donors, chunks, "tie", "chunk")
-    if not chunks:
-        chunks = {0: 1}
-    top_range = len(splits)
-
-    def run(visits: DataFrame) -> DataFrame:
-        """Search the blocks of ``(qid, f.., range, chunk)``, repeating donors per query chunk."""
-        qchunks = _chunk_counts(visits, BLOCK_QUERIES)
-        asked = _spread(visits, qchunks, "qid", "qchunk")
+
+    def visits(asked: DataFrame, begin: int, end: int | None) -> DataFrame:
+        """``(qid, f.., range)``: the boxes from the ``begin``-th nearest on that a query's ``bound`` reaches."""
+
+        def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    some = batch.slice(at, 512)
+                    nearest_ = _box_bounds(matrix(some), low, high, metric)
+                    if OTHERS in chunks:  # any distance is possible there
+                        nearest_[:, numbers == OTHERS] = 0.0
+                    order = np.lexsort((np.broadcast_to(numbers == OTHERS, nearest_.shape), nearest_), axis=1)[:, begin:end]
+                    bound = some.column("bound").to_numpy(zero_copy_only=False).astype(float)
+                    limit = np.where(np.isnan(bound), np.inf, bound)[:, None] * (1 + 1e-9)
+                    row, column = np.nonzero(np.take_along_axis(nearest_, order, axis=1) <= limit)
+                    boxes = pa.array(numbers[order[row, column]], pa.int32())
+                    kept = some.select(["qid", *features]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, boxes], names=["qid", *features, "range"])
+
+        return asked.select("qid", *features, "bound").mapInArrow(reached, "qid string, " + columns + "range int")
+
+    def run(visited: DataFrame) -> DataFrame:
+        """Search the blocks of visits, repeating donors per query chunk."""
+        visited = cut_lineage(visited.withColumn("chunk", F.explode(F.sequence(F.lit(0), _lookup(chunks) - 1))))
+        qchunks = _chunk_counts(visited, BLOCK_QUERIES)
+        if report is not None:
+            sizes = donors.groupBy("range", "chunk").agg(F.count("*").alias("n"))
+            seen = visited.join(sizes, ["range", "chunk"]).agg(F.sum("n").alias("n")).first()["n"] or 0
+            report.append({"queries": visited.select("qid").distinct().count(), "donors": total, "pairs": seen})
+        asked = _spread(visited, qchunks, "qid", "qchunk")
         copies = donors.withColumn("qchunk", F.explode(F.sequence(F.lit(0), _lookup(qchunks) - 1)))
         return _search_blocks(copies, asked, width, k, metric)
 
-    if len(chunks) == 1 and max(chunks.values()) == 1:  # one block of donors: nothing to bound
-        return _top(run(queries.withColumns({"range": F.lit(next(iter(chunks))), "chunk": F.lit(0)})), k)
-    home = _spread(_with_range(queries, x, splits), chunks, "qid", "chunk")
-    # Read twice below and costly to search again: written once, one number per query.
-    bounds = cut_lineage(
-        run(home)
-        .groupBy("qid")
-        .agg(F.max("distance").alias("bound"), F.count("*").alias("met"))
-        .where((F.col("met") >= k) & (F.col("bound") < math.inf))
-        .select("qid", "bound")
-    )
-    reach = F.col("bound") * (math.sqrt(width) if metric == "shared" else 1.0) * (1 + 1e-9)
-    spans = _with_range(queries.join(bounds, "qid", "left"), x - reach, splits, "_low")
-    spans = _with_range(spans, x + reach, splits, "_high")
-    # Donors without the routing value, if any, can be near to every query.
-    unplaced = F.array(F.lit(NULL_RANGE)) if NULL_RANGE in chunks else F.array().cast("array<int>")
-    unbounded = x.isNull() | F.col("bound").isNull()
-    reached = F.when(unbounded, F.sequence(F.lit(0), F.lit(top_range))).otherwise(F.sequence("_low", "_high"))
-    visited = F.concat(reached, unplaced)
-    visits = (
-        spans.withColumn("range", F.explode(visited))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), _lookup(chunks) - 1)))
-        .select("qid", *features, "range", "chunk")
-    )
-    return _top(run(visits), k)
+    def bounded(found: DataFrame) -> DataFrame:
+        least = _top(found, k).groupBy("qid").agg(F.max("distance").alias("bound"), F.count("*").alias("met"))
+        least = least.where((F.col("met") >= k) & (F.col("bound") < math.inf)).select("qid", "bound")
+        return queries.join(least, "qid", "left")
+
+    queries = queries.select("qid", *doubles)
+    first = run(visits(queries.withColumn("bound", F.lit(None).cast("double")), 0, 1))
+    if len(chunks) == 1:
+        return _top(first, k)
+    # Read twice below and costly to search again.
+    first = cut_lineage(first)
+    second = cut_lineage(run(visits(bounded(first), 1, 1 + NEXT_BOXES)))
+    some = first.unionByName(second)
+    return _top(some.unionByName(run(visits(bounded(some), 1 + NEXT_BOXES, None))), k)
 
 
 def _features(df: DataFrame, names: list[str]) -> dict[str, Column]:

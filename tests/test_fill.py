@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.operators import impute as I
+from tablewright.operators import knn
 from tablewright.operators import outliers as O
 from tablewright.operators.knn import knn_fill, knn_predict
 
@@ -143,3 +144,35 @@ def test_null_groups_and_keys_keep_their_rows(spark, small, request):
     assert expected["k"] == expected["text_key"]
     assert (0, 6, 0.0) in expected["k"]
     assert I.interpolate(rows, ["v"], "k", ["g"]).count() == 1000
+
+
+@pytest.mark.parametrize("metric", ["shared", "euclidean", "manhattan"])
+def test_neighbours_by_boxes_against_all_pairs(spark, small_blocks, metric):
+    """Many boxes, missing features, copies; few of all pairs are met."""
+    rng = np.random.default_rng(5)
+    donors = np.round(rng.normal(size=(6000, 3)) * [5, 1, 30], 2)
+    queries = np.round(rng.normal(size=(300, 3)) * [5, 1, 30], 2)
+    if metric == "shared":
+        donors[rng.random(donors.shape) < 0.02] = np.nan
+        queries[rng.random(queries.shape) < 0.02] = np.nan
+    donors[100:150] = donors[7]
+
+    def frame(rows, names):
+        return [[None if x != x else float(x) for x in r] for r in rows], ", ".join(f"{n} double" for n in names)
+
+    values, schema = frame(donors, ["f0", "f1", "f2"])
+    held = spark.createDataFrame([(*v, i, float(i)) for i, v in enumerate(values)], schema + ", tie long, y double")
+    values, schema = frame(queries, ["f0", "f1", "f2"])
+    asked = spark.createDataFrame([(str(i), *v) for i, v in enumerate(values)], "qid string, " + schema)
+    report = []
+    got = {}
+    for r in knn.nearest(asked, held, 3, 4, metric, report).collect():
+        got.setdefault(int(r["qid"]), {})[r["place"]] = (r["tie"], r["distance"])
+    gaps = knn._distances(queries, donors, metric)
+    for i in range(len(queries)):
+        want = sorted((gaps[i, j], j) for j in range(len(donors)))[:4]
+        assert [got[i][p][1] for p in range(1, 5)] == pytest.approx([w[0] for w in want])
+        if np.isfinite(want[-1][0]):
+            assert [got[i][p][0] for p in range(1, 5)] == [w[1] for w in want]
+    if metric != "shared":
+        assert sum(r["pairs"] for r in report) < 0.35 * len(queries) * report[0]["donors"]
