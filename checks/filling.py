@@ -91,7 +91,7 @@ def _(spark, folder):
 
 
 LINES = (
-    "SELECT l_orderkey * 8 + l_linenumber AS line, l_partkey, l_suppkey, CAST(l_quantity AS DOUBLE) AS l_quantity, "
+    "SELECT ((l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey) * 10000 + l_suppkey AS line, l_partkey, l_suppkey, CAST(l_quantity AS DOUBLE) AS l_quantity, "
     "CASE WHEN l_orderkey % 1000 <> 0 THEN CAST(l_extendedprice AS DOUBLE) END AS price FROM lineitem"
 )
 
