@@ -15,37 +15,64 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BUCKET_ROWS = 500_000
+SAMPLED, MOST_TEXT_BUCKETS = 32, 2048
 NULL_BUCKET = -1.0  # null keys sort first
 
 
-def position(df: DataFrame, key: Column) -> Column:
-    """A double that never falls when the key rises, of a key of any sortable kind; null for null.
+def is_text(df: DataFrame, key: Column) -> bool:
+    kind = df.select(key.alias("k")).schema["k"].dataType
+    return isinstance(kind, (T.StringType, T.BinaryType, T.CharType, T.VarcharType))
 
-    Of texts it is the first six bytes, so texts that begin alike share a position.
-    """
+
+def position(df: DataFrame, key: Column) -> Column:
+    """A double that never falls when the key, a number or a time, rises; null for null."""
     kind = df.select(key.alias("k")).schema["k"].dataType
-    if isinstance(kind, (T.StringType, T.BinaryType, T.CharType, T.VarcharType)):
-        start = F.rpad(F.hex(F.substring(key.cast("binary"), 1, 6)), 12, "0")
-        return F.conv(start, 16, 10).cast("double")
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(key.cast("timestamp")).cast("double")
     return key.cast("double")
 
 
-def range_splits(df: DataFrame, key: Column, rows: int) -> list[float]:
-    """Inner bucket borders for ``rows`` rows; empty when one bucket is enough."""
+def range_splits(df: DataFrame, key: Column, rows: int) -> list:
+    """Inner bucket borders for ``rows`` rows; empty when one bucket is enough.
+
+    Borders of texts are whole keys, drawn by hash from the distinct ones, ``SAMPLED`` for each
+    bucket and ``MOST_TEXT_BUCKETS`` buckets at most; a common beginning doesn't fold buckets.
+    """
     buckets = -(-rows // BUCKET_ROWS)
     if buckets <= 1:
         return []
+    if is_text(df, key):
+        buckets = min(buckets, MOST_TEXT_BUCKETS)
+        share = min(1.0, SAMPLED * buckets / rows)
+        keys = df.select(key.cast("binary").alias("key")).where(F.xxhash64("key") <= min(2**63 - 1, int(share * 2**64) - 2**63))
+        sample = sorted(bytes(r["key"]) for r in keys.where("key is not null").distinct().collect())
+        return sorted({sample[i * len(sample) // buckets] for i in range(1, buckets)}) if sample else []
     shares = [i / buckets for i in range(1, buckets)]
     keyed = df.select(position(df, key).alias("key"))
     return sorted(set(keyed.approxQuantile("key", shares, 0.25 / buckets)))
 
 
-def with_bucket(df: DataFrame, key: Column, splits: list[float]) -> DataFrame:
+def _borders_reached(key: Column, borders: list[bytes]) -> Column:
+    """How many of the rising borders a key has reached, by binary search."""
+    listed = F.array(*[F.unhex(F.lit(b.hex())) for b in borders])
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        reached = (s["low"] < s["high"]) & (F.get(listed, middle) <= key)
+        low = F.when(reached, middle + 1).otherwise(s["low"])
+        return F.struct(low.alias("low"), F.when(reached, s["high"]).otherwise(F.least(middle, s["high"])).alias("high"))
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(borders)).alias("high"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(borders).bit_length())), start, halve)["low"]
+
+
+def with_bucket(df: DataFrame, key: Column, splits: list) -> DataFrame:
     """Add ``bucket``, increasing with the key; null keys have the first bucket of all, NaN the last."""
     if not splits:
         return df.withColumn("bucket", F.lit(0.0))
+    if isinstance(splits[0], bytes):
+        reached = _borders_reached(key.cast("binary"), splits).cast("double")
+        return df.withColumn("bucket", F.when(key.isNull(), NULL_BUCKET).otherwise(reached))
     cut = Bucketizer(
         splits=[-float("inf"), *splits, float("inf")],
         inputCol="_key",
@@ -66,7 +93,7 @@ def join_same(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
 
 
 def running_totals(
-    df: DataFrame, groups: list[str], key: str, weight: str, splits: list[float]
+    df: DataFrame, groups: list[str], key: str, weight: str, splits: list
 ) -> DataFrame:
     """Add ``before``: the weight of all rows of the group with a smaller key; null is the smallest.
 

@@ -179,3 +179,23 @@ def test_queries_without_a_library_of_the_subpackage():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=300)
     assert done.stdout.strip().endswith("fine"), done.stderr[-2000:]
+
+
+def test_text_keys_of_one_beginning_are_cut_evenly(spark, monkeypatch):
+    """40,000 keys that share their first bytes give ranges of like size, in the order of the keys."""
+    from tablewright.operators import select
+    from tablewright.plans import ranks
+
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 2000)
+    monkeypatch.setattr(select, "SHALLOW_ROWS", 10)
+    rows = spark.range(0, 40_000, 1, 4).select(F.concat(F.lit("http://example.org/"), F.sha1(F.col("id").cast("string").cast("binary"))).alias("k"))
+    rows = rows.unionByName(spark.createDataFrame([(None,), ("",), ("é",)], "k string"))
+    splits = ranks.range_splits(rows, F.col("k"), 40_003)
+    cut = ranks.with_bucket(rows, F.col("k"), splits)
+    sizes = {r["bucket"]: r["count"] for r in cut.groupBy("bucket").count().collect()}
+    assert len(sizes) >= 20 and max(sizes.values()) < 3 * 2000 and sizes[ranks.NULL_BUCKET] == 1
+    edges = cut.groupBy("bucket").agg(F.min("k").alias("low"), F.max("k").alias("high")).orderBy("bucket").collect()
+    assert all(a["high"] is None or a["high"] < b["low"] for a, b in zip(edges, edges[1:]))
+    wanted = [r["k"] for r in rows.orderBy("k").collect()]
+    got = [r["k"] for r in select.row_range(rows, 15_000, 25_000, "k").orderBy("k").collect()]
+    assert got == wanted[15_000:25_000]
