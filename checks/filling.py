@@ -74,6 +74,18 @@ def _(spark, folder):
     return rounded(I.interpolate(gaps(spark, folder).select("o_orderkey", "total"), ["total"], "o_orderkey"), 4)
 
 
+@query(
+    "file_order_fill",
+    "WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END AS total FROM orders) "
+    "SELECT o_orderkey, coalesce(total, last_value(total IGNORE NULLS) OVER (ORDER BY o_orderkey), first_value(total IGNORE NULLS) "
+    "OVER (ORDER BY o_orderkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS total FROM o",
+)
+def _(spark, folder):
+    """Without an order key; the file holds the orders by their key."""
+    o = table(spark, folder, "orders").selectExpr("o_orderkey", "CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END AS total")
+    return I.forward_backward_fill(o, ["total"])
+
+
 SUPPLIERS = "SELECT s_suppkey, s_nationkey, CASE WHEN s_suppkey % 7 = 0 THEN NULL ELSE s_acctbal END AS s_acctbal FROM supplier"
 
 

@@ -11,8 +11,10 @@ from tablewright.operators.profile import value_counts
 from tablewright.plans.aggregates import col, columns_of, kinds, measure
 from tablewright.plans.orderstats import interpolated_quantiles, numeric
 from tablewright.plans.ranks import join_same, range_splits, with_bucket
+from tablewright.sources.order import has_file_order, with_row_number
 
 MISSING, UNKNOWN = "Missing", "Unknown"  # fixed values: fill texts
+FILE_ORDER = "_row_in_files"
 
 
 def medians(df: DataFrame, names: list[str]) -> dict[str, float]:
@@ -144,10 +146,19 @@ def _with_neighbours(df: DataFrame, names: list[str], order_by: str, partition_b
     return merged.drop("bucket", *[c for c in joined.columns if c.startswith("_carry_")])
 
 
+def _in_file_order(fill, df: DataFrame, names: list[str], partition_by: list[str] | None) -> DataFrame:
+    return fill(with_row_number(df, FILE_ORDER), names, FILE_ORDER, partition_by).drop(FILE_ORDER)
+
+
 def forward_backward_fill(
-    df: DataFrame, names: list[str], order_by: str, partition_by: list[str] | None = None
+    df: DataFrame, names: list[str], order_by: str | None = None, partition_by: list[str] | None = None
 ) -> DataFrame:
-    """The previous filled value in key order, else the next one. The key must be unique."""
+    """The previous filled value in key order, else the next one. The key must be unique.
+
+    Without a key, rows are in the order of their files, which only rows straight from files have.
+    """
+    if order_by is None:
+        return _in_file_order(forward_backward_fill, df, names, partition_by)
     near = _with_neighbours(df, names, order_by, partition_by or [])
     out = near.withColumns(
         {n: F.coalesce(col(n), F.col(f"_prev_{i}")["value"], F.col(f"_next_{i}")["value"]) for i, n in enumerate(names)}
@@ -155,11 +166,15 @@ def forward_backward_fill(
     return out.select(*map(col, df.columns))
 
 
-def interpolate(df: DataFrame, names: list[str], order_by: str, partition_by: list[str] | None = None) -> DataFrame:
+def interpolate(df: DataFrame, names: list[str], order_by: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """Linear in the order key between the neighbours; ends take the nearest value.
 
+    Without a key, the row's number in its files is one.
+
     Numeric columns become double; timestamps stay timestamps.
     """
+    if order_by is None:
+        return _in_file_order(interpolate, df, names, partition_by)
     near = _with_neighbours(df, names, order_by, partition_by or [])
     kind, types = kinds(df), dict(df.dtypes)
     changes = {}
@@ -199,9 +214,12 @@ def impute(
     """Fill each column by its strategy, judged by the stored kind of the column.
 
     All constants come from at most one job per statistic and are applied in one projection;
-    neighbour and order-dependent fills follow.
+    neighbour and order-dependent fills follow. Without an order key, times in rows straight from
+    files are filled in the order of the files.
     """
-    kind = kinds(df)
+    kind, columns = kinds(df), df.columns
+    if order_by is None and any(k == "datetime" for k in kind.values()) and has_file_order(df):
+        df, order_by = with_row_number(df, FILE_ORDER), FILE_ORDER
     inferred = inferred or {}
     plan: dict[str, list[str]] = {}
     for n, wanted in strategies.items():
@@ -227,7 +245,8 @@ def impute(
     if plan.get("knn_imputation"):  # first, so that distances use observed values only
         rows = df.count()
         for n in plan["knn_imputation"]:
-            out = knn_fill(out, n, k or neighbours_for(rows), key)
+            others = [c for c in columns if c != n and kind[c] == "numeric"]
+            out = knn_fill(out, n, k or neighbours_for(rows), key, others)
     for act, fill in simple:
         if plan.get(act):
             out = fill(out, plan[act])
@@ -240,7 +259,7 @@ def impute(
             return Action("value_kept_missing", n, f"Left '{n}' missing: its fill needs an order key")
         return Action("value_imputed", n, f"Filled '{n}' by {act}")
 
-    return out, [entry(act, n) for act, names in plan.items() for n in names]
+    return out.select(*map(col, columns)), [entry(act, n) for act, names in plan.items() for n in names]
 
 
 def scoring_fill(df: DataFrame, names: list[str], stored: dict[str, float] | None = None) -> DataFrame:

@@ -176,3 +176,32 @@ def test_neighbours_by_boxes_against_all_pairs(spark, small_blocks, metric):
             assert [got[i][p][0] for p in range(1, 5)] == [w[1] for w in want]
     if metric != "shared":
         assert sum(r["pairs"] for r in report) < 0.35 * len(queries) * report[0]["donors"]
+
+
+@pytest.mark.parametrize("split", ["1k", "7k", "128m"])
+def test_fills_in_file_order(spark, tmp_path, split):
+    """The same rows, whatever the splits; keys that fall show that they aren't used."""
+    import datetime
+
+    base = datetime.datetime(2020, 1, 1)
+    rows = [(5000 - i, float(i) if i % 7 == 3 else None, base + datetime.timedelta(hours=i) if i % 5 == 2 else None) for i in range(3000)]
+    body = "k,v,t\n" + "".join(f"{k},{'' if v is None else v},{'' if t is None else t.isoformat()}\n" for k, v, t in rows)
+    (tmp_path / "a.csv").write_text(body)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        df = spark.read.csv(str(tmp_path), header=True, schema="k int, v double, t timestamp")
+        filled = {r["k"]: r["v"] for r in I.forward_backward_fill(df, ["v"]).collect()}
+        between = {r["k"]: r["v"] for r in I.interpolate(df, ["v"]).collect()}
+        out, log = I.impute(df, {"t": "automatic"})
+        times = {r["k"]: r["t"] for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    last, when = 3.0, base + datetime.timedelta(hours=2)
+    for i, (k, v, t) in enumerate(rows):
+        last, when = last if v is None else v, when if t is None else t
+        assert filled[k] == last and times[k] == when
+        assert between[k] == min(max(i, 3), 2999 - (2999 - 3) % 7)
+    assert log[0].kind == "value_imputed" if hasattr(log[0], "kind") else log
+    with pytest.raises(ValueError, match="order key"):
+        I.forward_backward_fill(spark.createDataFrame([(1.0,)], "v double"), ["v"])

@@ -243,3 +243,29 @@ def test_tree_attributions_against_all_subsets(spark, kind):
             assert max(r["probability"]) == pytest.approx(score)
         else:
             assert r["rawPrediction"][1] == pytest.approx(score)
+
+
+def test_a_category_of_many_levels_is_hashed(spark, monkeypatch):
+    from tablewright.learning import encode
+
+    monkeypatch.setattr(encode, "MAX_LEVELS", 50)
+    monkeypatch.setattr(encode, "HASHED", 64)
+    rows = spark.range(0, 2000, 1, 2).select((F.col("id") % 400).cast("string").alias("many"), (F.col("id") % 3).cast("string").alias("few"), (F.col("id") * 1.0).alias("x"))
+    encoder = fit_encoder(rows)
+    assert encoder.names[:4] == ["x", "few_0", "few_1", "few_2"] and len(encoder.names) == 4 + 64
+    found = encoder.transform(rows.limit(50).unionByName(spark.createDataFrame([(None, "0", 0.0), ("new", None, 0.0)], rows.schema))).collect()
+    assert all(r["features"].size == 68 for r in found)
+    assert [sum(r["features"].toArray()[4:]) for r in found] == [1.0] * 50 + [0.0, 1.0]
+    exact = fit_encoder(rows.where("many < 3").withColumn("many", F.col("few")))
+    assert len(exact.names) == 1 + 6
+
+
+def test_split_of_thousands_of_classes(spark):
+    from tablewright.learning.encode import split_rows
+
+    rows = spark.range(0, 30_000, 1, 4).select("id", (F.col("id") % 5000).cast("string").alias("c"))
+    rows = rows.unionByName(spark.createDataFrame([(-1, None)], rows.schema))
+    train, test = split_rows(rows, "c", 0.2, key=["id"])
+    sizes = {r["c"]: r["count"] for r in test.groupBy("c").count().collect()}
+    assert len(sizes) == 5000 and set(sizes.values()) == {1}
+    assert train.count() == 25_001 and train.columns == ["id", "c"] and train.join(test, "id").count() == 0
