@@ -118,6 +118,8 @@ def draw_parameters(name: str, trials: int, seed: int) -> list[dict]:
                 drawn[p] = rng.choice(s)
             elif len(s) == 2:
                 drawn[p] = rng.randint(*s)
+                if p == "max_depth":
+                    drawn[p] = min(MAX_TREE_DEPTH, drawn[p])
             elif s[2] == "log":
                 drawn[p] = math.exp(rng.uniform(math.log(s[0]), math.log(s[1])))
             else:

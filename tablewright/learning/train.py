@@ -26,7 +26,7 @@ from tablewright.learning.encode import (
 from tablewright.learning.models import CLASSIFICATION, DEFAULTS, REGRESSION, Facts, build, choose_algorithms, draw_parameters
 from tablewright.operators.knn import knn_predict
 from tablewright.operators.select import exclude_columns
-from tablewright.plans.aggregates import col
+from tablewright.plans.aggregates import col, kinds
 from tablewright.session import cut_lineage
 from tablewright.sources.tables import coerce_numeric
 
@@ -275,7 +275,9 @@ def predict(
     check counts values).
     """
     if checked:
-        check_features(df, encoder.numeric, encoder.categorical)
+        check_features(df, [], encoder.numeric + encoder.categorical)
+        kind = kinds(df)
+        df = coerce_numeric(df, [n for n in encoder.numeric if kind[n] != "numeric"])
     helpers = [c for c in ("prediction", "probability", "rawPrediction", "features") if c in df.columns]
     scored = model.transform(slim(encoder.transform(df.drop(*helpers)), df.columns))
     keep = [col(c) for c in df.columns if c not in helpers]

@@ -17,6 +17,7 @@ from tablewright.functions import distributions as D
 from tablewright.plans.aggregates import col
 from tablewright.plans.orderstats import numeric
 from tablewright.plans.ranks import group_quantiles, range_splits, rank_values
+from tablewright.session import cut_lineage
 
 # ---------------------------------------------------------------- categorical pairs
 
@@ -241,9 +242,9 @@ def group_tests(df: DataFrame, numbers: list[str], categories: list[str]) -> Dat
     values = grouped_values(df, pairs)
     rows = df.count() * len(pairs)
     # Both are read by several statistics below and are far smaller than the rows.
-    moments = group_moments(values).persist()
+    moments = cut_lineage(group_moments(values))
     splits = range_splits(values, F.col("v"), rows)
-    sums = rank_sums(values, moments, rows, splits).persist()
+    sums = cut_lineage(rank_sums(values, moments, rows, splits))
     out = []
 
     def add(pair: int, test: str, statistic, df1, df2, p, effect=None) -> None:
@@ -265,6 +266,4 @@ def group_tests(df: DataFrame, numbers: list[str], categories: list[str]) -> Dat
             add(r["pair"], "kruskal_wallis", r["h"], r["df"], None, D.chi_square_sf(r["h"], r["df"]))
     for r in brown_forsythe_stats(values, moments, rows, splits).collect():
         add(r["pair"], "brown_forsythe", r["f"], r["df1"], r["df2"], D.f_sf(r["f"], r["df1"], r["df2"]))
-    sums.unpersist()
-    moments.unpersist()
     return df.sparkSession.createDataFrame(out, TESTS_SCHEMA)

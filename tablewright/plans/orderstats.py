@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions import text as X
 from tablewright.plans.aggregates import col, measure
 
 DIRECT_ROWS = 50_000
@@ -21,12 +22,15 @@ SKETCH_ACCURACY = 10_000
 
 
 def _number(c: Column) -> Column:
+    kind = F.typeof(c)  # known when the query is planned, so one branch is left
+    text = X.float_or_null(X.trimmed(c.cast("string")))
     value = c.try_cast("double")
-    return F.when(~F.isnan(value), value)
+    real = F.when(kind.isin("float", "double"), F.when(~F.isnan(value), value)).otherwise(value)
+    return F.when(kind == "string", text).otherwise(real)
 
 
 def numeric(name: str) -> Column:
-    """A column as double; NaN, and text that is no number, read as missing."""
+    """A column as double; NaN, and text that is no plain number, read as missing."""
     return _number(col(name))
 
 

@@ -152,3 +152,27 @@ def test_chart_kinds_are_fixed(spark):
 def test_k2_matches_definition():
     assert normality.jarque_bera(600, 0.0, 1.0) == (25.0, math.exp(-12.5))
     assert normality.dagostino_k2(7, 0.1, 0.1) is None
+
+
+def test_rank_correlations_with_and_without_gaps(spark, small_blocks):
+    """Columns ranked once and pairs with their own ranks, against ranks by hand."""
+    from tablewright.operators import correlate
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 40, (900, 4)).astype(float)
+    x[:, 1] = np.round(x[:, 0] / 3 + rng.normal(size=900))
+    holes = rng.random((900, 4)) < [0, 0, 0, 0.2]
+    rows = [[None if h else float(v) for v, h in zip(r, hole)] for r, hole in zip(x, holes)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(3)
+    got = correlate.spearman_pairs(df, ["a", "b", "c", "d"])
+
+    def ranks(v):
+        order = np.sort(v)
+        return (np.searchsorted(order, v) + np.searchsorted(order, v, side="right") + 1) / 2
+
+    for i in range(4):
+        for j in range(i + 1, 4):
+            both = ~(holes[:, i] | holes[:, j])
+            want = np.corrcoef(ranks(x[both, i]), ranks(x[both, j]))[0, 1]
+            value, n = got["abcd"[i], "abcd"[j]]
+            assert n == both.sum() and value == pytest.approx(want, abs=1e-12)
