@@ -1,17 +1,19 @@
 """The pipeline against plain loops over the smallest documents, and the queries' contracts."""
 
 import hashlib
+import random
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
 from conftest import SMALL
-from test_llm_operators import fingerprint, groups, windows_by_hand
+from test_llm_operators import windows_by_hand
+from test_llm_whole import five_words, gone_lines
 
 import corpus_pipeline
-from tablewright.llm import line_align, queries, repetition
+from tablewright.llm import queries, repetition
 
 
 @pytest.fixture(scope="module")
@@ -32,63 +34,80 @@ def good(text):
 
 
 def without_shared_lines(docs):
-    """Documents in order; the earliest holder of each line is found by looking at all of them."""
-    first, out = {}, {}
-    for key in sorted(docs):
-        lines, counts = docs[key].split("\n"), Counter()
-        worded = [(i, x.rstrip()) for i, x in enumerate(lines) if x.split()]
-        times = Counter(x for _, x in worded)
-        pairs = defaultdict(list)
-        for n, (_, x) in enumerate(worded):
-            holder = first.get((x, counts[x]))
-            if holder:
-                rare = times[x] == holder[2] == 1 or len(x.split()) >= line_align.MIN_WORDS
-                pairs[holder[0]].append((n, holder[1], rare))
-            else:
-                first[x, counts[x]] = (key, n, times[x])
-            counts[x] += 1
-        gone = set()
-        for shared in pairs.values():
-            anchors = [(n, m) for n, m, rare in shared if rare]
-            best = []  # the longest rising chain that ends at each anchor, the latest of equal ones
-            for i, (_, m) in enumerate(anchors):
-                before = max(((len(best[j]), j) for j in range(i) if anchors[j][1] < m), default=None)
-                best.append([*(best[before[1]] if before else []), anchors[i]])
-            found = set(best[max((len(c), i) for i, c in enumerate(best))[1]] if best else [])
-            rest = {(n, m) for n, m, _ in shared} - found
-            while near := {x for x in rest if (x[0] - 1, x[1] - 1) in found or (x[0] + 1, x[1] + 1) in found}:
-                found, rest = found | near, rest - near
-            gone |= {n for n, _ in found}
-        run, drop = [], set()
-        for n in range(len(worded) + 1):
-            if n in gone:
-                run.append(n)
-            else:
-                if sum(len(worded[x][1].split()) for x in run) >= line_align.MIN_WORDS:
-                    drop |= {worded[x][0] for x in run}
-                run = []
-        text = "\n".join(x for i, x in enumerate(lines) if i not in drop)
-        if text.split() or not drop:
+    """Documents in order, each aligned with all earlier ones; those left without a word go."""
+    keys = sorted(docs)
+    out = {}
+    for key, (_, gone) in zip(keys, gone_lines([docs[k] for k in keys]), strict=True):
+        lines, left, n = docs[key].split("\n"), [], 0
+        for x in lines:
+            if not x.split() or n not in gone:
+                left.append(x)
+            n += bool(x.split())
+        text = "\n".join(left)
+        if text.split() or not gone:
             out[key] = text
     return out
 
 
-def test_pipeline_against_loops(spark, raw):
+def without_near_copies(docs):
+    """The smallest key of each group that five-word Jaccard similarities of 0.8 or more connect."""
+    keys = sorted(docs)
+    sets, least = [five_words(docs[k]) for k in keys], list(range(len(keys)))
+    near = [
+        (i, j) for i in least for j in range(i)
+        if 5 * min(len(sets[i]), len(sets[j])) >= 4 * max(len(sets[i]), len(sets[j])) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+    ]
+    while True:
+        before = list(least)
+        for i, j in near:
+            least[i] = least[j] = min(least[i], least[j])
+        if before == least:
+            return {k: docs[k] for i, k in enumerate(keys) if least[i] == i}, len(near)
+
+
+def planted():
+    """Texts that tell rules apart: lines shared with later holders only, short lines of several documents, near copies."""
+    rng = random.Random(12)
+    words = [f"{a}{b}" for a in "bcdfghklm" for b in ("alo", "emi", "irun", "ost", "uve")]
+
+    def line(n):
+        return " ".join(rng.choice(words) + str(rng.randrange(50)) for _ in range(n))
+
+    out = []
+    for _ in range(5):
+        lines = [line(6) for _ in range(12)]
+        out += ["\n".join([*lines[::-1], line(12)]), "\n".join([*lines, line(12)]), "\n".join([line(9), *lines])]
+    short = [line(2) for _ in range(6)]
+    out += ["\n".join([s, line(15)]) for s in short] + ["\n".join([*short, line(15)]), "\n".join([*short[::2], line(15)])]
+    for _ in range(6):
+        body = line(70).split()
+        for _ in range(5):
+            out.append(" ".join(body))
+            body[rng.randrange(len(body))] = line(1)
+    return out
+
+
+def test_pipeline_against_loops(spark, raw, tmp_path):
     from tokenizers import Tokenizer
 
-    docs = {k: t for k, t in raw.items() if good(t)}
-    docs = without_shared_lines(docs)
-    keys = sorted(docs)
-    named = groups(keys, [fingerprint(docs[k]) for k in keys])
-    docs = {k: docs[k] for k, g in zip(keys, named, strict=True) if k == g}
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    more = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(planted())], "doc_id long, text string")
+    docs.unionByName(more, allowMissingColumns=True).write.parquet(str(tmp_path / "documents.parquet"))
+    whole = raw | {10_000 + i: t for i, t in enumerate(planted())}
+    kept = {k: t for k, t in whole.items() if good(t)}
+    assert sum(k >= 10_000 for k in kept) == len(planted())
+    shorter = without_shared_lines(kept)
+    assert sum(shorter.get(k) != t for k, t in kept.items()) > 10
+    left, pairs = without_near_copies(shorter)
+    assert pairs > 20 and len(left) < len(shorter) - 15
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     expected = Counter()
-    for k, text in docs.items():
+    for k, text in left.items():
         ids, at = [*library.encode(text, add_special_tokens=False).ids, 1], 0
         for n in [2048] * (len(ids) // 2048) + [1 << b for b in range(10, -1, -1) if len(ids) % 2048 >> b & 1]:
             expected[k, at, n, zlib.crc32(np.array(ids[at : at + n], "<u4").tobytes())] += 1
             at += n
-    found = corpus_pipeline.run(spark, SMALL).collect()
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in found) == expected
     assert sorted(r.sequence_id for r in found) == list(range(len(found)))
 
@@ -108,7 +127,7 @@ def test_stages_on_odd_rows(spark):
     assert corpus_pipeline.near_dedup(spark, docs, SMALL).count() == 2
 
 
-@pytest.mark.parametrize("number", range(1, 11))
+@pytest.mark.parametrize("number", range(1, 14))
 def test_queries_return_their_contract(spark, raw, number):
     names = [n for n in queries.QUERIES if n.startswith(f"op{number}_")]
     out = queries.QUERIES[names[0]](spark, SMALL)
@@ -119,10 +138,13 @@ def test_queries_return_their_contract(spark, raw, number):
         8: "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
         9: "doc_id start length ids_crc32 doc_tokens sequence_id offset",
         10: "doc_id held_out n_tokens n_known train_tokens base_score score",
+        11: "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+        12: "query_id rank vec_id score",
+        13: "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256",
     }[number].split()
     assert set(columns) <= set(out.columns)
     rows = out.collect()
-    if number in (1, 2, 3, 4, 5, 6, 7, 10):
+    if number in (1, 2, 3, 4, 5, 6, 7, 10, 11):
         assert sorted(r.doc_id for r in rows) == sorted(raw)
     if number == 2:
         order = sorted(raw, reverse=True)
@@ -144,7 +166,7 @@ def test_sql_of_the_queries(spark):
     from compare import canonical
 
     db = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     for name, sql in queries.SQL.items():
         df = queries.QUERIES[name](spark, SMALL)

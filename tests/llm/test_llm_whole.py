@@ -42,8 +42,8 @@ def test_near_dedup_against_all_pairs(spark, crowd, monkeypatch):
     assert Counter(r.doc_id for r in found.collect()) == Counter(set(least))
 
 
-def deleted_by_all(texts):
-    """Words left of each document, aligned with every earlier one."""
+def gone_lines(texts):
+    """Of each document its lines with words, and the places among them that alignment with every earlier one deletes."""
     known, out = [], []
     for text in texts:
         found = [(x.rstrip(), len(x.split())) for x in text.split("\n") if x.split()]
@@ -53,25 +53,29 @@ def deleted_by_all(texts):
             seen[x] += 1
         gone = set()
         for other in known:
-            place = {x[:2]: m for m, x in enumerate(other)}
-            shared = [(n, place[x[:2]], (x[2] and other[place[x[:2]]][2]) or x[3] >= 8) for n, x in enumerate(lines) if x[:2] in place]
+            shared = [(n, other[x[:2]][0], (x[2] and other[x[:2]][1]) or x[3] >= 8) for n, x in enumerate(lines) if x[:2] in other]
             anchors = [(n, m) for n, m, rare in shared if rare]
             ends = line_align.longest_rising([m for _, m in anchors])
             kept, rest = {anchors[i] for i in ends}, {(n, m) for n, m, _ in shared}
             while near := {x for x in rest - kept if (x[0] - 1, x[1] - 1) in kept or (x[0] + 1, x[1] + 1) in kept}:
                 kept |= near
-            run = []
+            run, aligned = [], {b for b, _ in kept}
             for n in range(len(lines) + 1):
-                if n in {b for b, _ in kept}:
+                if n in aligned:
                     run.append(n)
                 else:
                     gone |= set(run) if sum(lines[x][3] for x in run) >= 8 else set()
                     run = []
-        known.append(lines)
-        out.append([x[0] for n, x in enumerate(lines) if n not in gone])
+        known.append({x[:2]: (m, x[2]) for m, x in enumerate(lines)})
+        out.append((lines, gone))
     return out
 
 
+def deleted_by_all(texts):
+    """Words left of each document, aligned with every earlier one."""
+    return [[x[0] for n, x in enumerate(lines) if n not in gone] for lines, gone in gone_lines(texts)]
+
+
 def left_of(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     rows = sorted(line_align.dedupe_lines(df).collect(), key=lambda r: r.doc_id)
