@@ -6,49 +6,45 @@ P(w | h) = (c(hw) + prior * P(w | g)) / (c(h) + prior). As an automaton: every h
 occurs is a state, every n-gram an arc with this weight, and a state without the arc fails to its
 shorter history with the weight prior / (c(h) + prior). At the bottom, a known word has its
 share of the tokens and all unknown words together the Good-Turing share of tokens seen once.
-
-The automaton is as large as the corpus, so no machine holds it whole. Texts are dealt to blocks.
-A block sends the hashes of its distinct n-grams with its training counts to ranges of the hash
-space, one sorted list per range; each range adds up and sends every block the totals, in the
-block's own order and so without the hashes. A block then has all states and arcs that its own
-texts can visit. Hashes have 64 bits: of 37 corpora with 10^9 distinct n-grams each, one holds a
-false match.
+A text is scored by one walk from left to right that carries the state.
+
+The automaton is as large as the corpus, so no machine holds it whole. Each task of the scan cuts
+its rows into blocks of text, which are stored once as numbered words. A block sends the hashes
+of its distinct n-grams with its training counts to ranges of the hash space, one sorted list per
+range; each range adds up and sends every block the totals, in the block's own order and so
+without the hashes. A block then builds all states and arcs that its own texts can visit. Hashes
+have 64 bits: of 37 corpora with 10^9 distinct n-grams each, one holds a false match.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.llm.store import written
 
-ORDER, PRIOR = 2, 50.0
+ORDER, PRIOR = 3, 50.0
 BLOCK_BYTES = 8 << 20  # of text
 RANGE_TOKENS = 1 << 20
 END, START = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
+class WordNumbers(dict):
+    """Words numbered as they come."""
 
-def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens and the number of tokens of each text; A-Z are lowered."""
-    known, words, counts = WordHashes(), [], []
-    end = int(END)
-    for text in texts:
-        found = (text or "").encode().lower().split()
-        words += map(known.__getitem__, found)
-        words.append(end)
-        counts.append(len(found) + 1)
-    return np.array(words, np.uint64), np.array(counts, np.int64)
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
 
 
 def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -76,50 +72,130 @@ def grams(words: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.nd
 
 
 def planes(values: np.ndarray) -> bytes:
-    """Unsigned numbers byte plane by byte plane: small ones leave planes of zeros that compress away."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Unsigned numbers, compressed byte plane by byte plane: small ones leave planes of zeros."""
+    return zstandard.compress(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
-def block_keys(texts: list[str | None], order: int) -> tuple[np.ndarray, np.ndarray, list, np.ndarray]:
-    """Sorted distinct n-grams of a block, their number at each n-gram in the texts, the n-grams, the token counts."""
-    words, counts = tokens(texts)
-    found = grams(words, counts, order)
-    keys, at = np.unique(np.concatenate([k[inside] for k, inside in found]), return_inverse=True)
-    return keys, at, found, counts
+def block_row(texts: list[str | None]) -> dict[str, bytes]:
+    """A block's words as hashes, its tokens as numbers of these, its texts as lengths; A-Z are lowered."""
+    known, words, counts = WordNumbers(), [], []
+    end = known[b" "]  # no word holds a space
+    for text in texts:
+        found = (text or "").encode().lower().split()
+        words += map(known.__getitem__, found)
+        words.append(end)
+        counts.append(len(found) + 1)
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in known], np.uint64)
+    hashes[end] = END
+    return {"types": planes(hashes), "words": planes(np.array(words, np.uint64)), "lengths": planes(np.array(counts, np.uint64))}
 
 
-def log_scores(found: list, at: np.ndarray, totals: np.ndarray, counts: np.ndarray, stats: tuple[int, int, int, int], prior: float) -> tuple:
-    """Base and model log10 scores and known tokens of each text.
+@dataclass
+class Grams:
+    """Sorted distinct n-grams of a block, the place among them of the n-gram of each length at
+    each token (-1: it would reach out of the text), and the token counts of the texts."""
 
-    All texts advance through the automaton together: the state after a token is the longest
-    history with a count, which the n-grams that end there tell.
-    """
-    n_tokens, n_types, n_once, n_texts = stats
-    first = np.cumsum(counts) - counts
-    begins, total, levels = 0, len(at), []
+    keys: np.ndarray
+    at: list[np.ndarray]
+    counts: np.ndarray
+
+
+def block_grams(row: dict[str, bytes], order: int) -> Grams:
+    words = from_planes(row["types"])[from_planes(row["words"])]
+    counts = from_planes(row["lengths"]).astype(np.int64)
+    found = grams(words, counts, order)
+    keys, places = np.unique(np.concatenate([k[inside] for k, inside in found]), return_inverse=True)
+    at, begin = [], 0
     for _, inside in found:
-        level = np.zeros(len(inside), np.float64)
-        size = int(inside.sum())
-        level[inside] = totals[at[begins : begins + size]]
-        begins += size
-        levels.append((level, inside))
-    assert begins == total
-    single = levels[0][0]
-    base = np.log10((single + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
+        level = np.full(len(words), -1, np.int64)
+        n = int(inside.sum())
+        level[inside] = places[begin : begin + n]
+        at.append(level)
+        begin += n
+    return Grams(keys, at, counts)
+
+
+@dataclass
+class Automaton:
+    """States and arcs by number; ``arcs`` maps state * size + word to the arc's weight and target
+    state, ``fails`` a state to the weight and target of its failure arc. Weights are log10;
+    states are kept multiplied by ``size``. The root has no failure arc: what it doesn't know
+    is unknown and leads back to it."""
+
+    arcs: dict[int, tuple[float, int]]
+    fails: dict[int, tuple[float, int]]
+    start: int
+    root: int
+    unknown: float
+
+    def walk(self, words: list[int]) -> float:
+        """The log10 probability of a text: one pass from left to right that carries the state."""
+        arcs, fails, root, state, score = self.arcs, self.fails, self.root, self.start, 0.0
+        for word in words:
+            arc = arcs.get(state + word)
+            while arc is None:
+                if state == root:
+                    arc = self.unknown, root
+                else:
+                    weight, state = fails[state]
+                    score += weight
+                    arc = arcs.get(state + word)
+            weight, state = arc
+            score += weight
+        return score
+
+
+def automaton(block: Grams, totals: np.ndarray, stats: tuple[int, int, int, int], prior: float) -> Automaton:
+    """The part of the corpus's automaton that the texts of a block can visit.
+
+    An n-gram's place in ``block.keys`` names its arc and, if it is shorter than the order, the
+    state that it leads to; two more numbers stand for the root and the start of a text.
+    """
+    n_tokens, _, n_once, n_texts = stats
+    order, n = len(block.at), len(block.keys)
+    root, begin, size = n, n + 1, n + 2
+    history, word, shorter = (np.full(n, root, np.int64) for _ in range(3))
+    level = np.zeros(n, np.int64)
+    for length, at in enumerate(block.at, start=1):
+        here = np.flatnonzero(at >= 0)
+        gram = at[here]
+        level[gram], word[gram] = length, block.at[0][here]
+        if length > 1:
+            # only the first token of a text has no earlier one, and only pairs reach before it
+            before = block.at[length - 2][here - 1]
+            if length == 2:
+                before[np.isin(here, np.cumsum(block.counts) - block.counts)] = begin
+            history[gram], shorter[gram] = before, block.at[length - 2][here]
+    seen = np.append(totals, (0.0, n_texts))
     unknown = (n_once + 1) / (n_tokens + 2)
-    weight = np.where(single > 0, single / max(1, n_tokens) * (1 - unknown), unknown)
-    for n, (arc, inside) in enumerate(levels[1:], start=2):
-        state = np.zeros(len(arc), np.float64)
-        state[1:] = levels[n - 2][0][:-1]
-        if n == 2:
-            state[first] = n_texts
-        fail = prior / (state + prior)
-        weight = np.where(inside, arc / (state + prior) + fail * weight, weight)
-    return np.add.reduceat(base, first), np.add.reduceat(np.log10(weight), first), np.add.reduceat((single > 0).astype(np.int64), first)
+    share = totals / max(1, n_tokens) * (1 - unknown)
+    for length in range(2, order + 1):
+        g = np.flatnonzero((level == length) & (totals > 0))
+        share[g] = (totals[g] + prior * share[shorter[g]]) / (seen[history[g]] + prior)
+    real = np.flatnonzero(totals > 0)
+    target = np.where(level[real] < order, real, shorter[real]) * size
+    labels = (history[real] * size + word[real]).tolist()
+    arcs = dict(zip(labels, zip(np.log10(share[real]).tolist(), target.tolist(), strict=True), strict=True))
+    states = np.append(real[level[real] < order], begin)
+    falls = np.log10(prior / (seen[states] + prior)).tolist()
+    to = np.append(shorter[states[:-1]], root) * size
+    fails = dict(zip((states * size).tolist(), zip(falls, to.tolist(), strict=True), strict=True))
+    return Automaton(arcs, fails, (begin if order > 1 else root) * size, root * size, float(np.log10(unknown)))
+
+
+def scores(block: Grams, totals: np.ndarray, stats: tuple[int, int, int, int], prior: float) -> tuple:
+    """Base and model log10 scores and known tokens of each text."""
+    n_tokens, n_types, _, _ = stats
+    first = np.cumsum(block.counts) - block.counts
+    single = totals[block.at[0]]
+    base = np.log10((single + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
+    machine = automaton(block, totals, stats, prior)
+    model = np.array([machine.walk(block.at[0][b : b + n].tolist()) for b, n in zip(first, block.counts, strict=True)])
+    return np.add.reduceat(base, first), model, np.add.reduceat((single > 0).astype(np.int64), first)
 
 
 def score(
@@ -129,39 +205,74 @@ def score(
 
     ``train`` says which rows are learnt from. ``base_score`` adds 0.1 to the counts of single
     words. Null texts are empty and have the end token alone; repeated rows count and are scored
-    once each; other columns are ignored. Without training rows all words are unknown. ``docs``
-    is read twice and must give the same rows and partitions both times, as stored tables do.
+    once each; an empty table gives no rows; other columns are ignored. Without training rows all
+    words are unknown.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first().n or 0
-    n_blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
-    range_bits = max(0, int(np.ceil(np.log2(max(1, size / 6 / RANGE_TOKENS)))))
-    dealt = docs.select(
-        F.col(key).alias("id"),
-        F.col(text).alias("text"),
-        F.coalesce(train, F.lit(False)).alias("train"),
-        # rows that are equal in everything are spread by the partition they are stored in
-        F.pmod(F.xxhash64(key, F.spark_partition_id()), F.lit(n_blocks)).alias("block"),
+    key_type = docs.schema[key].dataType
+    narrow = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+    binary = ("types", "words", "lengths")
+    block_schema = T.StructType(
+        [T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(key_type)), T.StructField("train", T.ArrayType(T.BooleanType()))]
+        + [T.StructField(n, T.BinaryType()) for n in binary]
+        + [T.StructField("n_tokens", T.LongType())]
     )
 
-    def places(keys: np.ndarray) -> np.ndarray:
-        """Where the ranges begin and end in sorted keys."""
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Consecutive rows of a task as one row per block."""
+        number, waiting, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def block() -> pa.RecordBatch:
+            rows = pa.concat_tables(waiting)
+            # Arrow types as they came, in lists of one block
+            lists = [
+                pa.LargeListArray.from_arrays(pa.array([0, rows.num_rows], pa.int64()), c).cast(pa.list_(c.type))
+                for c in (rows.column(n).combine_chunks() for n in ("id", "train"))
+            ]
+            row = block_row(texts)
+            rest = [pa.array([row[n]], pa.binary()) for n in binary]
+            n_tokens = pa.array([int(from_planes(row["lengths"]).sum())], pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *lists, *rest, n_tokens], names=block_schema.names)
+
+        for batch in batches:
+            begin, of_batch = 0, batch.column("text").to_pylist()
+            for i, value in enumerate(of_batch):
+                texts.append(value)
+                held += len(value or "") + 1
+                if held >= BLOCK_BYTES or i + 1 == len(of_batch):
+                    waiting.append(pa.Table.from_batches([batch.slice(begin, i + 1 - begin).select(["id", "train"])]))
+                    begin = i + 1
+                if held >= BLOCK_BYTES:
+                    yield block()
+                    number, waiting, texts, held = number + 1, [], [], 0
+        if texts:
+            yield block()
+
+    blocks = written(narrow.mapInArrow(numbered, block_schema), "blocks")
+    n_tokens = blocks.agg(F.sum("n_tokens").alias("n")).first().n or 0
+    range_bits = max(0, int(np.ceil(np.log2(max(1, n_tokens / RANGE_TOKENS)))))
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.arange(1, 1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits) if range_bits else np.array([], np.uint64)
-        return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
-
-    def sent(block: pa.Table) -> pa.Table:
-        keys, at, found, counts = block_keys(block.column("text").to_pylist(), order)
-        learnt = np.repeat(block.column("train").to_numpy().astype(bool), counts)
-        weights = np.concatenate([learnt[inside] for _, inside in found])
-        mine = np.bincount(at, weights=weights, minlength=len(keys)).astype(np.uint64)
-        rows, edges = [], places(keys)
-        for number, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-            if b > a:
-                steps = keys[a:b].copy()
-                steps[1:] -= keys[a : b - 1]
-                rows.append((number, block.column("block")[0].as_py(), planes(steps), planes(mine[a:b])))
-        numbers, blocks, steps, sums = zip(*rows, strict=True)
-        return pa.table({"range": pa.array(numbers, pa.int64()), "block": pa.array(blocks, pa.int64()), "steps": steps, "counts": sums})
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                found = block_grams(row, order)
+                learnt = np.repeat(np.array(row["train"], bool), found.counts)
+                mine = np.zeros(len(found.keys), np.int64)
+                for at in found.at:
+                    mine += np.bincount(at[learnt & (at >= 0)], minlength=len(mine))
+                cuts = np.concatenate([[0], np.searchsorted(found.keys, edges), [len(found.keys)]])
+                ranges, steps, sums = [], [], []
+                for number, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    if b > a:
+                        ranges.append(number)
+                        steps.append(planes(np.diff(found.keys[a:b], prepend=np.uint64(0))))
+                        sums.append(planes(mine[a:b]))
+                yield pa.RecordBatch.from_pydict(
+                    {"range": pa.array(ranges, pa.int64()), "block": pa.array([row["block"]] * len(ranges), pa.int64()),
+                     "steps": pa.array(steps, pa.binary()), "counts": pa.array(sums, pa.binary())}
+                )
 
     def added(part: pa.Table) -> pa.Table:
         lists = [np.cumsum(from_planes(x), dtype=np.uint64) for x in part.column("steps").to_pylist()]
@@ -178,26 +289,30 @@ def score(
              "n_types": first((single > 0).sum()), "n_once": first((single == 1).sum()), "n_texts": first(texts)}
         )
 
-    lists = dealt.groupBy("block").applyInArrow(sent, "range long, block long, steps binary, counts binary")
+    lists = blocks.select("block", "train", *binary).mapInArrow(sent, "range long, block long, steps binary, counts binary")
     answer_schema = "range long, block long, totals binary, n_tokens long, n_types long, n_once long, n_texts long"
     answers = written(lists.groupBy("range").applyInArrow(added, answer_schema), "ngrams")
     sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_types", "n_once", "n_texts")]).first()
     stats = tuple(sums)
     schema = T.StructType(
-        [T.StructField(key, docs.schema[key].dataType), T.StructField("held_out", T.BooleanType())]
+        [T.StructField(key, key_type), T.StructField("held_out", T.BooleanType())]
         + [T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")]
         + [T.StructField(n, T.DoubleType()) for n in ("base_score", "score")]
     )
 
     def scored(block: pa.Table, replies: pa.Table) -> pa.Table:
-        keys, at, found, counts = block_keys(block.column("text").to_pylist(), order)
+        found = block_grams({n: block.column(n)[0].as_py() for n in binary}, order)
         parts = sorted(zip(replies.column("range").to_pylist(), replies.column("totals").to_pylist(), strict=True))
-        totals = np.concatenate([from_planes(x) for _, x in parts])
-        if len(totals) != len(keys):
-            raise ValueError("the rows of a block changed between the two readings of the table")
-        base, model, known = log_scores(found, at, totals, counts, stats, prior)
-        held = ~block.column("train").to_numpy().astype(bool)
-        columns = [block.column("id"), pa.array(held), counts, known, np.full(len(counts), stats[0], np.int64), base, model]
-        return pa.Table.from_arrays([c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in columns], names=schema.names)
-
-    return dealt.groupBy("block").cogroup(answers.select("range", "block", "totals").groupBy("block")).applyInArrow(scored, schema)
+        totals = np.concatenate([from_planes(x) for _, x in parts]).astype(np.float64)
+        base, model, known = scores(found, totals, stats, prior)
+        held = ~block.column("train").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(bool)
+        n = len(found.counts)
+        columns = [block.column("ids").combine_chunks().flatten(), held, found.counts, known, np.full(n, stats[0], np.int64), base, model]
+        return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=schema.names)
+
+    return (
+        blocks.select("block", "ids", "train", *binary)
+        .groupBy("block")
+        .cogroup(answers.select("range", "block", "totals").groupBy("block"))
+        .applyInArrow(scored, schema)
+    )

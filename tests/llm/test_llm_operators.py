@@ -517,3 +517,23 @@ def test_scores_of_empty_tables(nothing, docs):
 def test_planes_round_trip():
     values = np.array([0, 1, 255, 256, 1 << 63, (1 << 64) - 1], np.uint64)
     assert (backoff.from_planes(backoff.planes(values)) == values).all() and len(backoff.from_planes(backoff.planes(values[:0]))) == 0
+
+
+def test_automaton_fails_to_shorter_histories():
+    block = backoff.block_grams(backoff.block_row(["a b c", "x b d", "b q"]), 3)
+    learnt = np.repeat([True, True, False], block.counts)
+    totals = sum(np.bincount(at[learnt & (at >= 0)], minlength=len(block.keys)) for at in block.at).astype(float)
+    machine = backoff.automaton(block, totals, (8, 6, 4, 2), 5.0)
+    assert len(machine.arcs) == 6 + 7 + 6 and len(machine.fails) == 6 + 7 + 1  # an arc per trained n-gram, a state per history
+    word = dict(zip("a b c . x d q".split(), (block.at[0][i] for i in (0, 1, 2, 3, 4, 6, 9)), strict=True))
+    _, after_a = machine.arcs[machine.start + word["a"]]
+    _, after_ab = machine.arcs[after_a + word["b"]]
+    assert after_ab + word["d"] not in machine.arcs  # "a b" has not gone on to d: the state fails to "b", which has
+    weight, after_b = machine.fails[after_ab]
+    assert after_b + word["d"] in machine.arcs and math.isclose(weight, math.log10(5 / 6))
+    falls = machine.fails[after_b]
+    assert falls[1] == machine.root and math.isclose(falls[0], math.log10(5 / 7))
+    # "q" is unknown from everywhere: the start of a text, then b, then the root
+    into_b = machine.fails[machine.start][0] + machine.arcs[machine.root + word["b"]][0]
+    after_q = machine.arcs[machine.root + word["."]][0]
+    assert math.isclose(machine.walk([word["b"], word["q"], word["."]]), into_b + falls[0] + machine.unknown + after_q)
