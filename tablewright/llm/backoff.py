@@ -35,6 +35,7 @@ from tablewright.llm.store import written
 ORDER, PRIOR = 3, 50.0
 BLOCK_BYTES = 8 << 20  # of text
 RANGE_TOKENS = 1 << 20
+RUN_TOKENS = 1 << 17  # of texts that are walked over the same arcs
 END, START = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -149,16 +150,46 @@ class Automaton:
         return score
 
 
-def automaton(block: Grams, totals: np.ndarray, stats: tuple[int, int, int, int], prior: float) -> Automaton:
-    """The part of the corpus's automaton that the texts of a block can visit.
+@dataclass
+class Arcs:
+    """All arcs and failure arcs that a block's texts can visit, as arrays by n-gram.
 
     An n-gram's place in ``block.keys`` names its arc and, if it is shorter than the order, the
     state that it leads to; two more numbers stand for the root and the start of a text.
     """
+
+    block: Grams
+    labels: np.ndarray
+    weights: np.ndarray
+    targets: np.ndarray
+    is_state: np.ndarray
+    falls: np.ndarray
+    fall_to: np.ndarray
+    unknown: float
+
+    def automaton(self, a: int, b: int) -> Automaton:
+        """The part that tokens ``a`` to ``b`` visit, so that few arcs are objects at a time."""
+        visited = np.zeros(len(self.labels), bool)
+        for at in self.block.at:
+            here = at[a:b]
+            visited[here[here >= 0]] = True
+        real = np.flatnonzero(visited & (self.weights < np.inf))
+        root, begin, size = len(self.labels), len(self.labels) + 1, len(self.labels) + 2
+        steps = zip(self.weights[real].tolist(), self.targets[real].tolist(), strict=True)
+        states = np.append(real[self.is_state[real]], begin)
+        drops = zip(self.falls[states].tolist(), self.fall_to[states].tolist(), strict=True)
+        return Automaton(
+            dict(zip(self.labels[real].tolist(), steps, strict=True)), dict(zip((states * size).tolist(), drops, strict=True)),
+            (begin if len(self.block.at) > 1 else root) * size, root * size, self.unknown,
+        )
+
+
+def weighted(block: Grams, totals: np.ndarray, stats: tuple[int, int, int, int], prior: float) -> Arcs:
+    """The arcs of a block with the corpus's counts; an n-gram without a count is no arc (infinite weight)."""
     n_tokens, _, n_once, n_texts = stats
     order, n = len(block.at), len(block.keys)
     root, begin, size = n, n + 1, n + 2
-    history, word, shorter = (np.full(n, root, np.int64) for _ in range(3))
+    history, word, shorter = (np.full(n + 2, root, np.int64) for _ in range(3))
     level = np.zeros(n, np.int64)
     for length, at in enumerate(block.at, start=1):
         here = np.flatnonzero(at >= 0)
@@ -168,7 +199,7 @@ def automaton(block: Grams, totals: np.ndarray, stats: tuple[int, int, int, int]
             # only the first token of a text has no earlier one, and only pairs reach before it
             before = block.at[length - 2][here - 1]
             if length == 2:
-                before[np.isin(here, np.cumsum(block.counts) - block.counts)] = begin
+                before[np.cumsum(block.counts) - block.counts] = begin
             history[gram], shorter[gram] = before, block.at[length - 2][here]
     seen = np.append(totals, (0.0, n_texts))
     unknown = (n_once + 1) / (n_tokens + 2)
@@ -176,15 +207,11 @@ def automaton(block: Grams, totals: np.ndarray, stats: tuple[int, int, int, int]
     for length in range(2, order + 1):
         g = np.flatnonzero((level == length) & (totals > 0))
         share[g] = (totals[g] + prior * share[shorter[g]]) / (seen[history[g]] + prior)
-    real = np.flatnonzero(totals > 0)
-    target = np.where(level[real] < order, real, shorter[real]) * size
-    labels = (history[real] * size + word[real]).tolist()
-    arcs = dict(zip(labels, zip(np.log10(share[real]).tolist(), target.tolist(), strict=True), strict=True))
-    states = np.append(real[level[real] < order], begin)
-    falls = np.log10(prior / (seen[states] + prior)).tolist()
-    to = np.append(shorter[states[:-1]], root) * size
-    fails = dict(zip((states * size).tolist(), zip(falls, to.tolist(), strict=True), strict=True))
-    return Automaton(arcs, fails, (begin if order > 1 else root) * size, root * size, float(np.log10(unknown)))
+    weights = np.full(n, np.inf)
+    np.log10(share, out=weights, where=totals > 0)
+    targets = np.where(level < order, np.arange(n), shorter[:n]) * size
+    falls = np.log10(prior / (seen + prior))
+    return Arcs(block, history[:n] * size + word[:n], weights, targets, level < order, falls, shorter * size, float(np.log10(unknown)))
 
 
 def scores(block: Grams, totals: np.ndarray, stats: tuple[int, int, int, int], prior: float) -> tuple:
@@ -193,9 +220,14 @@ def scores(block: Grams, totals: np.ndarray, stats: tuple[int, int, int, int], p
     first = np.cumsum(block.counts) - block.counts
     single = totals[block.at[0]]
     base = np.log10((single + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
-    machine = automaton(block, totals, stats, prior)
-    model = np.array([machine.walk(block.at[0][b : b + n].tolist()) for b, n in zip(first, block.counts, strict=True)])
-    return np.add.reduceat(base, first), model, np.add.reduceat((single > 0).astype(np.int64), first)
+    arcs, model, done = weighted(block, totals, stats, prior), [], 0
+    ends = first + block.counts
+    while done < len(first):  # a run of whole texts, at least one
+        upto = max(done + 1, int(np.searchsorted(ends, first[done] + RUN_TOKENS, side="right")))
+        machine = arcs.automaton(first[done], ends[upto - 1])
+        model += [machine.walk(block.at[0][first[i] : ends[i]].tolist()) for i in range(done, upto)]
+        done = upto
+    return np.add.reduceat(base, first), np.array(model), np.add.reduceat((single > 0).astype(np.int64), first)
 
 
 def score(

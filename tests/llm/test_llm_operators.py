@@ -523,7 +523,7 @@ def test_automaton_fails_to_shorter_histories():
     block = backoff.block_grams(backoff.block_row(["a b c", "x b d", "b q"]), 3)
     learnt = np.repeat([True, True, False], block.counts)
     totals = sum(np.bincount(at[learnt & (at >= 0)], minlength=len(block.keys)) for at in block.at).astype(float)
-    machine = backoff.automaton(block, totals, (8, 6, 4, 2), 5.0)
+    machine = backoff.weighted(block, totals, (8, 6, 4, 2), 5.0).automaton(0, 8)
     assert len(machine.arcs) == 6 + 8 + 6 and len(machine.fails) == 6 + 8 + 1  # an arc per trained n-gram, a state per history
     word = dict(zip("a b c . x d q".split(), (block.at[0][i] for i in (0, 1, 2, 3, 4, 6, 9)), strict=True))
     _, after_a = machine.arcs[machine.start + word["a"]]
