@@ -13,7 +13,8 @@ its rows into blocks of text, which are stored once as numbered words. A block s
 of its distinct n-grams with its training counts to ranges of the hash space, one sorted list per
 range; each range adds up and sends every block the totals, in the block's own order and so
 without the hashes. A block then builds all states and arcs that its own texts can visit. Hashes
-have 64 bits: of 37 corpora with 10^9 distinct n-grams each, one holds a false match.
+of words have 63 bits, those of longer n-grams 56: with 10^9 distinct ones in a corpus, one in
+7 * 10^7 has the count of another added to its own.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from tablewright.llm.store import written
 ORDER, PRIOR = 3, 50.0
 BLOCK_BYTES = 8 << 20  # of text
 RANGE_TOKENS = 1 << 20
-RUN_TOKENS = 1 << 17  # of texts that are walked over the same arcs
+RUN_TOKENS = 1 << 18  # of texts that are walked over the same arcs
 END, START = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,8 +58,8 @@ def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def grams(words: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each length the n-gram that ends at every token, and whether it lies in the text.
 
-    Histories reach back to one start token before the text. Keys of single words are odd, all
-    others even.
+    Histories reach back to one start token before the text. Keys of single words are odd; the
+    last byte of all others is 0.
     """
     begin = np.repeat(np.cumsum(counts) - counts, counts)
     depth = np.arange(len(words)) - begin
@@ -68,7 +69,7 @@ def grams(words: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.nd
         if n == 2:
             before[depth == 0] = START
         ending = mixed(before, words)
-        out.append((ending & ~np.uint64(1), depth >= n - 2))
+        out.append((ending & ~np.uint64(255), depth >= n - 2))
     return out
 
 
@@ -81,6 +82,16 @@ def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
+def steps(keys: np.ndarray) -> bytes:
+    """Sorted keys: differences of the upper seven bytes, last bytes as they are."""
+    return planes(np.diff(keys >> np.uint64(8), prepend=np.uint64(0)) << np.uint64(8) | keys & np.uint64(255))
+
+
+def from_steps(data: bytes) -> np.ndarray:
+    values = from_planes(data)
+    return np.cumsum(values >> np.uint64(8), dtype=np.uint64) << np.uint64(8) | values & np.uint64(255)
+
+
 def block_row(texts: list[str | None]) -> dict[str, bytes]:
     """A block's words as hashes, its tokens as numbers of these, its texts as lengths; A-Z are lowered."""
     known, words, counts = WordNumbers(), [], []
@@ -122,31 +133,36 @@ def block_grams(row: dict[str, bytes], order: int) -> Grams:
 
 @dataclass
 class Automaton:
-    """States and arcs by number; ``arcs`` maps state * size + word to the arc's weight and target
-    state, ``fails`` a state to the weight and target of its failure arc. Weights are log10;
-    states are kept multiplied by ``size``. The root has no failure arc: what it doesn't know
-    is unknown and leads back to it."""
-
-    arcs: dict[int, tuple[float, int]]
-    fails: dict[int, tuple[float, int]]
+    """States and arcs by number. ``arcs`` maps state * size + word to an arc; ``weights`` and
+    ``targets`` are those of the arcs, ``falls`` and ``fall_to`` those of the failure arc of every
+    state. Weights are log10; targets are kept multiplied by ``size``. The root has no failure
+    arc: what it doesn't know is unknown and leads back to it."""
+
+    arcs: dict[int, int]
+    weights: memoryview
+    targets: memoryview
+    falls: memoryview
+    fall_to: memoryview
+    size: int
     start: int
     root: int
     unknown: float
 
     def walk(self, words: list[int]) -> float:
         """The log10 probability of a text: one pass from left to right that carries the state."""
-        arcs, fails, root, state, score = self.arcs, self.fails, self.root, self.start, 0.0
+        arcs, weights, targets, root, state, score = self.arcs, self.weights, self.targets, self.root, self.start, 0.0
         for word in words:
             arc = arcs.get(state + word)
-            while arc is None:
-                if state == root:
-                    arc = self.unknown, root
-                else:
-                    weight, state = fails[state]
-                    score += weight
-                    arc = arcs.get(state + word)
-            weight, state = arc
-            score += weight
+            while arc is None and state != root:
+                place = state // self.size
+                score += self.falls[place]
+                state = self.fall_to[place]
+                arc = arcs.get(state + word)
+            if arc is None:
+                score += self.unknown
+            else:
+                score += weights[arc]
+                state = targets[arc]
         return score
 
 
@@ -162,26 +178,22 @@ class Arcs:
     labels: np.ndarray
     weights: np.ndarray
     targets: np.ndarray
-    is_state: np.ndarray
     falls: np.ndarray
     fall_to: np.ndarray
     unknown: float
 
     def automaton(self, a: int, b: int) -> Automaton:
         """The part that tokens ``a`` to ``b`` visit, so that few arcs are objects at a time."""
-        visited = np.zeros(len(self.labels), bool)
+        n = len(self.labels)
+        visited = np.zeros(n, bool)
         for at in self.block.at:
             here = at[a:b]
             visited[here[here >= 0]] = True
         real = np.flatnonzero(visited & (self.weights < np.inf))
-        root, begin, size = len(self.labels), len(self.labels) + 1, len(self.labels) + 2
-        steps = zip(self.weights[real].tolist(), self.targets[real].tolist(), strict=True)
-        states = np.append(real[self.is_state[real]], begin)
-        drops = zip(self.falls[states].tolist(), self.fall_to[states].tolist(), strict=True)
-        return Automaton(
-            dict(zip(self.labels[real].tolist(), steps, strict=True)), dict(zip((states * size).tolist(), drops, strict=True)),
-            (begin if len(self.block.at) > 1 else root) * size, root * size, self.unknown,
-        )
+        arcs = dict(zip(self.labels[real].tolist(), real.tolist(), strict=True))
+        views = map(memoryview, (self.weights, self.targets, self.falls, self.fall_to))
+        root, begin, size = n, n + 1, n + 2
+        return Automaton(arcs, *views, size, (begin if len(self.block.at) > 1 else root) * size, root * size, self.unknown)
 
 
 def weighted(block: Grams, totals: np.ndarray, stats: tuple[int, int, int, int], prior: float) -> Arcs:
@@ -211,7 +223,7 @@ def weighted(block: Grams, totals: np.ndarray, stats: tuple[int, int, int, int],
     np.log10(share, out=weights, where=totals > 0)
     targets = np.where(level < order, np.arange(n), shorter[:n]) * size
     falls = np.log10(prior / (seen + prior))
-    return Arcs(block, history[:n] * size + word[:n], weights, targets, level < order, falls, shorter * size, float(np.log10(unknown)))
+    return Arcs(block, history[:n] * size + word[:n], weights, targets, falls, shorter * size, float(np.log10(unknown)))
 
 
 def scores(block: Grams, totals: np.ndarray, stats: tuple[int, int, int, int], prior: float) -> tuple:
@@ -295,19 +307,19 @@ def score(
                 for at in found.at:
                     mine += np.bincount(at[learnt & (at >= 0)], minlength=len(mine))
                 cuts = np.concatenate([[0], np.searchsorted(found.keys, edges), [len(found.keys)]])
-                ranges, steps, sums = [], [], []
+                ranges, lists, sums = [], [], []
                 for number, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     if b > a:
                         ranges.append(number)
-                        steps.append(planes(np.diff(found.keys[a:b], prepend=np.uint64(0))))
+                        lists.append(steps(found.keys[a:b]))
                         sums.append(planes(mine[a:b]))
                 yield pa.RecordBatch.from_pydict(
                     {"range": pa.array(ranges, pa.int64()), "block": pa.array([row["block"]] * len(ranges), pa.int64()),
-                     "steps": pa.array(steps, pa.binary()), "counts": pa.array(sums, pa.binary())}
+                     "steps": pa.array(lists, pa.binary()), "counts": pa.array(sums, pa.binary())}
                 )
 
     def added(part: pa.Table) -> pa.Table:
-        lists = [np.cumsum(from_planes(x), dtype=np.uint64) for x in part.column("steps").to_pylist()]
+        lists = [from_steps(x) for x in part.column("steps").to_pylist()]
         counts = np.concatenate([from_planes(x) for x in part.column("counts").to_pylist()])
         keys, at = np.unique(np.concatenate(lists), return_inverse=True)
         totals = np.bincount(at, weights=counts)

@@ -524,16 +524,27 @@ def test_automaton_fails_to_shorter_histories():
     learnt = np.repeat([True, True, False], block.counts)
     totals = sum(np.bincount(at[learnt & (at >= 0)], minlength=len(block.keys)) for at in block.at).astype(float)
     machine = backoff.weighted(block, totals, (8, 6, 4, 2), 5.0).automaton(0, 8)
-    assert len(machine.arcs) == 6 + 8 + 6 and len(machine.fails) == 6 + 8 + 1  # an arc per trained n-gram, a state per history
+    assert len(machine.arcs) == 6 + 8 + 6  # an arc per trained n-gram
     word = dict(zip("a b c . x d q".split(), (block.at[0][i] for i in (0, 1, 2, 3, 4, 6, 9)), strict=True))
-    _, after_a = machine.arcs[machine.start + word["a"]]
-    _, after_ab = machine.arcs[after_a + word["b"]]
+
+    def step(state, w):
+        return machine.targets[machine.arcs[state + word[w]]]
+
+    def fall(state):
+        return machine.falls[state // machine.size], machine.fall_to[state // machine.size]
+
+    after_ab = step(step(machine.start, "a"), "b")
     assert after_ab + word["d"] not in machine.arcs  # "a b" has not gone on to d: the state fails to "b", which has
-    weight, after_b = machine.fails[after_ab]
+    weight, after_b = fall(after_ab)
     assert after_b + word["d"] in machine.arcs and math.isclose(weight, math.log10(5 / 6))
-    falls = machine.fails[after_b]
-    assert falls[1] == machine.root and math.isclose(falls[0], math.log10(5 / 7))
+    weight, root = fall(after_b)
+    assert root == machine.root and math.isclose(weight, math.log10(5 / 7))
     # "q" is unknown from everywhere: the start of a text, then b, then the root
-    into_b = machine.fails[machine.start][0] + machine.arcs[machine.root + word["b"]][0]
-    after_q = machine.arcs[machine.root + word["."]][0]
-    assert math.isclose(machine.walk([word["b"], word["q"], word["."]]), into_b + falls[0] + machine.unknown + after_q)
+    into_b = fall(machine.start)[0] + machine.weights[machine.arcs[root + word["b"]]]
+    after_q = machine.weights[machine.arcs[root + word["."]]]
+    assert math.isclose(machine.walk([word["b"], word["q"], word["."]]), into_b + weight + machine.unknown + after_q)
+
+
+def test_steps_round_trip():
+    keys = np.sort(np.array([0, 1, 256, 257, 255, 1 << 63, (1 << 64) - 1, (1 << 64) - 256], np.uint64))
+    assert (backoff.from_steps(backoff.steps(keys)) == keys).all() and len(backoff.from_steps(backoff.steps(keys[:0]))) == 0
