@@ -55,22 +55,24 @@ def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def grams(words: np.ndarray, counts: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def grams(words: np.ndarray, counts: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of each length the n-gram that ends at every token, and whether it lies in the text.
 
     Histories reach back to one start token before the text. Keys of single words are odd; the
     last byte of all others is 0.
     """
-    begin = np.repeat(np.cumsum(counts) - counts, counts)
-    depth = np.arange(len(words)) - begin
-    out, ending = [(words | np.uint64(1), np.ones(len(words), bool))], words
+    first = np.cumsum(counts) - counts
+    inside, ending = np.ones(len(words), bool), words
+    yield words | np.uint64(1), inside
     for n in range(2, order + 1):
         before = np.roll(ending, 1)
         if n == 2:
-            before[depth == 0] = START
+            before[first] = START
+        else:  # the first n - 2 tokens of a text have no such history
+            inside = inside.copy()
+            inside[first + np.minimum(n - 3, counts - 1)] = False
         ending = mixed(before, words)
-        out.append((ending & ~np.uint64(255), depth >= n - 2))
-    return out
+        yield ending & ~np.uint64(255), inside
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -119,15 +121,20 @@ class Grams:
 def block_grams(row: dict[str, bytes], order: int) -> Grams:
     words = from_planes(row["types"])[from_planes(row["words"])]
     counts = from_planes(row["lengths"]).astype(np.int64)
-    found = grams(words, counts, order)
-    keys, places = np.unique(np.concatenate([k[inside] for k, inside in found]), return_inverse=True)
-    at, begin = [], 0
-    for _, inside in found:
-        level = np.full(len(words), -1, np.int64)
-        n = int(inside.sum())
-        level[inside] = places[begin : begin + n]
+    distinct, places, insides = [], [], []
+    for found, inside in grams(words, counts, order):
+        keys, place = np.unique(found[inside], return_inverse=True)
+        distinct.append(keys)
+        places.append(place.astype(np.int32))
+        insides.append(inside)
+    del words
+    keys = np.unique(np.concatenate(distinct))
+    at = []
+    for mine in distinct:
+        inside, place = insides.pop(0), places.pop(0)
+        level = np.full(len(inside), -1, np.int32)
+        level[inside] = np.searchsorted(keys, mine).astype(np.int32)[place]
         at.append(level)
-        begin += n
     return Grams(keys, at, counts)
 
 
@@ -135,7 +142,7 @@ def block_grams(row: dict[str, bytes], order: int) -> Grams:
 class Automaton:
     """States and arcs by number. ``arcs`` maps state * size + word to an arc; ``weights`` and
     ``targets`` are those of the arcs, ``falls`` and ``fall_to`` those of the failure arc of every
-    state. Weights are log10; targets are kept multiplied by ``size``. The root has no failure
+    state. Weights are log10; ``targets`` are kept multiplied by ``size``. The root has no failure
     arc: what it doesn't know is unknown and leads back to it."""
 
     arcs: dict[int, int]
@@ -156,7 +163,7 @@ class Automaton:
             while arc is None and state != root:
                 place = state // self.size
                 score += self.falls[place]
-                state = self.fall_to[place]
+                state = self.fall_to[place] * self.size
                 arc = arcs.get(state + word)
             if arc is None:
                 score += self.unknown
@@ -201,8 +208,8 @@ def weighted(block: Grams, totals: np.ndarray, stats: tuple[int, int, int, int],
     n_tokens, _, n_once, n_texts = stats
     order, n = len(block.at), len(block.keys)
     root, begin, size = n, n + 1, n + 2
-    history, word, shorter = (np.full(n + 2, root, np.int64) for _ in range(3))
-    level = np.zeros(n, np.int64)
+    history, word, shorter = (np.full(n + 2, root, np.int32) for _ in range(3))
+    level = np.zeros(n, np.int8)
     for length, at in enumerate(block.at, start=1):
         here = np.flatnonzero(at >= 0)
         gram = at[here]
@@ -221,9 +228,9 @@ def weighted(block: Grams, totals: np.ndarray, stats: tuple[int, int, int, int],
         share[g] = (totals[g] + prior * share[shorter[g]]) / (seen[history[g]] + prior)
     weights = np.full(n, np.inf)
     np.log10(share, out=weights, where=totals > 0)
-    targets = np.where(level < order, np.arange(n), shorter[:n]) * size
+    targets = np.where(level < order, np.arange(n), shorter[:n]) * np.int64(size)
     falls = np.log10(prior / (seen + prior))
-    return Arcs(block, history[:n] * size + word[:n], weights, targets, falls, shorter * size, float(np.log10(unknown)))
+    return Arcs(block, history[:n] * np.int64(size) + word[:n], weights, targets, falls, shorter, float(np.log10(unknown)))
 
 
 def scores(block: Grams, totals: np.ndarray, stats: tuple[int, int, int, int], prior: float) -> tuple:

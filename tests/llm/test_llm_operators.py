@@ -531,7 +531,7 @@ def test_automaton_fails_to_shorter_histories():
         return machine.targets[machine.arcs[state + word[w]]]
 
     def fall(state):
-        return machine.falls[state // machine.size], machine.fall_to[state // machine.size]
+        return machine.falls[state // machine.size], machine.fall_to[state // machine.size] * machine.size
 
     after_ab = step(step(machine.start, "a"), "b")
     assert after_ab + word["d"] not in machine.arcs  # "a b" has not gone on to d: the state fails to "b", which has
