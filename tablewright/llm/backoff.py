@@ -128,7 +128,8 @@ def block_grams(row: dict[str, bytes], order: int) -> Grams:
         places.append(place.astype(np.int32))
         insides.append(inside)
     del words
-    keys = np.unique(np.concatenate(distinct))
+    keys = np.sort(np.concatenate(distinct))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]
     at = []
     for mine in distinct:
         inside, place = insides.pop(0), places.pop(0)
