@@ -36,7 +36,7 @@ from tablewright.llm.store import written
 ORDER, PRIOR = 3, 50.0
 BLOCK_BYTES = 8 << 20  # of text
 RANGE_TOKENS = 1 << 20
-RUN_TOKENS = 1 << 18  # of texts that are walked over the same arcs
+RUN_TOKENS = 1 << 17  # of texts that are walked over the same arcs
 END, START = np.uint64(0x6A09E667F3BCC909), np.uint64(0xBB67AE8584CAA73B)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -237,17 +237,24 @@ def weighted(block: Grams, totals: np.ndarray, stats: tuple[int, int, int, int],
 def scores(block: Grams, totals: np.ndarray, stats: tuple[int, int, int, int], prior: float) -> tuple:
     """Base and model log10 scores and known tokens of each text."""
     n_tokens, n_types, _, _ = stats
-    first = np.cumsum(block.counts) - block.counts
+    ends = np.cumsum(block.counts)
+    first = ends - block.counts
     single = totals[block.at[0]]
-    base = np.log10((single + 0.1) / (n_tokens + 0.1 * (n_types + 1)))
-    arcs, model, done = weighted(block, totals, stats, prior), [], 0
-    ends = first + block.counts
-    while done < len(first):  # a run of whole texts, at least one
+    known = np.add.reduceat((single > 0).astype(np.int64), first)
+    base = np.add.reduceat(np.log10((single + 0.1) / (n_tokens + 0.1 * (n_types + 1))), first)
+    del single
+    arcs = weighted(block, totals, stats, prior)
+
+    def walked(run: range) -> list[float]:
+        machine = arcs.automaton(first[run[0]], ends[run[-1]])
+        return [machine.walk(block.at[0][first[i] : ends[i]].tolist()) for i in run]
+
+    model, done = [], 0
+    while done < len(first):  # a run of whole texts, at least one; the arcs of a run are freed before the next
         upto = max(done + 1, int(np.searchsorted(ends, first[done] + RUN_TOKENS, side="right")))
-        machine = arcs.automaton(first[done], ends[upto - 1])
-        model += [machine.walk(block.at[0][first[i] : ends[i]].tolist()) for i in range(done, upto)]
+        model += walked(range(done, upto))
         done = upto
-    return np.add.reduceat(base, first), np.array(model), np.add.reduceat((single > 0).astype(np.int64), first)
+    return base, np.array(model), known
 
 
 def score(
