@@ -6,6 +6,7 @@ from checks.profiling import TAILS, index_sql, tails
 from checks.registry import GAPS, gaps, query, rounded, table, union_all
 from tablewright.operators import associate as A
 from tablewright.operators import charts, correlate, describe, normality
+from tablewright.operators.impute import indicator_fill, median_fill
 from tablewright.operators.profile import profile, profile_frame
 from tablewright.plans.analysis import analyze
 from tablewright.plans.orderstats import index_quantiles, interpolated_quantiles
@@ -147,10 +148,10 @@ _POP = "(SELECT count(*) AS n, sum(power(v - m, 3)) / count(*) / power(sum(power
     "FROM (SELECT value AS v FROM events), (SELECT avg(value) AS m FROM events))"
 
 
-@query("jarque_bera", f"SELECT 'value' AS \"column\", n, round(n / 6.0 * (g * g + k * k / 4), 4) AS statistic FROM {_POP}")
+@query("jarque_bera", f"SELECT 'value' AS \"column\", n, round(n / 6.0 * (g * g + k * k / 4), 4) AS statistic, round(exp(-n / 12.0 * (g * g + k * k / 4)), 6) AS p_value FROM {_POP}")
 def _(spark, folder):
     t = normality.normality_tests(table(spark, folder, "events"), ["value"]).where("test = 'jarque_bera'")
-    return rounded(t.select("column", "n", "statistic"), 4)
+    return rounded(t.select("column", "n", "statistic", "p_value"), 4, p_value=6)
 
 
 _K2 = (
@@ -163,12 +164,12 @@ _K2 = (
 @query(
     "dagostino_k2",
     f"WITH a AS ({_K2}), w AS (SELECT *, sqrt(2 * (b - 1)) - 1 AS w2, 6 + 8 / c * (2 / c + sqrt(1 + 4 / (c * c))) AS a FROM a) "
-    "SELECT 'value' AS \"column\", n, round(power(asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)), 2) + "
-    "power((1 - 2 / (9 * a) - sign((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4)))) * power(abs((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4)))), 1 / 3.0)) / sqrt(2 / (9 * a)), 2), 3) AS statistic FROM w",
+    "SELECT 'value' AS \"column\", n, round(k2, 3) AS statistic, round(exp(-k2 / 2), 5) AS p_value FROM (SELECT n, power(asinh(y / sqrt(2 / (w2 - 1))) / sqrt(0.5 * ln(w2)), 2) + "
+    "power((1 - 2 / (9 * a) - sign((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4)))) * power(abs((1 - 2 / a) / (1 + x * sqrt(2 / (a - 4)))), 1 / 3.0)) / sqrt(2 / (9 * a)), 2) AS k2 FROM w)",
 )
 def _(spark, folder):
     t = normality.normality_tests(table(spark, folder, "events"), ["value"]).where("test = 'dagostino_k2'")
-    return rounded(t.select("column", "n", "statistic"), 3)
+    return rounded(t.select("column", "n", "statistic", "p_value"), 3, p_value=5)
 
 
 # The rational approximation of the normal quantile of algorithm AS 241 (PPND7).
@@ -358,7 +359,10 @@ def _(spark, folder):
 def chi_sql(i: int, a: str, b: str) -> str:
     return (
         f"SELECT CAST({i} AS INTEGER) AS pair, any_value(total) AS n, round(any_value(total) * (sum(n * 1.0 * n / (na * 1.0 * nb)) - 1), 4) AS chi_square, "
-        f"round(sqrt((sum(n * 1.0 * n / (na * 1.0 * nb)) - 1) / (least(count(DISTINCT a), count(DISTINCT b)) - 1)), 6) AS cramers_v FROM "
+        f"round(sqrt((sum(n * 1.0 * n / (na * 1.0 * nb)) - 1) / (least(count(DISTINCT a), count(DISTINCT b)) - 1)), 6) AS cramers_v, "
+        # the series of the lower incomplete gamma function; beyond a half of 60 the p-value is 0 to six places
+        f"any_value(total) * (sum(n * 1.0 * n / (na * 1.0 * nb)) - 1) / 2 AS half, (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) / 2 AS shape, "
+        f"CASE WHEN half > 60 THEN 0.0 ELSE round(1 - exp(shape * ln(half) - half) * list_sum([exp(t * ln(half) - lgamma(shape + t + 1)) FOR t IN range(300)]), 6) END AS p_value FROM "
         f"(SELECT *, sum(n) OVER (PARTITION BY a) AS na, sum(n) OVER (PARTITION BY b) AS nb, CAST(sum(n) OVER () AS BIGINT) AS total FROM "
         f"(SELECT {a} AS a, {b} AS b, count(*) AS n FROM l WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2))"
     )
@@ -383,11 +387,11 @@ _WHICH = " UNION ALL ".join(f"SELECT {i} AS pair, '{a}' AS x, '{b}' AS y UNION A
 
 @query(
     "association_matrix",
-    f"SELECT x, y, chi_square, cramers_v FROM ({_CHI}) JOIN ({_WHICH}) USING (pair) UNION ALL "
-    + " UNION ALL ".join(f"SELECT '{n}', '{n}', 0.0::DOUBLE, 1.0::DOUBLE" for n in _NAMES),
+    f"SELECT x, y, chi_square, p_value, cramers_v FROM ({_CHI}) JOIN ({_WHICH}) USING (pair) UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{n}', '{n}', 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE" for n in _NAMES),
 )
 def _(spark, folder):
-    return rounded(A.categorical_association(shipped(spark, folder), _NAMES).drop("p_value"), 6, chi_square=4)
+    return rounded(A.categorical_association(shipped(spark, folder), _NAMES), 6, chi_square=4)
 
 
 TWO, MANY = ("l_extendedprice", "l_linestatus"), ("l_quantity", "l_shipmode")
@@ -507,6 +511,33 @@ def _(spark, folder):
     return rounded(drawn.where("series != 'box' or column = 'value'"), 4)
 
 
+_BOX = [("min", "min(total)"), ("q1", "quantile_cont(total, 0.25)"), ("median", "median(total)"), ("q3", "quantile_cont(total, 0.75)"), ("max", "max(total)")]
+
+
+def _dashboard_sql(dataset: str, source: str) -> str:
+    head = f"SELECT '{dataset}' AS dataset, "
+    parts = [f"{head}'total' AS \"column\", 'box' AS series, '{n}' AS label, round({v}, 4) AS value FROM {source}" for n, v in _BOX]
+    parts += [f"{head}'total', 'histogram', NULL, CAST(count(total) AS DOUBLE) FROM {source}"]
+    parts += [f"{head}'{c}', 'categories', {c}, CAST(count(*) AS DOUBLE) FROM {source} WHERE {c} IS NOT NULL GROUP BY {c}" for c in ("status", "priority")]
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    "dashboard",
+    G + ", f AS (SELECT coalesce(total, (SELECT median(total) FROM g)) AS total, coalesce(status, 'Missing') AS status, coalesce(priority, 'Missing') AS priority FROM g) "
+    + _dashboard_sql("original", "g") + " UNION ALL " + _dashboard_sql("processed", "f"),
+)
+def _(spark, folder):
+    original = gaps(spark, folder).select("total", "status", "priority")
+    processed = indicator_fill(median_fill(original, ["total"]), ["status", "priority"])
+    drawn = charts.dashboard({"original": original, "processed": processed})
+    # the bins of a histogram together hold every value
+    value = F.sum("value").alias("value")
+    label = F.when(F.col("series") != "histogram", F.col("label")).alias("label")
+    wanted = drawn.where("series in ('box', 'categories') or (series = 'histogram' and column = 'total')")
+    return rounded(wanted.groupBy("dataset", "column", "series", label).agg(value), 4)
+
+
 @query(
     "heatmap_view",
     G + "SELECT x, y, value, CAST(3 AS INTEGER) AS total_columns, true AS truncated FROM ("

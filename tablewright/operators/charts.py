@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.operators.describe import column_statistics, summary_kinds
-from tablewright.operators.profile import TableProfile
+from tablewright.operators.profile import TableProfile, profile
 
 CHART_SCHEMA = "column string, series string, position int, label string, low double, high double, value double"
 HEATMAP_COLUMNS = 30  # fixed value: columns shown at most
@@ -79,6 +79,22 @@ def chart_data(df: DataFrame, table: TableProfile) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def dashboard(tables: dict[str, DataFrame], shown: str | None = None) -> DataFrame:
+    """All charts of the original and the processed table, named by ``dataset``.
+
+    ``tables`` maps a dataset's name to its table; each has its own profile, as cleaning may
+    change what a column is drawn as. ``shown`` asks for one dataset, which must be there.
+    """
+    if shown is not None and shown not in tables:
+        raise ValueError(f"there is no {shown} table")
+    names = [shown] if shown is not None else list(tables)
+    parts = [
+        chart_data(tables[n], profile(tables[n], duplicates=False, outliers=False)).select(F.lit(n).alias("dataset"), "*")
+        for n in names
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def heatmap_view(matrix: DataFrame, kind: str, value: str = "value", limit: int = HEATMAP_COLUMNS) -> DataFrame:
     """A matrix cut to the first columns by name, with its value range."""
     # Labels are column names of one table, so this list is as short as its schema.

@@ -199,3 +199,17 @@ def test_text_keys_of_one_beginning_are_cut_evenly(spark, monkeypatch):
     wanted = [r["k"] for r in rows.orderBy("k").collect()]
     got = [r["k"] for r in select.row_range(rows, 15_000, 25_000, "k").orderBy("k").collect()]
     assert got == wanted[15_000:25_000]
+
+
+def test_dashboard_names_its_tables(spark):
+    from tablewright.operators.charts import dashboard
+
+    original = spark.createDataFrame([(float(i % 7), "ab"[i % 2]) for i in range(40)] + [(None, None)], "v double, c string")
+    processed = original.dropna()
+    both = dashboard({"original": original, "processed": processed})
+    assert {r.dataset for r in both.collect()} == {"original", "processed"}
+    one = dashboard({"original": original, "processed": processed}, "processed").collect()
+    assert {r.dataset for r in one} == {"processed"}
+    assert sum(r.value for r in one if r.series == "categories" and r.column == "c") == 40
+    with pytest.raises(ValueError, match="processed"):
+        dashboard({"original": original}, "processed")
