@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.profiling import TAILS, index_sql, tails
-from checks.registry import GAPS, gaps, query, rounded, table, union_all
+from checks.registry import GAPS, SQL, gaps, query, rounded, table, union_all
 from tablewright.operators import associate as A
 from tablewright.operators import charts, correlate, describe, normality
 from tablewright.operators.impute import indicator_fill, median_fill
@@ -480,6 +480,39 @@ def _(spark, folder):
     return A.group_tests(shipped(spark, folder), ["l_quantity", "l_extendedprice"], ["l_linestatus", "l_shipmode"])
 
 
+def chi_tail_sql(x: str, df: str) -> str:
+    """The upper tail of chi-square by the series of the lower incomplete gamma function."""
+    h, a = f"({x} / 2)", f"({df} / 2)"
+    return f"CASE WHEN {h} > 60 THEN 0.0 ELSE 1 - exp({a} * ln({h}) - {h}) * list_sum([exp(step * ln({h}) - lgamma({a} + step + 1)) FOR step IN range(300)]) END"
+
+
+def f_tail_sql(f: str, df1: str, df2: str) -> str:
+    """The upper tail of F by the series of the incomplete beta function."""
+    y, a, b = f"({df1} * {f} / ({df1} * {f} + {df2}))", f"({df1} / 2)", f"({df2} / 2)"
+    head = f"exp({a} * ln({y}) + {b} * ln(1 - {y}) - lgamma({a} + 1) - lgamma({b}) + lgamma({a} + {b}))"
+    terms = f"exp(lgamma({a} + {b} + step) - lgamma({a} + {b}) - lgamma({a} + 1 + step) + lgamma({a} + 1) + step * ln({y}))"
+    return f"CASE WHEN {df1} * {f} > 120 THEN 0.0 ELSE 1 - {head} * list_sum([{terms} FOR step IN range(300)]) END"
+
+
+@query(
+    "group_test_p_values",
+    " UNION ALL ".join(
+        f"SELECT '{test}' AS test, round({tail}, 3) AS p_value FROM ({SQL[source]})"
+        for test, source, tail in (
+            ("welch_t", "welch_t", f_tail_sql("(t * t)", "1.0", "df")),
+            ("mann_whitney", "mann_whitney", chi_tail_sql("(z * z)", "1.0")),
+            ("anova", "anova", f_tail_sql("f", "df1", "df2")),
+            ("kruskal_wallis", "kruskal_wallis", chi_tail_sql("h", "df")),
+            ("brown_forsythe", "brown_forsythe", f_tail_sql("f", "df1", "df2")),
+        )
+    ),
+)
+def _(spark, folder):
+    two = A.group_tests(shipped(spark, folder), [TWO[0]], [TWO[1]]).where("test != 'brown_forsythe'")
+    many = A.group_tests(shipped(spark, folder), [MANY[0]], [MANY[1]])
+    return two.unionByName(many).select("test", F.round("p_value", 3).alias("p_value"))
+
+
 @query("interpolated_quantiles", T + "SELECT unnest([0.1, 0.5, 0.9]) AS share, round(unnest(quantile_cont(price, [0.1, 0.5, 0.9])), 4) AS value FROM t")
 def _(spark, folder):
     found = interpolated_quantiles(tails(spark, folder), ["price"], [0.1, 0.5, 0.9])["price"]
