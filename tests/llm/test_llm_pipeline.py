@@ -172,3 +172,18 @@ def test_sql_of_the_queries(spark):
         df = queries.QUERIES[name](spark, SMALL)
         found = db.execute(sql)
         assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(found.fetchall(), [d[0] for d in found.description])
+
+
+def test_stages_keep_columns_with_clashing_names(spark):
+    import corpus_pipeline
+
+    line = "these eight words make one block of text"
+    table = [(1, f"{line}\nfirst one has its own last line here", 34, "a", "b", "c"), (2, f"{line}\nanother text", 50, "d", "e", "f"), (3, None, None, None, None, None)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, n_chars int, _quality string, n_removed string, keep string")
+    judged = corpus_pipeline.quality_rules(spark, docs, "")
+    assert judged.columns == docs.columns and all(r._quality in ("a", "d") for r in judged.collect())
+    shorter = corpus_pipeline.line_dedup(spark, docs, "")
+    assert shorter.columns == docs.columns
+    out = {r.doc_id: r for r in shorter.collect()}
+    assert out[2].text == "another text" and out[2].n_chars == 12
+    assert [(r._quality, r.n_removed, r.keep) for _, r in sorted(out.items())][:2] == [("a", "b", "c"), ("d", "e", "f")]
