@@ -40,7 +40,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group that five-word Jaccard similarities of 0.8 or more connect."""
+    """One document, the smallest doc_id, of each group that near copies connect.
+
+    Near copies have SimHash fingerprints within 3 bits, found by vantage-point trees, or a five-word Jaccard
+    similarity of 0.8 or more.
+    """
     return drop_near_copies(docs)
 
 

@@ -1,4 +1,7 @@
-"""Near copies by exact similarity: five-word shingle sets with a Jaccard similarity of 0.8 or more.
+"""Near copies: SimHash fingerprints within 3 bits, and five-word shingle sets with a Jaccard similarity of 0.8 or more.
+
+Vantage-point trees over the fingerprints of ``simhash`` link texts first, exactly; what they connect is one
+component from the start. Similar sets then connect those that lie farther apart in bits.
 
 In any common order of all shingles, two sets that similar share one of the first
 ``n - ceil(0.8 n) + 1`` shingles of each. Only these prefixes are shuffled; sets that meet in a
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.llm.components import components
+from tablewright.llm.simhash import near_edges, simhash
 from tablewright.llm.store import discard, written
 
 WIDTH = 5
@@ -87,10 +91,10 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def _prefixes(texts: DataFrame, key: T.DataType) -> DataFrame:
-    """``k, h, s, size, prefix, bits``: key, text hash, a hash of the set, its size, prefix and bitmap."""
+    """``k, h, s, fp, size, prefix, bits``: key, text hash, a hash of the set, the text's SimHash, the set's size, prefix and bitmap."""
     last = _recurring(texts)
     schema = T.StructType(
-        [T.StructField("k", key), T.StructField("h", T.LongType()), T.StructField("s", T.LongType()), T.StructField("size", T.IntegerType())]
+        [T.StructField("k", key), T.StructField("h", T.LongType()), T.StructField("s", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType())]
         + [T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("bits", T.BinaryType())]
     )
 
@@ -98,15 +102,16 @@ def _prefixes(texts: DataFrame, key: T.DataType) -> DataFrame:
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 some = batch.slice(begin, 512)
-                names, sizes, heads, maps = [], [], [], []
+                names, prints, sizes, heads, maps = [], [], [], [], []
                 for text in some.column(2):
                     found = shingle_set(text.as_py())
                     names.append(xxhash.xxh64_intdigest(found.tobytes()))
+                    prints.append(simhash(text.as_py()))
                     sizes.append(len(found))
                     late = held(found, last)
                     heads.append(np.concatenate([found[~late], found[late]])[: len(found) - (4 * len(found) + 4) // 5 + 1])
                     maps.append(parity(found))
-                columns = [pa.array(np.array(names, "<u8").view("<i8")), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
+                columns = [pa.array(np.array(names, "<u8").view("<i8")), pa.array(prints, pa.int64()), pa.array(sizes, pa.int32()), pa.array(heads, pa.list_(pa.int64())), pa.array(maps, pa.binary())]
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *columns], names=schema.names)
 
     return texts.select("k", "h", "text").mapInArrow(cut, schema)
@@ -165,8 +170,20 @@ def _all_pairs(members: DataFrame) -> DataFrame:
     return _pairs(members.withColumn("band", band), members.withColumn("band", near), ["t", "band"])
 
 
+def close_prints(prints: DataFrame) -> DataFrame:
+    """``(u, v)``: each set that fingerprints within 3 bits join to others, and the smallest of them, left out itself.
+
+    A set has a fingerprint for each of its texts, as these also show how often shingles occur.
+    """
+    held_by = written(prints.select("s", "fp").distinct(), "simhash")
+    stars = components(near_edges(written(held_by.select("fp").distinct(), "fingerprints")))
+    rooted = held_by.join(stars.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").select("s", F.coalesce("root", "fp").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("s").alias("v"))
+    return components(rooted.join(least, "root").where("s > v").select(F.col("s").alias("u"), "v"))
+
+
 def similar_sets(prints: DataFrame, texts: DataFrame) -> DataFrame:
-    """``(u, v)``: each set that a chain of similar sets joins to others, and the smallest of them, left out itself.
+    """``(u, v)``: each set that a chain of close fingerprints or similar sets joins to others, and the smallest of them, left out itself.
 
     Each turn pairs the members of a shingle with a drawn one; what got connected is one component
     from then on, and shingles whose members are all connected are done. From the second turn on
@@ -175,14 +192,15 @@ def similar_sets(prints: DataFrame, texts: DataFrame) -> DataFrame:
     """
     tokens = prints.select("s", "size", F.explode("prefix").alias("t"))
     met = tokens.groupBy("t").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo != hi").select("t")
-    open_ = written(tokens.join(met, "t").select("t", "s", "size").distinct().withColumn("c", F.col("s")), "shared")
+    stars = close_prints(prints)
+    met = tokens.join(met, "t").select("t", "s", "size").distinct().join(stars.withColumnsRenamed({"u": "s", "v": "c"}), "s", "left")
+    open_ = written(met.select("t", "s", "size", F.coalesce("c", "s").alias("c")), "shared")
     # one text a set
     one = prints.join(open_.select("s").distinct(), "s", "left_semi").groupBy("s", "size", "bits")
     one = one.agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h")).alias("one")).select("s", "size", "bits", F.col("one.k").alias("one_k"), F.col("one.h").alias("one_h"))
     bitmaps = written(one, "bitmaps")
     chosen = texts.join(bitmaps.select("s", "one_k", "one_h"), (F.col("h") == F.col("one_h")) & F.col("k").eqNullSafe(F.col("one_k")))
     bodies = written(chosen.select("s", "text").dropDuplicates(["s"]), "bodies")
-    stars = None
     for turn in range(DRAWS + 1):
         drawn = F.min_by(F.struct("s", "size", "c"), F.xxhash64("s", F.lit(turn))).alias("drawn")
         mixed = open_.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n"), drawn).where("lo != hi")
@@ -198,19 +216,17 @@ def similar_sets(prints: DataFrame, texts: DataFrame) -> DataFrame:
         found = _proved(pairs, bitmaps, bodies)
         joined = components(found.select(F.greatest("u_c", "v_c").alias("u"), F.least("u_c", "v_c").alias("v")))
         moved = joined.select(F.col("u").alias("c"), F.col("v").alias("to"))
-        if stars is not None:
-            earlier = stars.join(moved, stars["v"] == moved["c"], "left").select("u", F.coalesce("to", "v").alias("v"))
-            joined = written(earlier.unionByName(joined), "stars")
-        stars = joined
+        earlier = stars.join(moved, stars["v"] == moved["c"], "left").select("u", F.coalesce("to", "v").alias("v"))
+        stars = written(earlier.unionByName(joined), "stars")
         renamed = open_.where("not all_now").drop("all_now").join(moved, "c", "left")
         before, open_ = open_, written(renamed.select("t", "s", "size", F.coalesce("to", "c").alias("c")), "open")
         discard(before)
     discard(bodies)
-    return components(open_.select(F.col("s").alias("u"), F.col("c").alias("v")).where("u > v")) if stars is None else stars
+    return stars
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group that similar texts connect: that of the smallest key.
+    """``docs`` with one document of each group that close fingerprints or similar texts connect: that of the smallest key.
 
     Null and blank texts are copies of each other. Rows with that key in one group are told apart
     by a hash of their text; of fully repeated rows one stays. Null keys count as larger than all.

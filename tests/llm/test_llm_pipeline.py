@@ -187,3 +187,17 @@ def test_stages_keep_columns_with_clashing_names(spark):
     out = {r.doc_id: r for r in shorter.collect()}
     assert out[2].text == "another text" and out[2].n_chars == 12
     assert [(r._quality, r.n_removed, r.keep) for _, r in sorted(out.items())][:2] == [("a", "b", "c"), ("d", "e", "f")]
+
+
+def test_near_dedup_links_close_fingerprints(spark):
+    """Two texts whose repeated phrase settles the fingerprint, though their sets of five-word shingles hardly meet."""
+    from tablewright.llm.simhash import simhash
+
+    phrase = "one two three " * 200
+    texts = [phrase + " ".join(f"{a}{i}" for i in range(40)) for a in "xy"]
+    texts += [texts[1] + " and more", " ".join(f"z{i}" for i in range(60))]
+    assert (simhash(texts[0]) ^ simhash(texts[1])).bit_count() <= 3
+    a, b = five_words(texts[0]), five_words(texts[1])
+    assert 5 * len(a & b) < 4 * len(a | b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 3]
