@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tablewright.functions import distributions as D
 from tablewright.plans.aggregates import col
 from tablewright.plans.orderstats import numeric
-from tablewright.plans.ranks import group_quantiles, range_splits, rank_values
+from tablewright.plans.ranks import group_quantiles, join_groups, range_splits, rank_values
 from tablewright.session import cut_lineage
 
 # ---------------------------------------------------------------- categorical pairs
@@ -166,8 +166,8 @@ def rank_sums(values: DataFrame, moments: DataFrame, rows: int, splits: list[flo
     ``ties`` is the sum of t^3 - t over the tied values of the pair.
     """
     splits = range_splits(values, F.col("v"), rows) if splits is None else splits
-    usable = moments.select("pair", "g")
-    counted = values.groupBy("pair", "g", "v").agg(F.count("*").alias("n")).join(usable, ["pair", "g"], "left_semi")
+    usable = moments.select("pair", "g", F.col("n").alias("size"))
+    counted = join_groups(values.groupBy("pair", "g", "v").agg(F.count("*").alias("n")), usable, ["pair", "g"], "size").drop("size")
     ranked = rank_values(counted, ["pair"], "v", "n", splits)
     t = F.col("ties").cast("double")
     tied = ranked.groupBy("pair").agg(F.sum(t * t * t - t).alias("ties"))
@@ -210,9 +210,9 @@ def brown_forsythe_stats(
     values: DataFrame, moments: DataFrame, rows: int, splits: list[float] | None = None
 ) -> DataFrame:
     """``(pair, f, df1, df2)`` on absolute deviations from the group medians."""
-    usable = values.join(moments.select("pair", "g"), ["pair", "g"], "left_semi")
-    medians = group_quantiles(usable, ["pair", "g"], "v", [0.5], rows, splits)
-    gaps = usable.join(medians, ["pair", "g"]).select(
+    medians = group_quantiles(values, ["pair", "g"], "v", [0.5], rows, splits)
+    usable = medians.join(moments.select("pair", "g", F.col("n").alias("size")), ["pair", "g"])
+    gaps = join_groups(values, usable, ["pair", "g"], "size").select(
         "pair", "g", F.abs(F.col("v") - F.get("quantiles", F.lit(0))).alias("v")
     )
     squares = variance_ratio(group_moments(gaps))

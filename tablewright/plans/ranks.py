@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.session import cut_lineage
+
 BUCKET_ROWS = 500_000
 SAMPLED, MOST_TEXT_BUCKETS = 32, 2048
+MOST_BROADCAST = 10_000  # groups that a broadcast may hold
 NULL_BUCKET = -1.0  # null keys sort first
 
 
@@ -92,22 +95,40 @@ def join_same(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
     return left.join(renamed, on).drop(*[f"_same_{i}" for i in range(len(names))])
 
 
+def join_groups(rows: DataFrame, facts: DataFrame, names: list[str], weight: str, how: str = "inner") -> DataFrame:
+    """Rows joined with ``facts``, one row per group; no task takes the rows of a large group.
+
+    ``weight`` in ``facts`` is about the number of rows of a group. Few groups are broadcast. Of many,
+    those above ``BUCKET_ROWS`` are broadcast, which are few, and the rest meet their rows by a shuffle.
+    """
+    facts = cut_lineage(facts)
+    if len(facts.select(F.lit(1)).take(MOST_BROADCAST + 1)) <= MOST_BROADCAST:
+        return rows.join(F.broadcast(facts), names, how)
+    large = facts.where(F.col(weight) > BUCKET_ROWS)
+    small = facts.where(F.col(weight) <= BUCKET_ROWS)
+    rest = rows.join(F.broadcast(large.select(*names)), names, "left_anti")
+    return rows.join(F.broadcast(large), names, how).unionByName(rest.join(small, names, how))
+
+
 def running_totals(
-    df: DataFrame, groups: list[str], key: str, weight: str, splits: list
+    df: DataFrame, groups: list[str], key: str, weight: str, splits: list, total: str | None = None
 ) -> DataFrame:
     """Add ``before``: the weight of all rows of the group with a smaller key; null is the smallest.
 
-    ``(groups, key)`` must be unique. Null groups are groups.
+    ``(groups, key)`` must be unique. Null groups are groups. ``total``, if given, names a column
+    for the weight of the whole group.
     """
+    sums = {total: F.sum(weight).over(Window.partitionBy(*groups))} if total else {}
     if not splits:
         w = Window.partitionBy(*groups).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn("before", F.coalesce(F.sum(weight).over(w), F.lit(0)))
+        return df.withColumns({"before": F.coalesce(F.sum(weight).over(w), F.lit(0)), **sums})
     cut = with_bucket(df, F.col(key), splits)
     # At most one row per group and bucket, so the window over a group is bounded.
     per_bucket = cut.groupBy(*groups, "bucket").agg(F.sum(weight).alias("_in"))
     w = Window.partitionBy(*groups).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        *groups, "bucket", F.coalesce(F.sum("_in").over(w), F.lit(0)).alias("_offset")
+        *groups, "bucket", F.coalesce(F.sum("_in").over(w), F.lit(0)).alias("_offset"),
+        *[F.sum("_in").over(Window.partitionBy(*groups)).alias(n) for n in sums],
     )
     inner = (
         Window.partitionBy(*groups, "bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
@@ -142,9 +163,7 @@ def group_quantiles(
         )
     splits = range_splits(data, F.col(value), rows) if splits is None else splits
     counted = data.groupBy(*groups, value).agg(F.count("*").alias("ties"))
-    ranked = running_totals(counted, groups, value, "ties", splits)
-    sizes = data.groupBy(*groups).agg(F.count("*").alias("_n"))
-    placed = join_same(ranked, sizes, groups)
+    placed = running_totals(counted, groups, value, "ties", splits, total="_n")
     picks = []
     for i, q in enumerate(shares):
         spot = F.lit(q) * (F.col("_n") - 1)

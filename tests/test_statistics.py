@@ -176,3 +176,30 @@ def test_rank_correlations_with_and_without_gaps(spark, small_blocks):
             want = np.corrcoef(ranks(x[both, i]), ranks(x[both, j]))[0, 1]
             value, n = got["abcd"[i], "abcd"[j]]
             assert n == both.sum() and value == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("broadcast", [10_000, 1])
+def test_large_groups_are_spread_over_tasks(spark, monkeypatch, broadcast):
+    """No join puts the rows of a large group into one task, and the statistics stay the same."""
+    from tablewright.operators import associate as A
+    from tablewright.plans import ranks
+
+    rows = spark.range(0, 4000, 1, 4).select(
+        (F.col("id") * 37 % 1009).cast("double").alias("v"), F.when(F.col("id") % 50 == 0, F.concat(F.lit("s"), F.col("id") % 7)).otherwise("all").alias("g")
+    )
+    pairs = [("v", "g")]
+    values = A.grouped_values(rows, pairs)
+    moments = A.group_moments(values)
+    wanted = A.brown_forsythe_stats(values, moments, 4000).collect(), sorted(A.rank_sums(values, moments, 4000).collect())
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 300)
+    monkeypatch.setattr(ranks, "MOST_BROADCAST", broadcast)
+    found = A.brown_forsythe_stats(values, moments, 4000).collect(), sorted(A.rank_sums(values, moments, 4000).collect())
+    for a, b in zip(wanted, found, strict=True):
+        assert len(a) == len(b) and all(x == pytest.approx(y) for r, t in zip(a, b, strict=True) for x, y in zip(r, t, strict=True))
+    facts = moments.select("pair", "g", F.col("n").alias("size"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = ranks.join_groups(values.repartition(4), facts, ["pair", "g"], "size").where("g = 'all'").select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(tasks) >= 4 and max(r["count"] for r in tasks) < 2000
