@@ -4,7 +4,8 @@ Donors with the same features filled share a tree, fitted on a bounded sample; i
 boxes, and boxes that hold too many donors are cut into chunks, so a block never exceeds a fixed
 size. A query meets boxes best first, in three rounds: the nearest box, which bounds the distance
 of its k-th neighbour, then a few more, which tighten the bound, then all boxes that the bound
-still reaches. A block returns at most k donors per query, and the best k of all blocks win.
+still reaches. A block returns at most k donors per query, and the best k of all blocks win. Inside a
+block the donors lie in the small leaves of a tree of their own, which a query visits likewise.
 
 Copies cannot inflate a block: of donors with the same features only the first k by key can
 ever be chosen, and queries with the same features are answered once.
@@ -25,8 +26,9 @@ from tablewright.plans.aggregates import col, columns_of, measure
 from tablewright.plans.orderstats import numeric
 from tablewright.session import cut_lineage
 
-BLOCK_DONORS = 4_000
-BLOCK_QUERIES = 2_000
+BLOCK_DONORS = 32_000
+BLOCK_QUERIES = 16_000
+LEAF_DONORS = 64  # of the tree inside a block
 SLAB_CELLS = 1_000_000  # distances held at once inside a block
 SAMPLE_ROWS = 65_536  # donors that the trees are fitted on; every donor is placed
 MOST_BOXES = 4096  # boxes that tasks and the driver hold; beyond that boxes grow and are cut into chunks
@@ -34,19 +36,25 @@ NEXT_BOXES = 4  # boxes of the second round
 OTHERS = -1  # the box of donors whose filled features the sample doesn't show; always visited
 
 
-def _distances(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of query rows to donor rows; features missing on either side are left out."""
-    total = np.zeros((len(q), len(d)))
-    shared = np.zeros((len(q), len(d)))
-    for j in range(q.shape[1]):
-        gap = q[:, j][:, None] - d[:, j][None, :]
-        if np.isnan(q[:, j]).any() or np.isnan(d[:, j]).any():
-            both = ~np.isnan(gap)
-            gap = np.where(both, gap, 0.0)
-            shared += both
-        else:
-            shared += 1
+def _pair_distances(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of query rows to donor rows, row by row; features missing on either side are left out."""
+    shape = np.broadcast_shapes(q.shape, d.shape)
+    total, shared = np.zeros(shape[:-1]), np.zeros(shape[:-1])
+    for j in range(shape[-1]):
+        gap = q[..., j] - d[..., j]
+        both = ~np.isnan(gap)
+        gap = np.where(both, gap, 0.0)
+        shared += both
         total += np.abs(gap) if metric == "manhattan" else gap * gap
+    return _rooted(total, shared, metric)
+
+
+def _distances(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of all query rows to all donor rows."""
+    return _pair_distances(q[:, None], d[None], metric)
+
+
+def _rooted(total: np.ndarray, shared: np.ndarray, metric: str) -> np.ndarray:
     if metric == "manhattan":
         return total
     if metric == "euclidean":
@@ -55,15 +63,11 @@ def _distances(q: np.ndarray, d: np.ndarray, metric: str) -> np.ndarray:
         return np.where(shared > 0, np.sqrt(total / shared), np.inf)
 
 
-def _smallest(gaps: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the k smallest entries per row; equal entries in column order."""
-    k = min(k, gaps.shape[1])
-    limit = np.partition(gaps, k - 1, axis=1)[:, k - 1]
-    row, column = np.nonzero(gaps <= limit[:, None])
-    order = np.lexsort((column, gaps[row, column], row))
-    row, column = row[order], column[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    return row[place < k], column[place < k]
+def _first(row: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by row, then keys, and the place of each entry among those of its row."""
+    order = np.lexsort((*keys[::-1], row))
+    sorted_ = row[order]
+    return order, np.arange(len(row)) - np.searchsorted(sorted_, sorted_)
 
 
 _EMPTY = pd.DataFrame(
@@ -76,6 +80,211 @@ _EMPTY = pd.DataFrame(
 )
 
 
+class Leaves:
+    """The donors of a block in the leaves of a k-d tree, so that a query meets a few leaves and not the block."""
+
+    def __init__(self, donors: np.ndarray, k: int, metric: str):
+        self.k, self.metric = k, metric
+        place = Trees(donors, max(1, len(donors) // max(LEAF_DONORS, 4 * k))).place(donors)
+        self.order = np.argsort(place, kind="stable")
+        self.rows = donors[self.order]
+        self.start = np.flatnonzero(np.diff(place[self.order], prepend=-2))
+        self.size = np.diff(self.start, append=len(donors))
+        self.low, self.high = (end.reduceat(self.rows, self.start, axis=0) for end in (np.fmin, np.fmax))
+
+    def _meet(self, q: np.ndarray, row: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, donor and distance of all pairs of a query and a donor of a leaf."""
+        n = self.size[leaf]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[leaf], n)
+        row = np.repeat(row, n)
+        return row, self.order[at], _pair_distances(q[row], self.rows[at], self.metric)
+
+    def nearest(self, q: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, donor and distance of the k nearest donors within the bound of each query; equal ones in donor order.
+
+        The nearest leaf bounds the k-th distance; then all leaves that it still reaches are met.
+        """
+        reach = _box_bounds(q, self.low, self.high, self.metric)
+        own, every = reach.argmin(axis=1), np.arange(len(q))
+        row, donor, gap = self._meet(q, every, own)
+        order, place = _first(row, gap)
+        limit = bound.copy()
+        kth = order[place == self.k - 1]
+        limit[row[kth]] = np.minimum(limit[row[kth]], gap[kth])
+        near = reach <= limit[:, None] * (1 + 1e-9)
+        near[every, own] = False
+        rows, leaves = np.nonzero(near)
+        keep = gap <= limit[row]
+        parts = [(row[keep], donor[keep], gap[keep])]
+        cells = np.cumsum(self.size[leaves]) // SLAB_CELLS
+        for slab in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(cells)) + 1):
+            row, donor, gap = self._meet(q, rows[slab], leaves[slab])
+            keep = gap <= limit[row]
+            parts.append((row[keep], donor[keep], gap[keep]))
+        row, donor, gap = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order, place = _first(row, gap, donor)
+        order = order[place < self.k]
+        return row[order], donor[order], gap[order]
+
+
+def _block_search(width: int, k: int, metric: str):
+    """The best k donors of one block for each of its queries, in bounded numpy slabs."""
+    features = [f"f{j}" for j in range(width)]
+
+    def search(donors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        parts = [_EMPTY]
+        if len(donors) and len(queries):
+            donors = donors.sort_values("tie", kind="stable")
+            leaves = Leaves(donors[features].to_numpy(dtype=float), k, metric)
+            tie, y = donors["tie"].to_numpy(), donors["y"].to_numpy(dtype=float)
+            q, qid = queries[features].to_numpy(dtype=float), queries["qid"].to_numpy()
+            bound = queries["bound"].fillna(np.inf).to_numpy(dtype=float) * (1 + 1e-9)
+            slab = max(1, SLAB_CELLS // max(len(leaves.start), int(leaves.size.max())))
+            for at in range(0, len(q), slab):
+                row, donor, gap = leaves.nearest(q[at : at + slab], bound[at : at + slab])
+                if len(row):
+                    parts.append(pd.DataFrame({"qid": qid[at + row], "distance": gap, "tie": tie[donor], "y": y[donor]}))
+        return pd.concat(parts[1:] or parts, ignore_index=True)
+
+    return search
+
+
+def _search_blocks(donors: DataFrame, queries: DataFrame, width: int, k: int, metric: str) -> DataFrame:
+    on = ["range", "chunk", "qchunk"]
+    return (
+        donors.groupBy(*on)
+        .cogroup(queries.groupBy(*on))
+        .applyInPandas(_block_search(width, k, metric), "qid string, distance double, tie long, y double")
+    )
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("qid").orderBy("distance", "tie")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def _spread(placed: DataFrame, chunks: dict[int, int], column: str, name: str) -> DataFrame:
+    """Add a chunk number from a hash of ``column``; ``chunks`` gives the count per range."""
+    parts = _lookup(chunks)
+    return placed.withColumn(name, F.pmod(F.xxhash64(column), parts).cast("int"))
+
+
+def _lookup(chunks: dict[int, int]) -> Column:
+    """Chunk count of a row's range; one everywhere except in the crowded ranges."""
+    crowded = {r: c for r, c in chunks.items() if c > 1}
+    if not crowded:
+        return F.lit(1)
+    table = F.create_map(*[F.lit(x) for pair in crowded.items() for x in pair])
+    return F.coalesce(table[F.col("range")], F.lit(1))
+
+
+def _chunk_counts(placed: DataFrame, size: int) -> dict[int, int]:
+    # One row per box, so at most MOST_BOXES + 1 rows.
+    rows = placed.groupBy("range").agg(F.count("*").alias("n")).collect()
+    return {r["range"]: max(1, -(-r["n"] // size)) for r in rows}
+
+
+class Trees:
+    """k-d trees by the features that are filled; a box is a leaf of one of them."""
+
+    def __init__(self, sample: np.ndarray, boxes: int):
+        self.nodes: list[tuple] = []  # (feature, border, left, right), or (box,)
+        self.roots: dict[bytes, int] = {}
+        self.boxes = 0
+        if not sample.size:
+            return
+        filled = ~np.isnan(sample)
+        patterns, of, sizes = np.unique(filled, axis=0, return_inverse=True, return_counts=True)
+        for p, pattern in enumerate(patterns):
+            share = max(1, boxes * int(sizes[p]) // max(1, len(sample)))
+            self.roots[pattern.tobytes()] = self._grow(sample[of.ravel() == p], np.flatnonzero(pattern), share)
+
+    def _grow(self, rows: np.ndarray, features: np.ndarray, boxes: int) -> int:
+        """A tree of at most ``boxes`` leaves, halved at the median of the feature that spreads most."""
+        at = len(self.nodes)
+        self.nodes.append(())
+        spread = np.ptp(rows[:, features], axis=0) if boxes > 1 and len(features) and len(rows) > 1 else np.zeros(1)
+        j = features[int(spread.argmax())] if spread.max() > 0 else -1
+        border = self._border(rows[:, j]) if j >= 0 else None
+        if border is None:
+            self.nodes[at] = (self.boxes,)
+            self.boxes += 1
+            return at
+        low = rows[:, j] <= border
+        left = self._grow(rows[low], features, boxes // 2)
+        self.nodes[at] = (j, border, left, self._grow(rows[~low], features, boxes - boxes // 2))
+        return at
+
+    @staticmethod
+    def _border(values: np.ndarray) -> float:
+        """A value near the median with rows on both sides."""
+        middle = float(np.partition(values, len(values) // 2)[len(values) // 2])
+        below = values[values < middle]
+        return middle if middle < values.max() and (values <= middle).sum() <= 0.75 * len(values) or not len(below) else float(below.max())
+
+    def place(self, rows: np.ndarray) -> np.ndarray:
+        """The box of each row."""
+        out = np.full(len(rows), OTHERS, np.int32)
+        if not self.roots:
+            return out
+        filled = ~np.isnan(rows)
+        patterns, of = np.unique(filled, axis=0, return_inverse=True)
+        for p, pattern in enumerate(patterns):
+            root = self.roots.get(pattern.tobytes())
+            open_ = [] if root is None else [(root, np.flatnonzero(of.ravel() == p))]
+            while open_:
+                node, mine = open_.pop()
+                if len(self.nodes[node]) == 1:
+                    out[mine] = self.nodes[node][0]
+                elif len(mine):
+                    j, border, left, right = self.nodes[node]
+                    low = rows[mine, j] <= border
+                    open_ += [(left, mine[low]), (right, mine[~low])]
+        return out
+
+
+def _box_bounds(q: np.ndarray, low: np.ndarray, high: np.ndarray, metric: str) -> np.ndarray:
+    """No donor of a box is nearer to a query than this; boxes are NaN in features their donors lack."""
+    total = np.zeros((len(q), len(low)))
+    shared = np.zeros((len(q), len(low)))
+    for j in range(q.shape[1]):
+        x = q[:, j][:, None]
+        gap = np.maximum(np.maximum(low[:, j] - x, x - high[:, j]), 0.0)
+        both = ~np.isnan(gap)
+        gap = np.where(both, gap, 0.0)
+        shared += both
+        total += gap if metric == "manhattan" else gap * gap
+    return _rooted(total, shared, metric)
+
+
+def nearest(self, q: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, donor and distance of the k nearest donors within the bound of each query; equal ones in donor order.
+
+        The nearest leaf bounds the k-th distance; then all leaves that it still reaches are met.
+        """
+        reach = _box_bounds(q, self.low, self.high, self.metric)
+        own, every = reach.argmin(axis=1), np.arange(len(q))
+        row, donor, gap = self._meet(q, every, own)
+        order, place = _first(row, gap)
+        limit = bound.copy()
+        kth = order[place == self.k - 1]
+        limit[row[kth]] = np.minimum(limit[row[kth]], gap[kth])
+        near = reach <= limit[:, None] * (1 + 1e-9)
+        near[every, own] = False
+        rows, leaves = np.nonzero(near)
+        keep = gap <= limit[row]
+        parts = [(row[keep], donor[keep], gap[keep])]
+        cells = np.cumsum(self.size[leaves]) // SLAB_CELLS
+        for slab in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(cells)) + 1):
+            row, donor, gap = self._meet(q, rows[slab], leaves[slab])
+            keep = gap <= limit[row]
+            parts.append((row[keep], donor[keep], gap[keep]))
+        row, donor, gap = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order, place = _first(row, gap, donor)
+        order = order[place < self.k]
+        return row[order], donor[order], gap[order]
+
+
 def _block_search(width: int, k: int, metric: str):
     """The best k donors of one block for each of its queries, in bounded numpy slabs."""
     features = [f"f{j}" for j in range(width)]
@@ -84,18 +293,15 @@ def _block_search(width: int, k: int, metric: str):
         parts = [_EMPTY]
         if len(donors) and len(queries):
             donors = donors.sort_values("tie", kind="stable")
-            d = donors[features].to_numpy(dtype=float)
+            leaves = Leaves(donors[features].to_numpy(dtype=float), k, metric)
             tie, y = donors["tie"].to_numpy(), donors["y"].to_numpy(dtype=float)
             q, qid = queries[features].to_numpy(dtype=float), queries["qid"].to_numpy()
-            slab = max(1, SLAB_CELLS // len(d))
+            bound = queries["bound"].fillna(np.inf).to_numpy(dtype=float) * (1 + 1e-9)
+            slab = max(1, SLAB_CELLS // max(len(leaves.start), int(leaves.size.max())))
             for at in range(0, len(q), slab):
-                gaps = _distances(q[at : at + slab], d, metric)
-                row, donor = _smallest(gaps, k)
-                parts.append(
-                    pd.DataFrame(
-                        {"qid": qid[at + row], "distance": gaps[row, donor], "tie": tie[donor], "y": y[donor]}
-                    )
-                )
+                row, donor, gap = leaves.nearest(q[at : at + slab], bound[at : at + slab])
+                if len(row):
+                    parts.append(pd.DataFrame({"qid": qid[at + row], "distance": gap, "tie": tie[donor], "y": y[donor]}))
         return pd.concat(parts[1:] or parts, ignore_index=True)
 
     return search
@@ -251,7 +457,8 @@ def nearest(
     columns = ", ".join(f"{f} double" for f in features) + (", " if features else "")
     donors = cut_lineage(donors.mapInArrow(placed, columns + "tie long, y double, range int"))
     edges = [F.min(f).alias(f"low_{f}") for f in features] + [F.max(f).alias(f"high_{f}") for f in features]
-    held = donors.groupBy("range").agg(F.count("*").alias("n"), *edges).orderBy("range").collect()  # at most MOST_BOXES + 1 rows
+    held = donors.groupBy("range").agg(F.count("*").alias("n"), *edges).collect()  # at most MOST_BOXES + 1 rows
+    held = sorted(held, key=lambda r: (r["range"] == OTHERS, r["range"]))
     chunks = {r["range"]: max(1, -(-r["n"] // BLOCK_DONORS)) for r in held} or {0: 1}
     numbers = np.array(list(chunks), np.int32)
 
@@ -265,24 +472,29 @@ def nearest(
     donors = _spread(donors, chunks, "tie", "chunk")
 
     def visits(asked: DataFrame, begin: int, end: int | None) -> DataFrame:
-        """``(qid, f.., range)``: the boxes from the ``begin``-th nearest on that a query's ``bound`` reaches."""
+        """``(qid, f.., bound, range)``: the boxes from the ``begin``-th nearest on that a query's ``bound`` reaches."""
 
         def reached(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 512):
                     some = batch.slice(at, 512)
-                    nearest_ = _box_bounds(matrix(some), low, high, metric)
-                    if OTHERS in chunks:  # any distance is possible there
-                        nearest_[:, numbers == OTHERS] = 0.0
-                    order = np.lexsort((np.broadcast_to(numbers == OTHERS, nearest_.shape), nearest_), axis=1)[:, begin:end]
+                    reach = _box_bounds(matrix(some), low, high, metric)
+                    if OTHERS in chunks:  # any distance is possible there; the last box, so that others go first
+                        reach[:, -1] = 0.0
                     bound = some.column("bound").to_numpy(zero_copy_only=False).astype(float)
-                    limit = np.where(np.isnan(bound), np.inf, bound)[:, None] * (1 + 1e-9)
-                    row, column = np.nonzero(np.take_along_axis(nearest_, order, axis=1) <= limit)
-                    boxes = pa.array(numbers[order[row, column]], pa.int32())
-                    kept = some.select(["qid", *features]).take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([*kept.columns, boxes], names=["qid", *features, "range"])
-
-        return asked.select("qid", *features, "bound").mapInArrow(reached, "qid string, " + columns + "range int")
+                    wanted_ = reach <= np.where(np.isnan(bound), np.inf, bound)[:, None] * (1 + 1e-9)
+                    left, every = np.minimum(reach, np.finfo(float).max), np.arange(len(reach))
+                    taken = np.zeros(reach.shape, bool)
+                    for turn in range(min(begin if end is None else end, len(numbers))):
+                        best = left.argmin(axis=1)
+                        taken[every, best] = end is None or turn >= begin
+                        left[every, best] = np.inf
+                    row, column = np.nonzero(wanted_ & (~taken if end is None else taken))
+                    boxes = pa.array(numbers[column], pa.int32())
+                    kept = some.select(["qid", *features, "bound"]).take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*kept.columns, boxes], names=["qid", *features, "bound", "range"])
+
+        return asked.select("qid", *features, "bound").mapInArrow(reached, "qid string, " + columns + "bound double, range int")
 
     def run(visited: DataFrame) -> DataFrame:
         """Search the blocks of visits, repeating donors per query chunk."""

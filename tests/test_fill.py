@@ -205,3 +205,24 @@ def test_fills_in_file_order(spark, tmp_path, split):
     assert log[0].kind == "value_imputed" if hasattr(log[0], "kind") else log
     with pytest.raises(ValueError, match="order key"):
         I.forward_backward_fill(spark.createDataFrame([(1.0,)], "v double"), ["v"])
+
+
+@pytest.mark.parametrize("metric", ["shared", "euclidean", "manhattan"])
+@pytest.mark.parametrize("bounded", [False, True])
+def test_a_block_is_searched_by_leaves(monkeypatch, metric, bounded):
+    """A query meets few donors of its block, and the nearest are those of all pairs, ties in donor order."""
+    rng = np.random.default_rng(3)
+    donors, queries = rng.integers(0, 3000, (6000, 2)).astype(float), rng.integers(0, 3000, (300, 2)).astype(float)
+    donors[:100], queries[:10] = 7.0, 7.0
+    if metric == "shared":
+        donors[200:900, 1], queries[20:60, 0] = np.nan, np.nan
+    gaps = knn._distances(queries, donors, metric)
+    wanted = np.argsort(gaps, axis=1, kind="stable")[:, :5]
+    at = np.arange(len(queries))[:, None]
+    bound = gaps[at, wanted][:, -1] if bounded else np.full(len(queries), np.inf)
+    met, pair_distances = [], knn._pair_distances
+    monkeypatch.setattr(knn, "_pair_distances", lambda q, d, m: met.append(len(q)) or pair_distances(q, d, m))
+    row, donor, gap = knn.Leaves(donors, 5, metric).nearest(queries, bound)
+    assert (row.reshape(-1, 5) == at).all() and (donor.reshape(-1, 5) == wanted).all()
+    assert np.allclose(gap.reshape(-1, 5), gaps[at, wanted], atol=0)
+    assert sum(met) < (0.5 if metric == "shared" else 0.15) * gaps.size
