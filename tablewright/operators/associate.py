@@ -160,15 +160,24 @@ def welch_t_stats(moments: DataFrame) -> DataFrame:
     )
 
 
-def rank_sums(values: DataFrame, moments: DataFrame, rows: int, splits: list[float] | None = None) -> DataFrame:
+def value_cells(values: DataFrame) -> DataFrame:
+    """``(pair, g, v, n)``: the distinct values of each group with their counts."""
+    return values.groupBy("pair", "g", "v").agg(F.count("*").alias("n"))
+
+
+def rank_sums(
+    values: DataFrame, moments: DataFrame, rows: int, splits: list[float] | None = None, cells: DataFrame | None = None
+) -> DataFrame:
     """``(pair, g, n, rank_sum, ties)``: rank sums per group over a pair's groups, ties averaged.
 
-    ``ties`` is the sum of t^3 - t over the tied values of the pair.
+    ``ties`` is the sum of t^3 - t over the tied values of the pair. ``cells`` are the
+    ``value_cells``, where the caller has them already.
     """
     splits = range_splits(values, F.col("v"), rows) if splits is None else splits
     usable = moments.select("pair", "g", F.col("n").alias("size"))
-    counted = join_groups(values.groupBy("pair", "g", "v").agg(F.count("*").alias("n")), usable, ["pair", "g"], "size").drop("size")
-    ranked = rank_values(counted, ["pair"], "v", "n", splits)
+    counted = join_groups(value_cells(values) if cells is None else cells, usable, ["pair", "g"], "size").drop("size")
+    # Both the ties and the sums read the ranks.
+    ranked = cut_lineage(rank_values(counted, ["pair"], "v", "n", splits).select("pair", "v", "ties", "rank"))
     t = F.col("ties").cast("double")
     tied = ranked.groupBy("pair").agg(F.sum(t * t * t - t).alias("ties"))
     sums = (
@@ -207,15 +216,15 @@ def kruskal_stats(sums: DataFrame) -> DataFrame:
 
 
 def brown_forsythe_stats(
-    values: DataFrame, moments: DataFrame, rows: int, splits: list[float] | None = None
+    values: DataFrame, moments: DataFrame, rows: int, splits: list[float] | None = None, cells: DataFrame | None = None
 ) -> DataFrame:
     """``(pair, f, df1, df2)`` on absolute deviations from the group medians."""
-    medians = group_quantiles(values, ["pair", "g"], "v", [0.5], rows, splits)
+    medians = group_quantiles(values, ["pair", "g"], "v", [0.5], rows, splits, cells)
     usable = medians.join(moments.select("pair", "g", F.col("n").alias("size")), ["pair", "g"])
     gaps = join_groups(values, usable, ["pair", "g"], "size").select(
         "pair", "g", F.abs(F.col("v") - F.get("quantiles", F.lit(0))).alias("v")
     )
-    squares = variance_ratio(group_moments(gaps))
+    squares = variance_ratio(cut_lineage(group_moments(gaps)))
     between = F.try_divide(F.col("ss_between"), F.col("k") - 1)
     within = F.try_divide(F.col("ss_within"), F.col("n") - F.col("k"))
     return squares.where("k >= 2 and n > k and ss_within > 0").select(
@@ -241,10 +250,13 @@ def group_tests(df: DataFrame, numbers: list[str], categories: list[str]) -> Dat
         return df.sparkSession.createDataFrame([], TESTS_SCHEMA)
     values = grouped_values(df, pairs)
     rows = df.count() * len(pairs)
-    # Both are read by several statistics below and are far smaller than the rows.
+    # All are read by several statistics below; moments and sums are far smaller than the rows.
     moments = cut_lineage(group_moments(values))
-    splits = range_splits(values, F.col("v"), rows)
-    sums = cut_lineage(rank_sums(values, moments, rows, splits))
+    # Borders only have to even out the buckets, so a number is read once and not for each of its categories.
+    once = df.select(F.explode(F.array(*[numeric(n) for n in numbers])).alias("v"))
+    splits = range_splits(once, F.col("v"), rows)
+    cells = cut_lineage(value_cells(values))
+    sums = cut_lineage(rank_sums(values, moments, rows, splits, cells))
     out = []
 
     def add(pair: int, test: str, statistic, df1, df2, p, effect=None) -> None:
@@ -264,6 +276,6 @@ def group_tests(df: DataFrame, numbers: list[str], categories: list[str]) -> Dat
     for r in kruskal_stats(sums).where("k > 2").collect():
         if r["h"] is not None:
             add(r["pair"], "kruskal_wallis", r["h"], r["df"], None, D.chi_square_sf(r["h"], r["df"]))
-    for r in brown_forsythe_stats(values, moments, rows, splits).collect():
+    for r in brown_forsythe_stats(values, moments, rows, splits, cells).collect():
         add(r["pair"], "brown_forsythe", r["f"], r["df1"], r["df2"], D.f_sf(r["f"], r["df1"], r["df2"]))
     return df.sparkSession.createDataFrame(out, TESTS_SCHEMA)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -12,6 +14,8 @@ from tablewright.operators.profile import TableProfile, dataset_frame, profile,
 from tablewright.plans.aggregates import kinds
 from tablewright.plans.orderstats import numeric
 
+SIDE_BY_SIDE = 4  # parts of an analysis that run at a time
+
 
 @dataclass
 class Analysis:
@@ -39,23 +43,28 @@ def analyze(df: DataFrame, approximate: bool = False, cache: bool = False) -> An
         read = {n: numeric(n) for n in numbers if kind[n] == "string"}
         numbered = source.withColumns(read) if read else source  # text that holds numbers, as numbers
         words = [n for n in table.of_type("categorical", "binary", "boolean", "string")]
+        # The parts do not wait for each other's many small jobs.
+        parts: list[Callable[[], dict[str, DataFrame]]] = []
+        if numbers and words:
+            parts.append(lambda: {"group_tests": associate.group_tests(numbered, numbers, words)})
+        parts.append(lambda: describe.column_statistics(source, table))
+        if len(numbers) > 1:
+            parts.append(lambda: {"spearman": correlate.spearman(numbered, numbers)})
+            parts.append(lambda: {"pearson": correlate.pearson(numbered, numbers)})
+        if len(words) > 1:
+            parts.append(lambda: {"categorical_association": associate.categorical_association(source, words)})
+        parts.append(lambda: {"issues": quality.issue_frame(df, quality.find_issues(source, table))})
+        parts.append(lambda: {"missingness": describe.missingness(source), "co_missing": describe.co_missing(source)})
         frames = {
             "columns": profile_frame(df, table),
             "dataset": dataset_frame(df, table),
-            "issues": quality.issue_frame(df, quality.find_issues(source, table)),
             "summary": describe.table_summary(source, table),
-            "missingness": describe.missingness(source),
-            "co_missing": describe.co_missing(source),
-            **describe.column_statistics(source, table),
         }
-        if len(numbers) > 1:
-            frames["pearson"] = correlate.pearson(numbered, numbers)
-            frames["spearman"] = correlate.spearman(numbered, numbers)
+        with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+            for found in pool.map(lambda part: part(), parts):
+                frames |= found
+        if "pearson" in frames:
             frames["top_pairs"] = correlate.top_pairs(frames["pearson"])
-        if len(words) > 1:
-            frames["categorical_association"] = associate.categorical_association(source, words)
-        if numbers and words:
-            frames["group_tests"] = associate.group_tests(numbered, numbers, words)
         return Analysis(table, frames)
     finally:
         if cache:

@@ -150,11 +150,13 @@ def rank_values(
 
 
 def group_quantiles(
-    df: DataFrame, groups: list[str], value: str, shares: list[float], rows: int, splits: list[float] | None = None
+    df: DataFrame, groups: list[str], value: str, shares: list[float], rows: int, splits: list[float] | None = None,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """Interpolated quantiles per group as array ``quantiles``, exact at any group size.
 
-    ``splits`` are the range borders of the values, where the caller has them already.
+    ``splits`` are the range borders of the values and ``cells`` their counts ``n`` per group,
+    where the caller has them already.
     """
     data = df.where(F.col(value).isNotNull())
     if rows <= BUCKET_ROWS:  # the aggregation buffers together hold at most this many values
@@ -162,7 +164,10 @@ def group_quantiles(
             F.percentile(value, F.array(*map(F.lit, shares))).alias("quantiles")
         )
     splits = range_splits(data, F.col(value), rows) if splits is None else splits
-    counted = data.groupBy(*groups, value).agg(F.count("*").alias("ties"))
+    if cells is None:
+        counted = data.groupBy(*groups, value).agg(F.count("*").alias("ties"))
+    else:
+        counted = cells.select(*groups, value, F.col("n").alias("ties"))
     placed = running_totals(counted, groups, value, "ties", splits, total="_n")
     picks = []
     for i, q in enumerate(shares):

@@ -203,3 +203,27 @@ def test_large_groups_are_spread_over_tasks(spark, monkeypatch, broadcast):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert len(tasks) >= 4 and max(r["count"] for r in tasks) < 2000
+
+
+def test_group_tests_fold_the_values_once(spark, monkeypatch):
+    """Ranks and medians read stored counts of values; the rows are read for these, the moments, the borders and the gaps."""
+    from tablewright.operators import associate as A
+    from tablewright.plans import ranks
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(i):
+        seen.add(1)
+        return float(i * 37 % 101)
+
+    def rows(v):
+        return spark.range(1200, numPartitions=3).select(v.alias("v"), F.concat(F.lit("g"), F.col("id") % 3).alias("g"), F.concat(F.lit("h"), F.col("id") % 2).alias("h"))
+
+    plain = F.expr("double(id * 37 % 101)")
+    wanted = sorted(A.group_tests(rows(plain), ["v"], ["g", "h"]).collect())
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 100)
+    found = sorted(A.group_tests(rows(F.udf(noted, "double")("id")), ["v"], ["g", "h"]).collect())
+    assert seen.value <= 4 * 1200
+    assert [r["test"] for r in found] == [r["test"] for r in wanted] and len(found) == 6
+    for a, b in zip(found, wanted, strict=True):
+        assert (a["statistic"], a["p_value"]) == pytest.approx((b["statistic"], b["p_value"]))
