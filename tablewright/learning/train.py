@@ -236,18 +236,20 @@ def evaluate(scored: DataFrame, task: str, classes: int) -> dict:
 def prepare(df: DataFrame, o: TrainOptions) -> tuple[DataFrame, DataFrame, Encoder, list[str] | None, Facts, str]:
     """Validate, split, and encode; the encoder sees training rows only.
 
-    Rows are told apart by the key. Without one they are numbered. The table is written once: a
-    dozen jobs read it, which would each compute it again, and every job sees the same numbers.
+    Rows are told apart by the key. Without one they are numbered, and the numbered table is
+    written once, so that every later job sees the same numbers. So is a table of more than
+    ``TASK_ROWS`` rows, as a dozen jobs would each compute it again.
     """
     table = exclude_columns(df, o.exclude, o.target)
+    target = validate_training(table, o.target)
     classify = o.task == CLASSIFICATION
+    tasks = -(-table.count() // TASK_ROWS)
     key = o.key
     if key is None:
         key = [ROW_NUMBER]
         table = table.withColumn(ROW_NUMBER, F.monotonically_increasing_id())
-    table = cut_lineage(table)
-    target = validate_training(table.drop(ROW_NUMBER), o.target)
-    tasks = -(-table.count() // TASK_ROWS)
+    if o.key is None or tasks > 1:
+        table = cut_lineage(table)
     train, test = split_rows(table, target if classify else None, o.test_share, o.seed, key)
     encoder = fit_encoder(train.drop(ROW_NUMBER), target)
     indexer = fit_labels(table, target) if classify else None
